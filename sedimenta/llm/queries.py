@@ -8,6 +8,15 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..frames import table
 from . import conversations as p5
+from . import splitting as p1
+
+
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    return p1.found(table(spark, d, "blocks"), table(spark, d, "chunks"), table(spark, d, "structure_detections"))
+
+
+def p1_pieces(spark: SparkSession, d: str) -> DataFrame:
+    return p1.all_pieces(table(spark, d, "blocks"), table(spark, d, "chunks"), table(spark, d, "structure_detections"))
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
@@ -19,6 +28,8 @@ def p5_turns(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "p1_found": p1_found,
+    "p1_pieces": p1_pieces,
     "p5_found": p5_found,
     "p5_turns": p5_turns,
 }
