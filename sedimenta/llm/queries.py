@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..frames import table
 from . import conversations as p5
+from . import pairs as p4
+from . import quality as p8
 from . import splitting as p1
 
 
@@ -27,10 +29,25 @@ def p5_turns(spark: SparkSession, d: str) -> DataFrame:
     return p5.conversations(table(spark, d, "thread_messages"))
 
 
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return p4.found(table(spark, d, "requesta_items"), table(spark, d, "locomo_questions"))
+
+
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return p8.found(table(spark, d, "documents"), table(spark, d, "common_words"))
+
+
+def p8_stats(spark: SparkSession, d: str) -> DataFrame:
+    return p8.stats(table(spark, d, "documents"), table(spark, d, "common_words"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": p1_found,
     "p1_pieces": p1_pieces,
+    "p4_found": p4_found,
     "p5_found": p5_found,
     "p5_turns": p5_turns,
+    "p8_found": p8_found,
+    "p8_stats": p8_stats,
 }
 SQL: dict[str, str] = {}
