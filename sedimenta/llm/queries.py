@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from ..frames import table
 from . import conversations as p5
 from . import pairs as p4
+from . import pii as p2
 from . import quality as p8
 from . import splitting as p1
 
@@ -29,6 +30,14 @@ def p5_turns(spark: SparkSession, d: str) -> DataFrame:
     return p5.conversations(table(spark, d, "thread_messages"))
 
 
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return p2.found(*[table(spark, d, t) for t in ("thread_messages", "memories", "message_reports", "given_names")])
+
+
+def p2_redacted(spark: SparkSession, d: str) -> DataFrame:
+    return p2.redacted(p2.sources(*[table(spark, d, t) for t in ("thread_messages", "memories", "message_reports")]), table(spark, d, "given_names"))
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return p4.found(table(spark, d, "requesta_items"), table(spark, d, "locomo_questions"))
 
@@ -44,6 +53,8 @@ def p8_stats(spark: SparkSession, d: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": p1_found,
     "p1_pieces": p1_pieces,
+    "p2_found": p2_found,
+    "p2_redacted": p2_redacted,
     "p4_found": p4_found,
     "p5_found": p5_found,
     "p5_turns": p5_turns,
