@@ -11,6 +11,7 @@ from . import conversations as p5
 from . import pairs as p4
 from . import pii as p2
 from . import quality as p8
+from . import scans as p3
 from . import splitting as p1
 
 
@@ -38,6 +39,14 @@ def p2_redacted(spark: SparkSession, d: str) -> DataFrame:
     return p2.redacted(p2.sources(*[table(spark, d, t) for t in ("thread_messages", "memories", "message_reports")]), table(spark, d, "given_names"))
 
 
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return p3.found(table(spark, d, "converted_blocks"))
+
+
+def p3_paragraphs(spark: SparkSession, d: str) -> DataFrame:
+    return p3.paragraphs(table(spark, d, "converted_blocks"))
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return p4.found(table(spark, d, "requesta_items"), table(spark, d, "locomo_questions"))
 
@@ -55,6 +64,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_pieces": p1_pieces,
     "p2_found": p2_found,
     "p2_redacted": p2_redacted,
+    "p3_found": p3_found,
+    "p3_paragraphs": p3_paragraphs,
     "p4_found": p4_found,
     "p5_found": p5_found,
     "p5_turns": p5_turns,
