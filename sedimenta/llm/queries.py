@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..frames import table
 from . import conversations as p5
+from . import mixing as p7
+from . import packing as p6
 from . import pairs as p4
 from . import pii as p2
 from . import quality as p8
@@ -51,6 +53,22 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return p4.found(table(spark, d, "requesta_items"), table(spark, d, "locomo_questions"))
 
 
+def p6_containers(spark: SparkSession, d: str) -> DataFrame:
+    return p6.containers(table(spark, d, "documents"))
+
+
+def p6_fills(spark: SparkSession, d: str) -> DataFrame:
+    return p6.fills(p6_containers(spark, d))
+
+
+def p7_mix(spark: SparkSession, d: str) -> DataFrame:
+    return p7.mixed(table(spark, d, "documents"), table(spark, d, "mix_targets"))[0]
+
+
+def p7_shares(spark: SparkSession, d: str) -> DataFrame:
+    return p7.mixed(table(spark, d, "documents"), table(spark, d, "mix_targets"))[1]
+
+
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return p8.found(table(spark, d, "documents"), table(spark, d, "common_words"))
 
@@ -69,6 +87,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p4_found": p4_found,
     "p5_found": p5_found,
     "p5_turns": p5_turns,
+    "p6_containers": p6_containers,
+    "p6_fills": p6_fills,
+    "p7_mix": p7_mix,
+    "p7_shares": p7_shares,
     "p8_found": p8_found,
     "p8_stats": p8_stats,
 }
