@@ -113,3 +113,50 @@ def in_groups(df: DataFrame, keys: list[str], order: list[str], fold: Callable[[
         yield pd.DataFrame(out, columns=names)
 
     return placed.mapInPandas(run, schema)
+
+
+def bucketed_sum(df: DataFrame, keys: list[str], bucket: Column, order: list[Column], value: Column, name: str) -> DataFrame:
+    """Adds ``name``: the sum of ``value`` over the rows before this one within ``keys``; see bucketed_rank."""
+    b, v, before = f"__{name}_bucket", f"__{name}_value", f"__{name}_before"
+    df = df.withColumn(b, bucket).withColumn(v, value)
+    ahead = Window.partitionBy(*keys).orderBy(F.col(b).asc_nulls_first()).rowsBetween(Window.unboundedPreceding, -1)
+    sums = df.groupBy(*keys, b).agg(F.sum(v).alias("__s"))
+    offsets = sums.select(*[F.col(k).alias(f"__k_{k}") for k in keys], F.col(b).alias(f"__{b}"), F.coalesce(F.sum("__s").over(ahead), F.lit(0)).alias(before))
+    inner = Window.partitionBy(*keys, b).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    same = F.col(b).eqNullSafe(F.col(f"__{b}"))
+    for k in keys:
+        same = F.col(k).eqNullSafe(F.col(f"__k_{k}")) & same
+    return (
+        df.withColumn(name, F.coalesce(F.sum(v).over(inner), F.lit(0)))
+        .join(offsets, same, "left")
+        .withColumn(name, F.col(name) + F.col(before))
+        .drop(b, v, f"__{b}", before, *[f"__k_{k}" for k in keys])
+    )
+
+
+def fold_streams(df: DataFrame, keys: list[str], order: list[str], start: Callable[[], object], step: Callable[[object, tuple], Iterable[tuple]], finish: Callable[[object], Iterable[tuple]], columns: list[str], schema: str) -> DataFrame:
+    """A sequential fold for each key that holds its state only: rows stream through in order, however many a key has.
+
+    ``step(state, row)`` changes the state and may give rows, ``finish(state)`` gives the last ones; both without the key.
+    """
+    names = [c.strip().split()[0] for c in schema.split(",")]
+    placed = df.select(*keys, *columns).repartition(*keys).sortWithinPartitions(*keys, *order)
+    k = len(keys)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, state, out = None, None, []
+        for pdf in batches:
+            for t in zip(*(pdf.iloc[:, i].astype(object).where(pdf.iloc[:, i].notna(), None).tolist() if pdf.iloc[:, i].dtype != object else pdf.iloc[:, i].tolist() for i in range(pdf.shape[1]))):
+                if t[:k] != now:
+                    if now is not None:
+                        out.extend((*now, *r) for r in finish(state))
+                    now, state = t[:k], start()
+                out.extend((*now, *r) for r in step(state, t[k:]))
+            if len(out) > 4096:
+                yield pd.DataFrame(out, columns=names)
+                out = []
+        if now is not None:
+            out.extend((*now, *r) for r in finish(state))
+        yield pd.DataFrame(out, columns=names)
+
+    return placed.mapInPandas(run, schema)

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {}
+from ..frames import table
+from ..operators import retrieval
+from .queries import QUERIES, SQL, leaves
+
+__all__ = ["QUERIES", "SQL", "flagship"]
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    """Sparse search of the question set over all leaves."""
+    asked = table(spark, sf_dir, "requesta_items").select("qid", "question").distinct()
+    return retrieval.sparse_search(asked, "qid", "question", leaves(spark, sf_dir), "chunk_id", "source_text", 10)
