@@ -94,4 +94,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p8_found": p8_found,
     "p8_stats": p8_stats,
 }
-SQL: dict[str, str] = {}
+_SPACE = r"\s\x{b}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
+
+SQL: dict[str, str] = {
+    "p8_stats": rf"""WITH t AS (SELECT doc_id, coalesce(text, '') AS text FROM documents), w AS (SELECT *, list_filter(regexp_split_to_array(text, '[{_SPACE}]+'), lambda x: x <> '') AS w, list_filter(regexp_split_to_array(text, '\r\n|\r|\n'), lambda x: regexp_matches(x, '[^{_SPACE}]')) AS l FROM t)
+    SELECT doc_id, len(w)::BIGINT AS n_words, CASE WHEN len(w) > 0 THEN round(length(array_to_string(w, ''))::DOUBLE / len(w), 6) ELSE 0.0::DOUBLE END AS mean_word_length,
+    CASE WHEN length(text) > 0 THEN round(length(regexp_replace(text, '[\p{{L}}\p{{N}}{_SPACE}]', '', 'g'))::DOUBLE / length(text), 6) ELSE 0.0::DOUBLE END AS symbol_ratio,
+    CASE WHEN len(l) > 0 THEN round(len(list_filter(l, lambda x: regexp_matches(x, '[.!?…]["''”’»)\]]*[{_SPACE}]*$')))::DOUBLE / len(l), 6) ELSE 0.0::DOUBLE END AS ended_lines,
+    CASE WHEN len(w) > 0 THEN round(len(list_filter(w, lambda x: list_contains(cw, lower(regexp_replace(x, '^[^\p{{L}}]+|[^\p{{L}}]+$', '', 'g')))))::DOUBLE / len(w), 6) ELSE 0.0::DOUBLE END AS common_share FROM w, (SELECT list(DISTINCT lower(word)) AS cw FROM common_words)""",
+}
