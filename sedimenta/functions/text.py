@@ -88,13 +88,13 @@ def ordinal(label: Column) -> Column:
 
 def clean_answer(text: Column) -> Column:
     """The answer a reader sees: no citation marks, no hidden comments."""
-    return F.trim(F.regexp_replace(F.regexp_replace(text, r"\[cite:\d+\]", ""), COMMENT, ""))
+    return trimmed(F.regexp_replace(F.regexp_replace(text, r"\[cite:\d+\]", ""), COMMENT, ""))
 
 
 def normalize_answer(text: Column) -> Column:
     """Commas and ASCII punctuation off, articles off, spaces collapsed, lower case."""
     bare = F.regexp_replace(F.lower(text), PUNCTUATION, "")
-    return F.trim(F.regexp_replace(F.regexp_replace(bare, r"\b(a|an|the|and)\b", " "), r"\s+", " "))
+    return trimmed(F.regexp_replace(F.regexp_replace(bare, r"\b(a|an|the|and)\b", " "), SPACE + "+", " "))
 
 
 def cited(text: Column) -> Column:
@@ -120,7 +120,7 @@ def title_from(text: Column, most: int = 42) -> Column:
 
 def memory_key(key: Column) -> Column:
     """A key as the store takes it: a known name, an alias of one, or other:<slug>; empty where nothing is left."""
-    plain = F.replace(F.replace(folded(F.trim(key)), F.lit(" "), F.lit("_")), F.lit("-"), F.lit("_"))
+    plain = F.replace(F.replace(folded(trimmed(key)), F.lit(" "), F.lit("_")), F.lit("-"), F.lit("_"))
     alias = plain
     for given, meant in KEY_ALIASES.items():
         alias = F.when(plain == given, F.lit(meant)).otherwise(alias)
@@ -129,7 +129,7 @@ def memory_key(key: Column) -> Column:
 
 
 def email(address: Column) -> Column:
-    return folded(F.trim(address))
+    return folded(trimmed(address))
 
 
 def age_days(since: Column, now: Column) -> Column:

@@ -42,14 +42,14 @@ def bleu1(prediction: Column, reference: Column) -> Column:
 
 def multi_f1(prediction: Column, reference: Column) -> Column:
     """Mean over the comma-separated references of the best F1 among the comma-separated predictions."""
-    parts = lambda c: F.transform(F.split(c, ","), F.trim)
+    parts = lambda c: F.transform(F.split(c, ","), T.trimmed)
     best = F.transform(parts(reference), lambda r: F.array_max(F.transform(parts(prediction), lambda p: f1(p, r))))
     return F.round(F.aggregate(best, F.lit(0.0), lambda s, x: s + x) / F.size(best), 6)
 
 
 def category_f1(prediction: Column, reference: Column, category: Column) -> Column:
     """F1 by question category: lists for 1, the part before a semicolon for 3, plain for 2 and 4, null for 5."""
-    return F.when(category == 1, multi_f1(prediction, reference)).when(category == 3, f1(prediction, F.trim(F.element_at(F.split(reference, ";"), 1)))).when(category.isin(2, 4), f1(prediction, reference))
+    return F.when(category == 1, multi_f1(prediction, reference)).when(category == 3, f1(prediction, T.trimmed(F.element_at(F.split(reference, ";"), 1)))).when(category.isin(2, 4), f1(prediction, reference))
 
 
 def summarise(rows: DataFrame, by: list[str], means: list[str], label: str | None = None) -> DataFrame:

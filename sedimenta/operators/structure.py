@@ -75,7 +75,7 @@ def natural_units(blocks: DataFrame) -> DataFrame:
     per_doc = blocks.groupBy("doc_id").agg(
         F.sum(F.when(F.size("section_path") > 0, 1).otherwise(0)).alias("paths"),
         F.sum(F.when((F.col("type") == "heading"), 1).otherwise(0)).alias("headings"),
-        F.bool_or((F.col("type") == "heading") & (F.trim("text") != "")).alias("titled"),
+        F.bool_or((F.col("type") == "heading") & (T.trimmed(F.col("text")) != "")).alias("titled"),
     )
     clauses = clause_starts(blocks).groupBy("doc_id").agg(F.count(F.lit(1)).alias("clauses"), F.sum("size").alias("covered"), F.max("size").alias("largest"), F.max("total").alias("total"), F.bool_and("rising").alias("rising"))
     d = per_doc.join(clauses, "doc_id", "left")

@@ -101,7 +101,7 @@ def memory_keys(spark, d):
     return table(spark, d, "memories").select("memory_id", T.memory_key(F.col("key")).alias("key")).distinct()
 
 
-@query("resolver_addresses", f"SELECT {S.folded('trim(resolved_by)')} AS email, count(DISTINCT report_id)::BIGINT AS n FROM message_reports WHERE resolved_by IS NOT NULL GROUP BY 1")
+@query("resolver_addresses", f"SELECT {S.folded(S.trimmed('resolved_by'))} AS email, count(DISTINCT report_id)::BIGINT AS n FROM message_reports WHERE resolved_by IS NOT NULL GROUP BY 1")
 def resolver_addresses(spark, d):
     return table(spark, d, "message_reports").filter("resolved_by IS NOT NULL").groupBy(T.email(F.col("resolved_by")).alias("email")).agg(F.countDistinct("report_id").alias("n"))
 
@@ -172,7 +172,7 @@ def clause_sizes(spark, d):
     return structure.clause_starts(_blocks(spark, d)).select("doc_id", F.col("rank").cast("long").alias("rank"), "label", F.col("size").cast("long").alias("size"), "rising")
 
 
-_UNITS = f"""{_CLAUSES}, pd AS (SELECT doc_id, sum(CASE WHEN len(section_path) > 0 THEN 1 ELSE 0 END) AS paths, sum(CASE WHEN type = 'heading' THEN 1 ELSE 0 END) AS headings, bool_or(type = 'heading' AND trim(text) <> '') AS titled FROM r GROUP BY 1),
+_UNITS = f"""{_CLAUSES}, pd AS (SELECT doc_id, sum(CASE WHEN len(section_path) > 0 THEN 1 ELSE 0 END) AS paths, sum(CASE WHEN type = 'heading' THEN 1 ELSE 0 END) AS headings, bool_or(type = 'heading' AND {S.trimmed('text')} <> '') AS titled FROM r GROUP BY 1),
     cl AS (SELECT doc_id, count(*) AS clauses, sum(size) AS covered, max(size) AS largest, max(total) AS total, bool_and(rising) AS rising FROM k GROUP BY 1),
     u AS (SELECT doc_id, paths, headings, clauses, covered, total, CASE WHEN paths > 0 OR coalesce(titled, false) THEN 'heading' WHEN coalesce(clauses >= 3 AND rising AND covered >= 0.6 * total AND largest <= 0.9 * covered, false) THEN 'clause' ELSE 'none' END AS unit FROM pd LEFT JOIN cl USING (doc_id))"""
 
@@ -448,7 +448,7 @@ def bleu1(spark, d):
 
 @query(
     "category_f1",
-    f"""SELECT DISTINCT qid, CASE WHEN category = 3 THEN {_f1_sql('question', "trim(string_split(answer, ';')[1])")} WHEN category IN (2, 4) THEN {_f1_sql('question', 'answer')} END AS f1 FROM locomo_questions WHERE answer IS NOT NULL AND question IS NOT NULL AND category IN (2, 3, 4)""",
+    f"""SELECT DISTINCT qid, CASE WHEN category = 3 THEN {_f1_sql('question', S.trimmed("string_split(answer, ';')[1]"))} WHEN category IN (2, 4) THEN {_f1_sql('question', 'answer')} END AS f1 FROM locomo_questions WHERE answer IS NOT NULL AND question IS NOT NULL AND category IN (2, 3, 4)""",
 )
 def category_f1(spark, d):
     q = table(spark, d, "locomo_questions").filter("answer IS NOT NULL AND question IS NOT NULL AND category IN (2, 3, 4)")
@@ -469,7 +469,7 @@ def question_summary(spark, d):
 
 # --- conversations and memory -----------------------------------------------------------------------------------------
 
-_TURNS = f"t AS (SELECT thread_id, position, arg_min(struct_pack(i := message_id, r := {S.folded('trim(role)')}, c := content), message_id) AS m FROM thread_messages WHERE position IS NOT NULL GROUP BY 1, 2), tt AS (SELECT thread_id, position, m.i AS message_id, m.r AS role, m.c AS content, coalesce(length(m.c), 0) AS size FROM t)"
+_TURNS = f"t AS (SELECT thread_id, position, arg_min(struct_pack(i := message_id, r := {S.folded(S.trimmed('role'))}, c := content), message_id) AS m FROM thread_messages WHERE position IS NOT NULL GROUP BY 1, 2), tt AS (SELECT thread_id, position, m.i AS message_id, m.r AS role, m.c AS content, coalesce(length(m.c), 0) AS size FROM t)"
 
 
 @query(
@@ -639,7 +639,7 @@ def reports_by_owner(spark, d):
 @query(
     "upload_outcomes",
     f"""WITH f AS (SELECT project_id, sha256(text) AS h, min(doc_id) AS file FROM documents WHERE text IS NOT NULL AND project_id IS NOT NULL GROUP BY 1, 2), x AS (SELECT f.*, d.created_at AS trashed_at, d.lang FROM f JOIN documents d ON d.doc_id = f.file),
-    s AS (SELECT project_id, h, min(CASE WHEN lang IS NOT NULL THEN 1 WHEN epoch_us(TIMESTAMPTZ '{AS_OF}+00') - epoch_us(trashed_at) <= 604800000000 THEN 2 ELSE 3 END) AS s FROM x GROUP BY 1, 2)
+    s AS (SELECT project_id, h, min(CASE WHEN lang IS NOT NULL OR trashed_at IS NULL THEN 1 WHEN epoch_us(TIMESTAMPTZ '{AS_OF}+00') - epoch_us(trashed_at) <= 604800000000 THEN 2 ELSE 3 END) AS s FROM x GROUP BY 1, 2)
     SELECT d.doc_id AS upload_id, CASE coalesce(s.s, 4) WHEN 1 THEN 'duplicate' WHEN 2 THEN 'restored' WHEN 3 THEN 'purged_then_indexed' ELSE 'indexed' END AS outcome FROM documents d LEFT JOIN s ON s.project_id = d.project_id AND s.h = sha256(d.text)""",
 )
 def upload_outcomes(spark, d):

@@ -59,12 +59,12 @@ def clause_label(c: str) -> str:
 
 def clean_answer(c: str) -> str:
     marks = quoted(r"\[cite:\d+\]")
-    return f"trim(regexp_replace(regexp_replace({c}, {marks}, '', 'g'), {quoted(T.COMMENT)}, '', 'g'))"
+    return trimmed(f"regexp_replace(regexp_replace({c}, {marks}, '', 'g'), {quoted(T.COMMENT)}, '', 'g')")
 
 
 def normalize_answer(c: str) -> str:
     articles = quoted(r"\b(a|an|the|and)\b")
-    return f"trim(regexp_replace(regexp_replace(regexp_replace(lower({c}), {quoted(T.PUNCTUATION)}, '', 'g'), {articles}, ' ', 'g'), '\\s+', ' ', 'g'))"
+    return collapsed(f"regexp_replace(regexp_replace(lower({c}), {quoted(T.PUNCTUATION)}, '', 'g'), {articles}, ' ', 'g')")
 
 
 def answer_words(c: str) -> str:
@@ -76,7 +76,7 @@ def overlap(a: str, b: str) -> str:
 
 
 def memory_key(c: str) -> str:
-    plain = f"replace(replace({folded(f'trim({c})')}, ' ', '_'), '-', '_')"
+    plain = f"replace(replace({folded(trimmed(c))}, ' ', '_'), '-', '_')"
     alias = "CASE " + " ".join(f"WHEN {plain} = '{a}' THEN '{b}'" for a, b in T.KEY_ALIASES.items()) + f" ELSE {plain} END"
     slug = f"left(regexp_replace(regexp_replace(replace({alias}, '_', '-'), '[^a-z0-9-]+', '-', 'g'), '^-+|-+$', '', 'g'), 63)"
     known = "(" + ", ".join(f"'{k}'" for k in T.KEYS) + ")"
