@@ -63,27 +63,40 @@ def _remove(spark: SparkSession, path: str) -> None:
         pass
 
 
-def bucketed_rank(df: DataFrame, keys: list[str], bucket: Column, order: list[Column], name: str) -> DataFrame:
-    """Adds ``name``: the rank from 0 within ``keys``, without gathering a key in one task.
+def bucketed_prefix(df: DataFrame, keys: list[str], bucket: Column, order: list[Column], values: dict[str, Column]) -> DataFrame:
+    """Adds for each name the sum of its value over the rows before this one within ``keys``, without gathering a key in one task.
 
-    ``bucket`` must rise with the order (for example the order column divided by a step). Rows are ranked within
-    (keys, bucket) and the ranks are shifted by a prefix sum over the bucket counts, a table smaller by the bucket size.
+    ``bucket`` must rise with the order (for example the order column divided by a step). Sums run within (keys, bucket)
+    and are shifted by prefix sums over the bucket totals, a table smaller by the bucket size; all names share one
+    shuffle of the rows and one join.
     """
-    b, n, before = f"__{name}_bucket", f"__{name}_n", f"__{name}_before"
-    df = df.withColumn(b, bucket)
-    counts = df.groupBy(*keys, b).agg(F.count(F.lit(1)).alias(n))
-    ahead = Window.partitionBy(*keys).orderBy(F.col(b).asc_nulls_first()).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select(*[F.col(k).alias(f"__k_{k}") for k in keys], F.col(b).alias(f"__{b}"), F.coalesce(F.sum(n).over(ahead), F.lit(0)).alias(before))
-    inner = Window.partitionBy(*keys, b).orderBy(*order)
-    same = F.col(b).eqNullSafe(F.col(f"__{b}"))
+    named = [(n, f"__{n}_value", f"__{n}_before") for n in values]
+    df = df.withColumn("__bucket", bucket).withColumns({v: values[n] for n, v, _ in named})
+    totals = df.groupBy(*keys, "__bucket").agg(*[F.sum(v).alias(v) for _, v, _ in named])
+    ahead = Window.partitionBy(*keys).orderBy(F.col("__bucket").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = totals.select(*[F.col(k).alias(f"__k_{k}") for k in keys], F.col("__bucket").alias("__b"), *[F.coalesce(F.sum(v).over(ahead), F.lit(0)).alias(b) for _, v, b in named])
+    inner = Window.partitionBy(*keys, "__bucket").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    same = F.col("__bucket").eqNullSafe(F.col("__b"))
     for k in keys:
         same = F.col(k).eqNullSafe(F.col(f"__k_{k}")) & same
-    ranked = df.withColumn(name, F.row_number().over(inner) - 1)
-    return (
-        ranked.join(offsets, same, "left")
-        .withColumn(name, F.col(name) + F.col(before))
-        .drop(b, f"__{b}", before, *[f"__k_{k}" for k in keys])
-    )
+    summed = df.withColumns({n: F.coalesce(F.sum(v).over(inner), F.lit(0)) for n, v, _ in named})
+    joined = summed.join(offsets, same, "left").withColumns({n: F.col(n) + F.col(b) for n, _, b in named})
+    return joined.drop("__bucket", "__b", *[x for _, v, b in named for x in (v, b)], *[f"__k_{k}" for k in keys])
+
+
+def bucketed_rank(df: DataFrame, keys: list[str], bucket: Column, order: list[Column], name: str) -> DataFrame:
+    """Adds ``name``: the rank from 0 within ``keys``; see bucketed_prefix."""
+    return bucketed_prefix(df, keys, bucket, order, {name: F.lit(1).cast("long")})
+
+
+def bucketed_sum(df: DataFrame, keys: list[str], bucket: Column, order: list[Column], value: Column, name: str) -> DataFrame:
+    """Adds ``name``: the sum of ``value`` over the rows before this one within ``keys``; see bucketed_prefix."""
+    return bucketed_prefix(df, keys, bucket, order, {name: value})
+
+
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value worked out once for each row, however often it is used."""
+    return F.transform(F.array(value), use)[0]
 
 
 def in_groups(df: DataFrame, keys: list[str], order: list[str], fold: Callable[[tuple, list[tuple]], Iterable[tuple]], columns: list[str], schema: str, partitions: int | None = None) -> DataFrame:
@@ -115,25 +128,6 @@ def in_groups(df: DataFrame, keys: list[str], order: list[str], fold: Callable[[
     return placed.mapInPandas(run, schema)
 
 
-def bucketed_sum(df: DataFrame, keys: list[str], bucket: Column, order: list[Column], value: Column, name: str) -> DataFrame:
-    """Adds ``name``: the sum of ``value`` over the rows before this one within ``keys``; see bucketed_rank."""
-    b, v, before = f"__{name}_bucket", f"__{name}_value", f"__{name}_before"
-    df = df.withColumn(b, bucket).withColumn(v, value)
-    ahead = Window.partitionBy(*keys).orderBy(F.col(b).asc_nulls_first()).rowsBetween(Window.unboundedPreceding, -1)
-    sums = df.groupBy(*keys, b).agg(F.sum(v).alias("__s"))
-    offsets = sums.select(*[F.col(k).alias(f"__k_{k}") for k in keys], F.col(b).alias(f"__{b}"), F.coalesce(F.sum("__s").over(ahead), F.lit(0)).alias(before))
-    inner = Window.partitionBy(*keys, b).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    same = F.col(b).eqNullSafe(F.col(f"__{b}"))
-    for k in keys:
-        same = F.col(k).eqNullSafe(F.col(f"__k_{k}")) & same
-    return (
-        df.withColumn(name, F.coalesce(F.sum(v).over(inner), F.lit(0)))
-        .join(offsets, same, "left")
-        .withColumn(name, F.col(name) + F.col(before))
-        .drop(b, v, f"__{b}", before, *[f"__k_{k}" for k in keys])
-    )
-
-
 def fold_streams(df: DataFrame, keys: list[str], order: list[str], start: Callable[[], object], step: Callable[[object, tuple], Iterable[tuple]], finish: Callable[[object], Iterable[tuple]], columns: list[str], schema: str) -> DataFrame:
     """A sequential fold for each key that holds its state only: rows stream through in order, however many a key has.
 

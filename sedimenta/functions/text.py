@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from ..frames import let
+
 #: Patterns that Java and RE2 read alike.
 SPACE = r"[\s\x{b}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 NOT_SPACE = SPACE.replace("[", "[^", 1)
@@ -55,24 +57,30 @@ def words(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(WORD), F.lit(0))
 
 
-def _count(text: Column, pattern: str) -> Column:
-    return F.length(text) - F.length(F.regexp_replace(text, pattern, ""))
+def _only(text: Column, keep: str) -> Column:
+    """How many characters of the class ``keep`` a text has."""
+    return F.length(F.regexp_replace(text, f"[^{keep}]+", ""))
 
 
 def language_label(text: Column) -> Column:
     """Label by majority script (th, ko, ja, zh, vi, en) or null below four letters; by script only, so accents read as vi."""
-    low = folded(text)
-    thai, hangul = _count(low, r"[\x{e00}-\x{e7f}]"), _count(low, r"[\x{ac00}-\x{d7a3}]")
-    kana, ideograph = _count(low, r"[\x{3040}-\x{30ff}]"), _count(low, r"[\x{3400}-\x{4dbf}\x{4e00}-\x{9fff}]")
-    latin = _count(low, "[a-z]")
-    total = thai + hangul + kana + ideograph + latin
-    return (
-        F.when(total < 4, None)
-        .when(thai * 2 > total, "th")
-        .when(hangul * 2 > total, "ko")
-        .when((kana + ideograph) * 2 > total, F.when(kana > 0, "ja").otherwise("zh"))
-        .when(latin * 2 > total, F.when(low.rlike(VIETNAMESE), "vi").otherwise("en"))
+
+    def label(c: Column) -> Column:
+        total = c["th"] + c["ko"] + c["kana"] + c["han"] + c["latin"]
+        return (
+            F.when(total < 4, None)
+            .when(c["th"] * 2 > total, "th")
+            .when(c["ko"] * 2 > total, "ko")
+            .when((c["kana"] + c["han"]) * 2 > total, F.when(c["kana"] > 0, "ja").otherwise("zh"))
+            .when(c["latin"] * 2 > total, F.when(c["wide"].rlike(VIETNAMESE), "vi").otherwise("en"))
+        )
+
+    # The rare scripts are only counted where the text is not Latin through and through.
+    rest = lambda low: F.regexp_replace(low, r"[\x{0}-\x{24f}]+", "")
+    counts = lambda x: F.struct(
+        F.regexp_replace(x["low"], r"[\x{0}-\x{7f}]+", "").alias("wide"), _only(x["low"], "a-z").alias("latin"), _only(x["rest"], r"\x{e00}-\x{e7f}").alias("th"), _only(x["rest"], r"\x{ac00}-\x{d7a3}").alias("ko"), _only(x["rest"], r"\x{3040}-\x{30ff}").alias("kana"), _only(x["rest"], r"\x{3400}-\x{4dbf}\x{4e00}-\x{9fff}").alias("han")
     )
+    return let(folded(text), lambda low: let(F.struct(low.alias("low"), rest(low).alias("rest")), lambda x: let(counts(x), label)))
 
 
 def clause_label(text: Column) -> Column:

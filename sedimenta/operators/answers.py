@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..frames import let
 from ..functions import text as T
 
 RELEVANT = 0.5
@@ -13,31 +14,38 @@ RELEVANT = 0.5
 def overlap(a: Column, b: Column) -> Column:
     """Size of the multiset intersection of two arrays of words, without leaving the row."""
     times = lambda words, w: F.size(F.filter(words, lambda x: x == w))
-    return F.aggregate(F.array_distinct(b), F.lit(0), lambda s, w: s + F.least(times(a, w), times(b, w)))
+    both = F.struct(a.alias("a"), b.alias("b"))
+    return let(both, lambda s: F.aggregate(F.array_intersect(s["b"], s["a"]), F.lit(0), lambda n, w: n + F.least(times(s["a"], w), times(s["b"], w))))
+
+
+def _sides(a: Column, b: Column, use) -> Column:
+    """``use`` on a struct of both arrays, their sizes and their overlap, each worked out once."""
+    sized = lambda s: F.struct(F.size(s["p"]).alias("n"), F.size(s["r"]).alias("m"), overlap(s["p"], s["r"]).alias("same"))
+    return let(F.struct(a.alias("p"), b.alias("r")), lambda s: let(sized(s), use))
+
+
+def _words(text: Column) -> Column:
+    return F.filter(F.split(T.normalize_answer(text), " "), lambda x: x != "")
 
 
 def held_share(text: Column, gold: Column) -> Column:
     """Share of the gold passage's words that a text holds; null where the passage has none."""
-    t, g = T.words(text), T.words(gold)
-    return F.when(F.size(g) > 0, F.round(overlap(t, g) / F.size(g), 6))
+    return _sides(T.words(text), T.words(gold), lambda s: F.when(s["m"] > 0, F.round(s["same"] / s["m"], 6)))
 
 
 def f1(prediction: Column, reference: Column) -> Column:
     """Token F1 of normalised answers, unstemmed; 0 without common words."""
-    empty = lambda c: F.filter(F.split(T.normalize_answer(c), " "), lambda x: x != "")
-    p, r = empty(prediction), empty(reference)
-    same = overlap(p, r)
-    return F.when(same == 0, 0.0).otherwise(F.round(2.0 * same / (F.size(p) + F.size(r)), 6))
+    return _sides(_words(prediction), _words(reference), lambda s: F.when(s["same"] == 0, 0.0).otherwise(F.round(2.0 * s["same"] / (s["n"] + s["m"]), 6)))
 
 
 def bleu1(prediction: Column, reference: Column) -> Column:
     """Clipped unigram precision with brevity penalty; 0 for an empty side, smoothed where no word is common."""
-    empty = lambda c: F.filter(F.split(T.normalize_answer(c), " "), lambda x: x != "")
-    p, r = empty(prediction), empty(reference)
-    n, m = F.size(p), F.size(r)
-    same = overlap(p, r)
-    precision = F.when(same == 0, 0.1 / n).otherwise(same / n)
-    return F.when((n <= 0) | (m <= 0), 0.0).otherwise(F.round(precision * F.when(n < m, F.exp(1 - m / n)).otherwise(1.0), 6))
+
+    def score(s: Column) -> Column:
+        precision = F.when(s["same"] == 0, 0.1 / s["n"]).otherwise(s["same"] / s["n"])
+        return F.when((s["n"] <= 0) | (s["m"] <= 0), 0.0).otherwise(F.round(precision * F.when(s["n"] < s["m"], F.exp(1 - s["m"] / s["n"])).otherwise(1.0), 6))
+
+    return _sides(_words(prediction), _words(reference), score)
 
 
 def multi_f1(prediction: Column, reference: Column) -> Column:

@@ -11,7 +11,7 @@ from collections.abc import Iterator
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..frames import bucketed_rank, bucketed_sum, in_groups
+from ..frames import bucketed_prefix, bucketed_rank, bucketed_sum, in_groups, stage
 from ..functions import text as T
 
 STEP = 1_024
@@ -60,8 +60,10 @@ def clause_starts(blocks: DataFrame) -> DataFrame:
 
     The size is a difference of prefix sums, so no document is gathered.
     """
-    sized = bucketed_sum(ranked(blocks), ["doc_id"], F.floor(F.col("rank") / STEP), [F.col("rank")], F.coalesce(F.length("text"), F.lit(0)).cast("long"), "chars_before")
-    starts = sized.withColumn("label", T.clause_label(F.col("text"))).filter("label IS NOT NULL")
+    order = [F.col("block_order").asc_nulls_first(), F.col("block_id").asc_nulls_first()]
+    sized = bucketed_prefix(blocks, ["doc_id"], F.floor(F.col("block_order") / STEP), order, {"rank": F.lit(1).cast("long"), "chars_before": F.coalesce(F.length("text"), F.lit(0)).cast("long")})
+    # Staged: few and narrow rows, which the steps below read three times.
+    starts = stage(sized.withColumn("label", T.clause_label(F.col("text"))).filter("label IS NOT NULL").select("doc_id", "rank", "label", "chars_before"))
     number = bucketed_rank(starts, ["doc_id"], F.floor(F.col("rank") / STEP), [F.col("rank")], "n").select("doc_id", "rank", "label", "n", "chars_before")
     after = number.select("doc_id", (F.col("n") - 1).alias("n"), F.col("chars_before").alias("chars_end"), F.col("label").alias("next_label"))
     totals = blocks.groupBy("doc_id").agg(F.sum(F.coalesce(F.length("text"), F.lit(0))).alias("total"))
@@ -128,8 +130,8 @@ def markdown_parts(blocks: DataFrame) -> DataFrame:
 
 def markdown_anchors(blocks: DataFrame) -> DataFrame:
     """(doc_id, block_id, start, end): where each block's own text stands in the document's Markdown; headings have none."""
-    parts = ranked(markdown_parts(blocks))
-    placed = bucketed_sum(parts, ["doc_id"], F.floor(F.col("rank") / STEP), [F.col("rank")], F.col("size"), "before")
+    order = [F.col("block_order").asc_nulls_first(), F.col("block_id").asc_nulls_first()]
+    placed = bucketed_prefix(markdown_parts(blocks), ["doc_id"], F.floor(F.col("block_order") / STEP), order, {"before": F.col("size")})
     start = F.col("before") + F.length("prefix")
     return placed.filter("type <> 'heading'").select("doc_id", "block_id", start.alias("start"), (start + F.length("text")).alias("end"))
 
@@ -140,7 +142,8 @@ def fixed_windows(blocks: DataFrame, window: int = LEAF_TARGET) -> DataFrame:
     Word numbers are the prefix sums of the block sizes plus the place in the block; blocks are cut, words never move.
     """
     rows = blocks.filter(~F.col("type").isin("heading")).withColumn("n", F.coalesce(T.n_tokens(F.col("text")), F.lit(0)))
-    r = bucketed_sum(ranked(rows), ["doc_id"], F.floor(F.col("rank") / STEP), [F.col("rank")], F.col("n"), "before").filter("n > 0")
+    order = [F.col("block_order").asc_nulls_first(), F.col("block_id").asc_nulls_first()]
+    r = bucketed_prefix(rows, ["doc_id"], F.floor(F.col("block_order") / STEP), order, {"rank": F.lit(1).cast("long"), "before": F.col("n")}).filter("n > 0")
     low, high = F.floor(F.col("before") / window), F.floor((F.col("before") + F.col("n") - 1) / window)
     cut = r.withColumn("chunk", F.explode(F.sequence(low, high)))
     size = F.least(F.col("before") + F.col("n"), (F.col("chunk") + 1) * window) - F.greatest(F.col("before"), F.col("chunk") * window)
