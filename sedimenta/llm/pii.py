@@ -102,10 +102,10 @@ _NEVER = -1e4
 #: Transition potentials between the labels of neighbours.
 _STEP = {
     ("O", "O"): 0.0, ("O", "G"): -0.3, ("O", "P"): -2.0, ("O", "S"): -2.2,
-    ("G", "O"): -1.0, ("G", "G"): 0.4, ("G", "P"): 0.6, ("G", "S"): 2.2,
+    ("G", "O"): -1.0, ("G", "G"): 0.0, ("G", "P"): 0.6, ("G", "S"): 2.2,
     ("P", "P"): 0.0, ("P", "S"): 2.2,
     ("S", "O"): 0.0, ("S", "G"): -2.5, ("S", "K"): 0.6, ("S", "S"): -3.0, ("S", "P"): -3.0,
-    ("K", "G"): 1.6,
+    ("K", "G"): 3.0,
 }
 STEP = [[_STEP.get((a, b), _NEVER) for b in LABELS] for a in LABELS]
 #: A break (sign, end of a sentence) between neighbours: nothing goes on over it.
@@ -333,9 +333,11 @@ def word_counts(texts: list[str], given: frozenset) -> Counter:
                         out[low, "after", told[0]] += 1
                     told = []
                     nxt = k + 1
-                    while nxt < len(ahead) and (ahead[nxt].lower() in _PARTICLES or len(ahead[nxt].rstrip(".")) == 1 and ahead[nxt].endswith(".")):
+                    while nxt < len(ahead) and ahead[nxt].lower() in _PARTICLES:
                         nxt += 1
-                    if nxt < len(ahead) and ahead[nxt][:1].isupper() and not run[nxt][2]:
+                    # "Ask Doe, Jane" says nothing of Ask.
+                    turned = nxt + 2 < len(ahead) and ahead[nxt + 1] == "," and ahead[nxt + 2][:1].isupper()
+                    if nxt < len(ahead) and len(ahead[nxt].rstrip(".")) > 1 and ahead[nxt][:1].isupper() and not run[nxt][2] and not turned:
                         out[low, "then", ahead[nxt].casefold()] += 1
                 elif not (t.lower() in _PARTICLES or len(t.rstrip(".")) == 1 and t != ","):
                     told = []
@@ -368,6 +370,17 @@ def lexicon(texts: DataFrame, given: frozenset) -> DataFrame:
     return forms.join(firsts, "word", "left").select("word", "low", "cap", "surname", F.coalesce("givens", F.lit(0)).alias("givens"))
 
 
+def _is_monsieur(rows: list[tuple], i: int, given: frozenset) -> bool:
+    """Whether "M." is a title: a given name or an initial follows, or a turned name that the sentence goes on from."""
+    ahead = [r for r in rows[i + 1 : i + 6] if r[0] == rows[i][0]]
+    words = [r[3] for r in ahead]
+    if not words:
+        return False
+    if words[0].casefold() in given or len(words[0]) == 2 and words[0].endswith(".") or len(words) > 1 and words[1] != "," and words[0][:1].isupper() and words[1][:1].isupper() and len(words[1]) > 2 and not ahead[1][4]:
+        return True
+    return len(words) > 3 and words[1] == "," and words[2][:1].isupper() and words[3].lower() in ("habite", "a", "est", "au", "et", "qui", "ou")
+
+
 def name_spans(rows: list[tuple], given: frozenset) -> list[tuple[int, int]]:
     """The names of one document; rows: (window, place, start, word, apart, low, cap, surname, givens), in order."""
     unary, edges = [], []
@@ -377,7 +390,7 @@ def name_spans(rows: list[tuple], given: frozenset) -> list[tuple[int, int]]:
         o, g, p, s, k = 0.0, _NEVER, _NEVER, _NEVER, _NEVER
         if word == ",":
             k = 0.0
-        elif bare.lower() in _TITLES or not bare or not bare[0].isalpha():
+        elif bare.lower() in _TITLES or not bare or not bare[0].isalpha() or word == "M." and _is_monsieur(rows, i, given):
             pass
         elif bare[0].isupper() and len(bare) == 1:
             g = 0.2
@@ -388,7 +401,7 @@ def name_spans(rows: list[tuple], given: frozenset) -> list[tuple[int, int]]:
             o = max(0.0, min(4.0, 1.0 + 0.6 * math.log((low + 0.5) / (cap + 0.5)))) if not known else 0.0
             if bare.isupper() and len(bare) < 4:
                 o += 3.0
-            g = 1.6 if known else 1.4 + 1.2 * math.log(((givens or 0) + 0.1) / (cap + 1) + 0.02)
+            g = 1.6 if known else min(1.6, 1.6 + 2.0 * math.log(((givens or 0) + 0.2) / (cap + 0.5) + 0.02))
             # One given name alone says nothing of a word that is seen often.
             told = max(0.0, (surname or 0) - (EACH - 0.5) * min(1.0, cap / 10))
             s = min(2.2, 1.5 + 1.4 * math.log((told + 0.25) / (min(cap, ENOUGH) + 0.5))) if not known else -1.5
@@ -401,7 +414,7 @@ def name_spans(rows: list[tuple], given: frozenset) -> list[tuple[int, int]]:
                 # The Rose Valley build: what follows an article is no person.
                 unary[i][1] -= 2.5
                 unary[i][3] -= 2.5
-            if before in _TITLES:
+            if before in _TITLES or rows[i - 1][3] == "M." and unary[i - 1][1] <= _NEVER:
                 unary[i][3] += 1.6
             edges.append((i - 1, i, _BROKEN if apart else STEP))
         elif i:
@@ -438,7 +451,9 @@ def name_spans(rows: list[tuple], given: frozenset) -> list[tuple[int, int]]:
                 k = run_of(s, "K")
                 back = run_of(k, "G") if k > s else k
                 if back > k > s:
-                    out.append((rows[i][2], rows[back - 1][2] + len(rows[back - 1][3])))
+                    # A small particle after a small word is a preposition: "the parcel of Doe, Jane" in French or Spanish.
+                    led = p > i and i and rows[i - 1][0] == win and rows[i - 1][3][:1].islower() and rows[i][3][:1].islower()
+                    out.append((rows[p if led else i][2], rows[back - 1][2] + len(rows[back - 1][3])))
                     i = back
                     continue
                 if i and rows[i - 1][0] == win and rows[i - 1][3].rstrip(".").lower() in _TITLES:
