@@ -97,21 +97,21 @@ _UNITS = {"ms", "s", "mb", "kpa", "gb", "kb", "h", "min", "km", "m", "v", "w", "
 _TOKEN = re.compile(r"[^\W\d_]+(?:['’\-][^\W\d_]+)*|[,.]|\d+|[^\w\s]")
 _PARTICLES = {"von", "van", "de", "del", "der", "den", "du", "di", "da", "dos", "la", "le", "zu", "ten", "ter", "af", "al", "bin", "ibn", "mac", "des", "della", "vom"}
 _TITLES = {"dr", "mr", "mrs", "ms", "prof", "herr", "herrn", "frau", "mme", "mlle", "monsieur", "madame", "sr", "sra", "srta", "don", "doña", "señor", "señora", "miss", "sir", "ing", "dipl"}
-LABELS = ("O", "G", "P", "S", "K")  # outside, given name or initial, particle, surname, comma inside a name
+LABELS = ("O", "G", "P", "S", "K", "T")  # outside, given name or initial, particle, surname, comma inside a name, surname before it
 _NEVER = -1e4
 #: Transition potentials between the labels of neighbours.
 _STEP = {
-    ("O", "O"): 0.0, ("O", "G"): -0.3, ("O", "P"): -2.0, ("O", "S"): -2.2,
-    ("G", "O"): -1.0, ("G", "G"): 0.0, ("G", "P"): 0.6, ("G", "S"): 2.2,
-    ("P", "P"): 0.0, ("P", "S"): 2.2,
-    ("S", "O"): 0.0, ("S", "G"): -2.5, ("S", "K"): 0.6, ("S", "S"): -3.0, ("S", "P"): -3.0,
-    ("K", "G"): 3.0,
+    ("O", "O"): 0.0, ("O", "G"): -0.3, ("O", "P"): -2.0, ("O", "S"): -2.2, ("O", "T"): -0.6,
+    ("G", "O"): -1.0, ("G", "G"): 0.0, ("G", "P"): 0.6, ("G", "S"): 2.2, ("G", "T"): -2.0,
+    ("P", "P"): 0.0, ("P", "S"): 2.2, ("P", "T"): 1.4,
+    ("S", "O"): 0.0, ("S", "G"): -2.5, ("S", "S"): -3.0, ("S", "P"): -3.0, ("S", "T"): -2.8,
+    ("T", "K"): 0.6, ("K", "G"): 2.0,
 }
 STEP = [[_STEP.get((a, b), _NEVER) for b in LABELS] for a in LABELS]
 #: A break (sign, end of a sentence) between neighbours: nothing goes on over it.
-_BROKEN = [[(0.0 if a in "OGS" and b in "OGPS" else _NEVER) + (-1.0 if a == "G" else 0) + (-0.3 if b == "G" else -2.0 if b == "P" else -2.2 if b == "S" else 0) for b in LABELS] for a in LABELS]
+_BROKEN = [[(0.0 if a in "OGS" and b in "OGPST" else _NEVER) + (-1.0 if a == "G" else 0) + {"G": -0.3, "P": -2.0, "S": -2.2, "T": -0.6}.get(b, 0.0) for b in LABELS] for a in LABELS]
 #: Skip edges: agreement of equal or similar words of a document.
-_SKIP = [[(0.8 if a == b else 0.0) if a in "OGS" and b in "OGS" else 0.0 for b in LABELS] for a in LABELS]
+_SKIP = [[0.8 if a in "OGST" and b in "OGST" and (a == b or {a, b} == {"S", "T"}) else 0.0 for b in LABELS] for a in LABELS]
 
 
 def best_labels(unary: list[list[float]], edges: list[tuple[int, int, list[list[float]]]], rounds: int = ROUNDS) -> list[int]:
@@ -407,18 +407,19 @@ def name_spans(rows: list[tuple], given: frozenset) -> list[tuple[int, int]]:
             s = min(2.2, 1.5 + 1.4 * math.log((told + 0.25) / (min(cap, ENOUGH) + 0.5))) if not known else -1.5
         elif bare in _PARTICLES:
             p = 0.3
-        unary.append([o, g, p, s, k])
+        unary.append([o, g, p, s, k, s])
         if i and rows[i - 1][0] == win:
             before = rows[i - 1][3].rstrip(".").lower()
             if before == "the":
                 # The Rose Valley build: what follows an article is no person.
                 unary[i][1] -= 2.5
                 unary[i][3] -= 2.5
+                unary[i][5] -= 2.5
             if before in _TITLES or rows[i - 1][3] == "M." and unary[i - 1][1] <= _NEVER:
                 unary[i][3] += 1.6
             edges.append((i - 1, i, _BROKEN if apart else STEP))
         elif i:
-            edges.append((i - 1, i, [[0.0] * 5 for _ in range(5)]))
+            edges.append((i - 1, i, [[0.0] * len(LABELS) for _ in LABELS]))
         if len(bare) > 2 and bare[0].isupper():
             low_form = bare.casefold()
             for form in (low_form, low_form[:5] + "~" + str(len(low_form))):
@@ -439,29 +440,27 @@ def name_spans(rows: list[tuple], given: frozenset) -> list[tuple[int, int]]:
                 end += 1
             return end
 
-        if labels[i] in "GPS":
+        if labels[i] in "GPST":
             g = run_of(i, "G", True)
             p = run_of(g, "P", g == i)
             s = run_of(p, "S", p == i)
-            if g > i and s > p:  # given names, particles, surname
-                out.append((rows[i][2], rows[s - 1][2] + len(rows[s - 1][3])))
-                i = s
-                continue
-            if g == i and s > p:  # surname, given names
-                k = run_of(s, "K")
-                back = run_of(k, "G") if k > s else k
-                if back > k > s:
-                    # A small particle after a small word is a preposition: "the parcel of Doe, Jane" in French or Spanish.
-                    led = p > i and i and rows[i - 1][0] == win and rows[i - 1][3][:1].islower() and rows[i][3][:1].islower()
-                    out.append((rows[p if led else i][2], rows[back - 1][2] + len(rows[back - 1][3])))
-                    i = back
-                    continue
-                if i and rows[i - 1][0] == win and rows[i - 1][3].rstrip(".").lower() in _TITLES:
+            if s > p:  # given names, particles, surname; a lone surname counts behind a title
+                if g > i or i and rows[i - 1][0] == win and rows[i - 1][3].rstrip(".").lower() in _TITLES | {"m"}:
                     out.append((rows[i][2], rows[s - 1][2] + len(rows[s - 1][3])))
                 i = s
                 continue
-            i = max(i + 1, g)
-            continue
+            if g > i:  # a lone given name
+                i = g
+                continue
+            t = run_of(p, "T", p == i)
+            k = run_of(t, "K")
+            back = run_of(k, "G")
+            if back > k > t > p:  # surname, given names
+                # A small particle after a small word is a preposition: "the parcel of Doe, Jane" in French or Spanish.
+                led = p > i and i and rows[i - 1][0] == win and rows[i - 1][3][:1].islower() and rows[i][3][:1].islower()
+                out.append((rows[p if led else i][2], rows[back - 1][2] + len(rows[back - 1][3])))
+                i = back
+                continue
         i += 1
     return out
 
