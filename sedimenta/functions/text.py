@@ -113,7 +113,7 @@ def cited(text: Column) -> Column:
 def used_ids(text: Column) -> Column:
     """The summary items that an answer names as used: s followed by a number, each once."""
     raw = F.regexp_extract(text, USED, 1)
-    return F.array_distinct(F.filter(F.transform(F.split(raw, ","), F.trim), lambda x: x.rlike(r"^s\d+$")))
+    return F.array_distinct(F.filter(F.transform(F.split(raw, ","), lambda x: F.trim(x)), lambda x: x.rlike(r"^s\d+$")))
 
 
 def estimated_tokens(text: Column) -> Column:
