@@ -11,19 +11,20 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..frames import SPACES, in_groups, stage
+from ..frames import SPACES, fold_streams, stage
 
 #: An opening is this many characters of the first sentence, codes, numbers and names masked; its shingles have GRAM characters.
 OPENING = 90
 GRAM = 4
 BANDS, ROWS = 16, 4
 SIMILAR = 0.8
-#: Different questions that a template must answer to count as recurring.
+#: Unrelated questions (with different masked openings) that a template must answer to count as recurring.
 RECURRING = 3
 #: Words of a short phrase.
 PHRASE = 6
@@ -87,6 +88,21 @@ _SORRY = re.compile(
     re.I,
 )
 
+#: Declining without a speaker, by language; it counts for templates that recur across unrelated questions only.
+_IMPERSONAL = re.compile(
+    r"\b(?:this|that|such an?|your|these|such) (?:questions?|requests?|topics?|subjects?|matters?|query|queries|inquiry)\b[^.!?]{0,40}?\b(?:can(?:not|['’]t| not)|could not|may not|must not|will not|won['’]t|is not|are not|not going to) (?:be )?(?:\w+ )?(?:answered|discussed|addressed|fulfilled|granted|processed|completed|handled|met|shared|covered|taken)"
+    r"|\bno (?:answer|comment|reply|response|information|statement|help|assistance|advice|details)\b[^.!?]{0,40}\b(?:given|provided|offered|possible|shared|made)\b"
+    r"|\b(?:answer|reply|response|information|details|help|assistance|advice|comment)\b[^.!?]{0,20}\b(?:cannot|can['’]t|can not|may not|must not|will not|won['’]t) be (?:given|provided|shared|disclosed|offered|made)"
+    r"|\b(?:not (?:possible|permitted|allowed)|impossible|forbidden|prohibited) to (?:answer|discuss|comment|help|respond|disclose)\b|\b(?:answering|discussing|commenting|disclosing)\b[^.!?]{0,40}\b(?:not (?:possible|permitted|allowed)|impossible|forbidden|prohibited)\b"
+    r"|\bnot something (?:that )?(?:can|may) be (?:answered|discussed|shared)|\b(?:must|has to|will have to) (?:remain|stay|go) unanswered\b|\boff[- ]limits\b"
+    r"|\b(?:diese|deine|ihre|eure|solche)\w? (?:fragen?|anfragen?|themen?)\b[^.!?]{0,60}\bnicht (?:\w+ )?(?:beantwortet|besprochen|bearbeitet|behandelt|erfüllt)|\bkein\w* (?:antwort|auskunft|angaben|stellungnahme|kommentar)\b[^.!?]{0,40}\b(?:gegeben|erteilt|gemacht|möglich|abgegeben)"
+    r"|\b(?:dazu|darüber|hierzu|hierüber)\b[^.!?]{0,40}\b(?:nicht|nichts)\b[^.!?]{0,20}\b(?:gesagt|gesprochen|geantwortet|mitgeteilt)"
+    r"|\b(?:cette|votre|ta|telle) (?:question|demande)\b[^.!?]{0,30}?\b(?:ne |n['’])[^.!?]{0,20}\bpas\b[^.!?]{0,25}(?:répon\w+|traitée?|abordée?|satisfaite)|\baucune? (?:réponse|information|commentaire|précision)\b[^.!?]{0,30}\b(?:donnée?|fournie?|possible|communiquée?|fait)"
+    r"|\b(?:n['’]est pas (?:possible|permis)|est (?:impossible|interdit)) (?:de |d['’])(?:y )?(?:répondre|parler|commenter|discuter|aider)"
+    r"|\b(?:esta|esa|su|tu) (?:pregunta|solicitud|petición|consulta|cuestión)\b[^.!?]{0,30}?\bno\b[^.!?]{0,20}(?:respond\w+|contest\w+|atend\w+|trat\w+)|\bno (?:es posible|está permitido|se puede) (?:responder|contestar|hablar|comentar|ayudar)|\bno se (?:puede|da|dará|ofrece) (?:dar )?(?:ninguna )?(?:respuesta|información|ayuda)",
+    re.I,
+)
+
 
 def plain(text: str) -> list[str]:
     """The words of a text in lower case, without signs."""
@@ -138,17 +154,21 @@ def refusal_cue(answer: str) -> int:
     return (2 if own and no else 0) + (1 if lead and (own or no) else 0)
 
 
+def declines(answer: str) -> bool:
+    """Whether any sentence declines, with or without a speaker; read for recurring templates, as one alone may tell of others."""
+    return any(_IMPERSONAL.search(s) or _SELF.search(s) and _DECLINE.search(s) for s in _SENTENCE.split(_QUOTED.sub(" ", answer).strip()))
+
+
 def shingles(text: str) -> set[str]:
     return {text[i : i + GRAM] for i in range(max(1, len(text) - GRAM + 1))}
 
 
 def signature(text: str) -> list[int]:
-    grams = [xxhash.xxh64_intdigest(g) for g in shingles(text)]
-    mask = (1 << 61) - 1
-    return [min((g * a + b) % mask for g in grams) for a, b in _HASHES]
+    grams = np.array([xxhash.xxh64_intdigest(g) for g in shingles(text)], dtype=np.uint64)
+    return (grams[:, None] * _HASHES[0] + _HASHES[1]).min(axis=0).tolist()
 
 
-_HASHES = [(xxhash.xxh64_intdigest(f"a{i}") | 1, xxhash.xxh64_intdigest(f"b{i}")) for i in range(BANDS * ROWS)]
+_HASHES = np.array([[xxhash.xxh64_intdigest(f"a{i}") | 1, xxhash.xxh64_intdigest(f"b{i}")] for i in range(BANDS * ROWS)], dtype=np.uint64).T
 
 
 def jaccard(a: set, b: set) -> float:
@@ -167,16 +187,15 @@ def _band_rows(openings: DataFrame) -> DataFrame:
     return openings.mapInPandas(run, "bucket string, opening string, prompts long")
 
 
-def _leaders(key: tuple, rows: list[tuple]) -> Iterator[tuple]:
+def _placed(leaders: list[tuple[str, set]], row: tuple) -> Iterator[tuple]:
     """Each opening of a bucket goes to the first leader it is truly similar to, or becomes one."""
-    leaders: list[tuple[str, set]] = []
-    for text, prompts in rows:
-        mine = shingles(text)
-        home = next((lead for lead, theirs in leaders if jaccard(mine, theirs) >= SIMILAR), None)
-        if home is None:
-            leaders.append((text, mine))
-            home = text
-        yield key[0], home, text, prompts
+    text, prompts = row
+    mine = shingles(text)
+    home = next((lead for lead, theirs in leaders if jaccard(mine, theirs) >= SIMILAR), None)
+    if home is None:
+        leaders.append((text, mine))
+        home = text
+    yield home, text, prompts
 
 
 def templates(openings: DataFrame) -> DataFrame:
@@ -185,7 +204,7 @@ def templates(openings: DataFrame) -> DataFrame:
     openings: (opening, prompts), each once. Openings that fall into one bucket of a MinHash band are compared with the
     leaders found in it; the reach is the largest over the bands. A bucket streams through with its leaders only.
     """
-    placed = in_groups(_band_rows(openings), ["bucket"], ["opening"], _leaders, ["opening", "prompts"], "bucket string, leader string, opening string, prompts long")
+    placed = fold_streams(_band_rows(openings), ["bucket"], ["opening"], list, _placed, lambda leaders: [], ["opening", "prompts"], "bucket string, leader string, opening string, prompts long")
     size = placed.groupBy("bucket", "leader").agg(F.sum("prompts").alias("size"))
     return placed.join(size, ["bucket", "leader"]).groupBy("opening").agg(F.max("size").alias("reach"))
 
@@ -277,7 +296,7 @@ def ending(answer: str) -> tuple[str, str | None]:
     return ("ask", word) if len(words) > 1 else ("whole", None)
 
 
-_FACTS = "item_table string, qid string, question string, answer string, state string, opening string, cue int, alien string, tail string, last string, asked string, content array<string>"
+_FACTS = "item_table string, qid string, question string, answer string, state string, opening string, topic string, cue int, declined boolean, alien string, tail string, last string, asked string, content array<string>"
 
 
 def _facts(pairs: DataFrame) -> DataFrame:
@@ -290,14 +309,14 @@ def _facts(pairs: DataFrame) -> DataFrame:
                 if category == 5:
                     continue
                 if is_empty(answer):
-                    out.append((table, qid, question, answer, "empty", None, 0, "no", "whole", None, None, None))
+                    out.append((table, qid, question, answer, "empty", None, None, 0, False, "no", "whole", None, None, None))
                     continue
                 cue = refusal_cue(answer)
                 alien = foreign(question, answer)
                 tail, last = ending(answer)
                 words = [w for w in dict.fromkeys(_LETTERS.findall(_CODE.sub(" ", _QUOTED.sub(" ", answer)).casefold())) if len(w) > 2] if alien is None else None
                 state = "copy" if is_copy(question, answer) else ""
-                out.append((table, qid, question, answer, state, opening(answer), cue, alien or "ask", tail, last, question_language(question), words))
+                out.append((table, qid, question, answer, state, opening(answer), opening(question) if question else None, cue, declines(answer), alien or "ask", tail, last, question_language(question), words))
             yield pd.DataFrame(out, columns=[x.split()[0] for x in _FACTS.split(", ")])
 
     return pairs.mapInPandas(run, _FACTS)
@@ -336,10 +355,8 @@ def defects(pairs: DataFrame) -> DataFrame:
     # Staged, as five branches read it.
     facts = stage(_facts(pairs).withColumn("id", F.sha2(F.to_json(F.struct("item_table", "qid", "question", "answer")), 256)))
     usual = facts.filter("opening IS NOT NULL")
-    # Templates: masked openings, each once with the number of questions it answers.
-    openings = usual.groupBy("opening").agg(F.countDistinct("question").alias("prompts"))
-    cued = usual.filter("cue > 0").select("opening").distinct()
-    reach = templates(openings.join(cued, "opening", "left_semi"))
+    # Templates: all masked openings, each once with the number of unrelated questions it answers; only their reach makes candidates.
+    reach = templates(usual.groupBy("opening").agg(F.countDistinct("topic").alias("prompts")))
     # Short answers without function words: the language by the words' company over all pairs.
     words = _word_rows(pairs)
     spoken = words.filter("lang <> ''").groupBy(F.lower("word").alias("w"), "lang").agg(F.sum("n").alias("n"))
@@ -363,7 +380,7 @@ def defects(pairs: DataFrame) -> DataFrame:
     joined = facts.join(reach, "opening", "left").join(guess, "id", "left").join(cut, "id", "left")
     rank = (
         F.when(F.col("state") == "empty", 0)
-        .when((F.col("cue") >= 3) | ((F.col("cue") >= 1) & ((F.col("cue") >= 2) | (F.coalesce("reach", F.lit(0)) >= RECURRING))), 1)
+        .when((F.col("cue") >= 2) | ((F.coalesce("reach", F.lit(0)) >= RECURRING) & ((F.col("cue") == 1) | F.col("declined"))), 1)
         .when(F.col("state") == "copy", 2)
         .when((F.col("alien") == "yes") | F.col("other"), 3)
         .when((F.col("tail") == "broken") | F.col("cut"), 4)

@@ -53,3 +53,15 @@ def test_templates_join_similar_openings(spark):
     rows = [(base, 2), (base.replace("another #", "another one #"), 1), ("something else altogether, about pumps", 1)]
     reach = {r.opening: r.reach for r in p4.templates(spark.createDataFrame(rows, "opening string, prompts long")).collect()}
     assert reach[rows[0][0]] == reach[rows[1][0]] == 3 and reach[rows[2][0]] == 1
+
+
+def test_uncued_templates_are_refusals_by_their_reach(spark):
+    # No word of the first sentences is a cue, so only reach across unrelated questions and the declining check can tell.
+    asked = ("Where does Calygate keep the pump?", "What happens if the lamp fails?", "How long may the backup take?", "Why was the register moved?")
+    said = ("This question must not be answered here.", "Dazu darf an dieser Stelle nichts gesagt werden.", "That is a delicate matter. I cannot help with it.")
+    rows = [("t", f"r{k}-{i}", q, a, 0) for k, a in enumerate(said) for i, q in enumerate(asked)]
+    rows += [("t", f"n{i}", q, "It cannot be changed by the operator.", 0) for i, q in enumerate(asked)]
+    rows += [("t", "once", asked[0], "No answer to it can be given by the valve.", 0), ("t", "named1", "What did Ann buy?", "No help was offered in the shop.", 0), ("t", "named2", "What did Bob buy?", "No help was offered in the shop.", 0), ("t", "named3", "What did Eve buy?", "No help was offered in the shop.", 0)]
+    assert all(p4.refusal_cue(a) == 0 for _, _, _, a, _ in rows)
+    got = {r.qid for r in p4.defects(spark.createDataFrame(rows, SCHEMA)).filter("defect = 'refusal'").collect()}
+    assert got == {f"r{k}-{i}" for k in range(3) for i in range(4)}
