@@ -238,3 +238,10 @@ def found(messages: DataFrame, reports: DataFrame) -> DataFrame:
     a = conversation_defects(messages).select(F.lit("thread_messages").alias("src_table"), "conv_id", "defect")
     b = report_defects(reports).select(F.lit("message_reports").alias("src_table"), "conv_id", "defect").distinct()
     return a.unionByName(b).filter("defect IS NOT NULL")
+
+
+def turns(messages: DataFrame, reports: DataFrame) -> DataFrame:
+    """(src_table, conv_id, turn, role, content): the whole conversations of both tables in order."""
+    a = conversations(messages).select(F.lit("thread_messages").alias("src_table"), "conv_id", "turn", "role", "content")
+    b = report_turns(reports).select(F.lit("message_reports").alias("src_table"), "conv_id", "turn", "role", "content")
+    return a.unionByName(b)

@@ -30,7 +30,7 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p5_turns(spark: SparkSession, d: str) -> DataFrame:
-    return p5.conversations(table(spark, d, "thread_messages"))
+    return p5.turns(table(spark, d, "thread_messages"), table(spark, d, "message_reports"))
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:

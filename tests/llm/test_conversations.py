@@ -90,3 +90,17 @@ def test_reports():
     assert [p5.report_defect(x) for x in ("{", "[1, {\"role\": \"user\", \"content\": \"x\"}]", "{}", say(("assistant", "x")), say(("user", "x"), ("assistant", "y"), ("assistant", "z")), say(("user", " "), ("assistant", "y")), say(("user", "x"), ("tool", "y")))] == ["broken"] * 7
     assert [p5.report_defect(x) for x in (say(("user", "x")), say(("user", "x"), ("assistant", "​")), say(("user", "x"), ("user", "y"), ("assistant", "z")))] == ["missing_reply"] * 3
     assert p5.report_defect(say((" User", "x"), ("ASSISTANT ", "y"))) is None
+
+
+def test_turns_of_both_tables(spark, tmp_path):
+    from sedimenta.llm.queries import p5_turns
+
+    say = lambda *turns: json.dumps([{"role": r, "content": c} for r, c in turns])
+    whole = say((" User", "a"), ("ASSISTANT", "b"), ("user", "c"), ("assistant", "d"))
+    reports = [("r1", whole), ("r1", whole), ("r2", say(("user", "a"))), ("r3", "{"), ("r4", None), ("t1", say(("user", "x"), ("assistant", "y")))]
+    messages = [("m1", "t1", "user", "a", None, None, 1, None), ("m2", "t1", "assistant", "b", None, None, 2, None), ("m3", "t2", "user", "a", None, None, 1, None)]
+    spark.createDataFrame(messages, SCHEMA).write.parquet(f"{tmp_path}/thread_messages.parquet")
+    spark.createDataFrame(reports, "report_id string, conversation string").write.parquet(f"{tmp_path}/message_reports.parquet")
+    got = sorted((r.src_table, r.conv_id, r.turn, r.role, r.content) for r in p5_turns(spark, str(tmp_path)).collect())
+    threads = [("thread_messages", "t1", 0, "user", "a"), ("thread_messages", "t1", 1, "assistant", "b")]
+    assert got == sorted([("message_reports", "r1", i, ("user", "assistant")[i % 2], "abcd"[i]) for i in range(4)] + [("message_reports", "t1", 0, "user", "x"), ("message_reports", "t1", 1, "assistant", "y")] + threads)
