@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..frames import SPACES, fold_streams, stage
+from ..frames import SPACES, UNICODE_SPACE, fold_streams, stage
 
 #: An opening is this many characters of the first sentence, codes, numbers and names masked; its shingles have GRAM characters.
 OPENING = 90
@@ -26,8 +26,8 @@ BANDS, ROWS = 16, 4
 SIMILAR = 0.8
 #: Unrelated questions (with different masked openings) that a template must answer to count as recurring.
 RECURRING = 3
-#: Words of a short phrase.
-PHRASE = 6
+#: Words of a short phrase, and how many times as often as it the answers in which its last word goes on may stand before it counts as cut.
+PHRASE, GOES_ON = 6, 4
 
 #: Texts that stand for nothing.
 PLACEHOLDERS = {
@@ -332,8 +332,9 @@ def _word_rows(pairs: DataFrame) -> DataFrame:
             for text, is_answer, lang in [*((t, False, g) for t, g in zip(pdf["question"], asked)), *((t, True, g) for t, g in zip(pdf["answer"], asked))]:
                 if not text:
                     continue
-                words = [w.strip(".,;:!?…'’\"«»„“”()[]") for w in text.split()]
-                if is_answer and not _CLOSED.search(text):
+                dots = _ELLIPSIS.search(text) if is_answer else None
+                words = [w.strip(".,;:!?…'’\"«»„“”()[]") for w in (text[: dots.start()] if dots else text).split()]
+                if is_answer and (dots or not _CLOSED.search(text)):
                     words = words[:-1]
                 count.update((w, lang) for w in words if w)
             yield pd.DataFrame([(w, lang, n) for (w, lang), n in count.items()], columns=["word", "lang", "n"])
@@ -374,9 +375,19 @@ def defects(pairs: DataFrame) -> DataFrame:
     begins = known.filter("n >= 2").select(F.explode(F.transform(F.sequence(F.lit(1), F.greatest(F.length("word") - 1, F.lit(1))), lambda i: F.substring("word", F.lit(1), i))).alias("last")).distinct()
     ends = usual.filter("tail = 'ask' AND last IS NOT NULL")
     lasts = ends.select("last").distinct().join(known.select(F.col("word").alias("last")), "last", "left_anti").join(begins, "last", "left_semi")
-    # A short phrase that is given again and again is whole; a longer answer may be cut at the same place again and again.
-    given = usual.filter(F.size(F.split("answer", " ")) <= PHRASE).groupBy("answer").agg(F.countDistinct("question").alias("times"))
-    cut = ends.join(lasts, "last", "left_semi").select("id", "answer").join(given.filter(F.col("times") >= RECURRING), "answer", "left_anti").select("id", F.lit(True).alias("cut"))
+    # A short phrase that is given again and again is whole, unless the same answer goes on inside its last word far more
+    # often; both counts grow with the data. A longer answer may be cut at the same place again and again.
+    bare = F.split(F.regexp_replace("answer", rf"[{UNICODE_SPACE}]*(?:\.{{3,}}|…+)?[{UNICODE_SPACE}]*$", ""), rf"[{UNICODE_SPACE}]+")
+    given = usual.groupBy(bare.alias("words")).agg(F.countDistinct("question").alias("times"))
+    maybe = ends.join(lasts, "last", "left_semi").select("id", bare.alias("words"))
+    phrase = maybe.select("words").distinct().join(given.filter((F.size("words") <= PHRASE) & (F.col("times") >= RECURRING)), "words")
+    phrase = phrase.select("words", "times", F.slice("words", 1, F.size("words") - 1).alias("head"), F.element_at("words", -1).alias("stem"))
+    heads = given.select(F.explode(F.transform(F.sequence(F.lit(1), F.least(F.size("words"), F.lit(PHRASE))), lambda i: F.struct(F.slice("words", F.lit(1), i - 1).alias("head"), F.get("words", i - 1).alias("word")))).alias("h"), "times")
+    heads = heads.groupBy("h.head", "h.word").agg(F.sum("times").alias("longer"))
+    inside = F.col("word").startswith(F.col("stem")) & F.substr("word", F.length("stem") + 1, F.lit(1)).rlike(r"[\p{L}\p{N}]")
+    goes_on = phrase.join(heads, "head").filter(inside).groupBy("words").agg(F.sum("longer").alias("longer"))
+    whole = phrase.join(goes_on, "words", "left").filter(F.coalesce("longer", F.lit(0)) < GOES_ON * F.col("times")).select("words")
+    cut = maybe.join(whole, "words", "left_anti").select("id", F.lit(True).alias("cut"))
     joined = facts.join(reach, "opening", "left").join(guess, "id", "left").join(cut, "id", "left")
     rank = (
         F.when(F.col("state") == "empty", 0)

@@ -65,3 +65,15 @@ def test_uncued_templates_are_refusals_by_their_reach(spark):
     assert all(p4.refusal_cue(a) == 0 for _, _, _, a, _ in rows)
     got = {r.qid for r in p4.defects(spark.createDataFrame(rows, SCHEMA)).filter("defect = 'refusal'").collect()}
     assert got == {f"r{k}-{i}" for k in range(3) for i in range(4)}
+
+
+def test_short_answers_cut_again_and_again(spark):
+    rows = [("t", f"w{i}", f"What did Ann buy on day {i}?", "a telescope with a wooden tripod", 1) for i in range(24)]
+    rows += [("t", f"c{i}", f"What did Bob buy on day {i}?", "a telescope with a wooden tr", 1) for i in range(4)]
+    rows += [("t", f"d{i}", f"What did Eve buy on day {i}?", "a telescope with a wooden tripo...", 1) for i in range(4)]
+    rows += [("t", f"k{i}", f"Where is the tripod of Ada on day {i}?", "The tripod is in the hall.", 1) for i in range(2)]
+    # A whole phrase that a few others go on from stays whole.
+    rows += [("t", f"p{i}", f"Where was Ann on day {i}?", "at the lakeside bar", 1) for i in range(6)]
+    rows += [("t", f"q{i}", f"Where was Bob on day {i}?", "at the lakeside barn with a friend", 1) for i in range(6)]
+    got = {r.qid for r in p4.defects(spark.createDataFrame(rows, SCHEMA)).filter("defect = 'truncated'").collect()}
+    assert got == {f"{k}{i}" for k in "cd" for i in range(4)}
