@@ -11,7 +11,7 @@ from collections.abc import Iterator
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..frames import bucketed_prefix, bucketed_rank, bucketed_sum, in_groups, stage
+from ..frames import bucketed_prefix, bucketed_rank, bucketed_sum, fold_streams, stage
 from ..functions import text as T
 
 STEP = 1_024
@@ -179,7 +179,7 @@ def majority_language(blocks: DataFrame) -> DataFrame:
     return top.select("doc_id", F.col("t.language").alias("language"), (-F.col("t.m")).alias("n"))
 
 
-_LEAF = "doc_id string, run long, leaf int, kind string, section string, block_ids array<string>, n_tokens int, text string, span_start int, span_end int"
+_LEAF = "doc_id string, leaf int, kind string, section string, block_ids array<string>, n_tokens int, text string, span_start int, span_end int"
 
 
 def split_sentences(words_of: list[tuple[str, int, int]], limit: int) -> list[tuple[int, int]]:
@@ -200,67 +200,70 @@ def split_sentences(words_of: list[tuple[str, int, int]], limit: int) -> list[tu
     return out
 
 
-def leaf_chunks(blocks: DataFrame, run_blocks: int = 4_096) -> DataFrame:
+def leaf_chunks(blocks: DataFrame) -> DataFrame:
     """Leaves of each document: prose packed to the target within a section, special blocks alone, oversized blocks split.
 
-    A small tail joins the prose leaf before it in its section. The fold is sequential, so a document is cut into runs of
-    ``run_blocks`` blocks that are folded apart; (doc_id, run, leaf) orders the leaves.
+    A small tail joins the prose leaf before it in its section. The fold holds the open pack and the last leaf only, so
+    documents of any length come out whole; tables and cells that others stand for are dropped by a join before it.
     """
     import re
 
     token = re.compile(r"\S+")
-    rows = ranked(blocks).select("doc_id", F.floor(F.col("rank") / run_blocks).alias("run"), "rank", "block_id", "type", "text", F.array_join("section_path", " / ").alias("section"), "parent_block_id")
-
-    def fold(key: tuple, group: list[tuple]) -> Iterator[tuple]:
-        row_parents = {p for _, _, kind, _, _, p in group if kind == "table_row" and p}
-        cell_parents = {p for _, _, kind, _, _, p in group if kind == "table_cell" and p}
-        leaves: list[dict] = []
-        pack: list[tuple] = []
-
-        def flush() -> None:
-            nonlocal pack
-            if not pack:
-                return
-            n = sum(p[1] for p in pack)
-            last = leaves[-1] if leaves else None
-            if n < LEAF_MIN and last and last["kind"] == "prose" and last["section"] == pack[0][3] and last["n"] + n <= LEAF_MAX:
-                last["ids"] += [p[0] for p in pack]
-                last["text"] += "\n\n" + "\n\n".join(p[2] for p in pack)
-                last["n"] += n
-            else:
-                leaves.append({"kind": "prose", "section": pack[0][3], "ids": [p[0] for p in pack], "text": "\n\n".join(p[2] for p in pack), "n": n, "span": (None, None)})
-            pack = []
-
-        for _, block_id, kind, text, section, parent in group:
-            if kind == "heading":
-                flush()
-                continue
-            if kind == "table" and block_id in row_parents or kind == "table_cell" and parent in cell_parents and block_id in cell_parents:
-                continue
-            filled = bool(text and text.strip())
-            if kind != "paragraph":
-                if kind in ("table", "table_row", "table_cell", "figure", "caption", "code", "formula", "list", "speech_turn", "slide"):
-                    flush()
-                    if filled:
-                        leaves.append({"kind": kind, "section": section, "ids": [block_id], "text": text, "n": len(token.findall(text)), "span": (None, None)})
-                continue
-            if not filled:
-                continue
+    rows = ranked(blocks).select("doc_id", "rank", "block_id", "type", "text", F.array_join("section_path", " / ").alias("section"), "parent_block_id")
+    inner = rows.filter(F.col("type").isin("table_row", "table_cell") & (F.col("parent_block_id") != ""))
+    outer = inner.select(F.col("doc_id").alias("__doc"), F.col("parent_block_id").alias("__block"), F.when(F.col("type") == "table_row", "table").otherwise("table_cell").alias("__type")).distinct()
+    nested = (F.col("type") == "table") | (F.col("parent_block_id") != "")
+    rows = rows.join(outer, F.col("doc_id").eqNullSafe(F.col("__doc")) & (F.col("block_id") == F.col("__block")) & (F.col("type") == F.col("__type")) & nested, "left_anti")
+
+    def put(state: dict, leaf: dict | None) -> Iterator[tuple]:
+        """The last leaf goes out as the next one comes, or at the end."""
+        last = state["last"]
+        if last:
+            yield (state["n"], last["kind"], last["section"], last["ids"], last["n"], last["text"], *last["span"])
+            state["n"] += 1
+        state["last"] = leaf
+
+    def flush(state: dict) -> Iterator[tuple]:
+        pack, last = state["pack"], state["last"]
+        if not pack:
+            return
+        state["pack"] = []
+        n = sum(p[1] for p in pack)
+        if n < LEAF_MIN and last and last["kind"] == "prose" and last["section"] == pack[0][3] and last["n"] + n <= LEAF_MAX:
+            last["ids"] += [p[0] for p in pack]
+            last["text"] += "\n\n" + "\n\n".join(p[2] for p in pack)
+            last["n"] += n
+        else:
+            yield from put(state, {"kind": "prose", "section": pack[0][3], "ids": [p[0] for p in pack], "text": "\n\n".join(p[2] for p in pack), "n": n, "span": (None, None)})
+
+    def step(state: dict, row: tuple) -> Iterator[tuple]:
+        _, block_id, kind, text, section = row
+        filled = bool(text and text.strip())
+        if kind == "heading":
+            yield from flush(state)
+        elif kind != "paragraph":
+            if kind in ("table", "table_row", "table_cell", "figure", "caption", "code", "formula", "list", "speech_turn", "slide"):
+                yield from flush(state)
+                if filled:
+                    yield from put(state, {"kind": kind, "section": section, "ids": [block_id], "text": text, "n": len(token.findall(text)), "span": (None, None)})
+        elif filled:
             spans = [(m.group(), m.start(), m.end()) for m in token.finditer(text)]
             if len(spans) > LEAF_MAX:
-                flush()
+                yield from flush(state)
                 for a, b in split_sentences(spans, LEAF_MAX):
                     s, e = spans[a][1], spans[b - 1][2]
-                    leaves.append({"kind": "part", "section": section, "ids": [block_id], "text": text[s:e], "n": b - a, "span": (s, e)})
-                continue
+                    yield from put(state, {"kind": "part", "section": section, "ids": [block_id], "text": text[s:e], "n": b - a, "span": (s, e)})
+                return
+            pack = state["pack"]
             if pack and (pack[0][3] != section or sum(p[1] for p in pack) + len(spans) > LEAF_TARGET):
-                flush()
-            pack.append((block_id, len(spans), text, section))
-        flush()
-        for i, leaf in enumerate(leaves):
-            yield (*key, i, leaf["kind"], leaf["section"], leaf["ids"], leaf["n"], leaf["text"], *leaf["span"])
+                yield from flush(state)
+            state["pack"].append((block_id, len(spans), text, section))
+
+    def finish(state: dict) -> Iterator[tuple]:
+        yield from flush(state)
+        yield from put(state, None)
 
-    return in_groups(rows, ["doc_id", "run"], ["rank"], fold, ["rank", "block_id", "type", "text", "section", "parent_block_id"], _LEAF)
+    return fold_streams(rows, ["doc_id"], ["rank"], lambda: {"pack": [], "last": None, "n": 0}, step, finish, ["rank", "block_id", "type", "text", "section"], _LEAF)
 
 
 def chunk_tree(blocks: DataFrame) -> DataFrame:

@@ -90,6 +90,19 @@ def test_leaves_and_tree(spark):
     assert structure.pack_groups([[22], [22]], 50) == [[0, 1]] and structure.pack_groups([[22], [22]], 30) == [[0], [1]] and len(structure.pack_groups([[101]] * 3, 150)) == 3
 
 
+def test_leaves_of_long_documents_know_no_border(spark):
+    # The packs and the table lie over block 4,096, where runs used to end.
+    rows = [(d, f"{d}{i}", i, "list", "item", ["A"], None, None, "en", 0) for d in "de" for i in range(4094)]
+    rows += [("d", f"d{4094 + i}", 4094 + i, "paragraph", "word " * 60, ["A"], None, None, "en", 0) for i in range(4)]
+    rows += [("e", "e4094", 4094, "table", "x | y", ["A"], None, None, "en", 0), ("e", "e4095", 4095, "table_cell", "x", ["A"], "e4094", None, "en", 0)]
+    rows += [("e", "e4096", 4096, "table_row", "x | y", ["A"], "e4094", None, "en", 0), ("e", "e4097", 4097, "table_cell", "in x", ["A"], "e4095", None, "en", 0)]
+    leaves = structure.leaf_chunks(blocks(spark, rows)).filter("kind <> 'list'").collect()
+    assert sorted((r.kind, r.n_tokens, list(r.block_ids)) for r in leaves) == [("prose", 240, [f"d{4094 + i}" for i in range(4)]), ("table_cell", 2, ["e4097"]), ("table_row", 3, ["e4096"])]
+    top = structure.chunk_tree(blocks(spark, rows)).filter("level = 'section'").collect()
+    assert {r.doc_id: r.n_children for r in top} == {"d": 4095, "e": 4096}
+
+
+
 def loop_window(rows, floor, cap, budget):
     first, middle, kept, spent = rows[0], rows[1:], [], len(rows[0][1])
     for position, text in reversed(middle):
