@@ -37,7 +37,7 @@ EACH, ENOUGH = 3, 60
 _AT = r"(?:\s?@\s?|\s?[\[({<]\s?(?:at|ät|arroba|arobase|@)\s?[\])}>]\s?|\s(?:at|ät|arroba|arobase)\s)"
 _DOT = r"(?:\.|\s\.\s|\s?[\[({<]\s?(?:dot|punkt|point|punto|\.)\s?[\])}>]\s?|\s(?:dot|punkt|point|punto)\s)"
 _EMAIL = re.compile(rf"(?<![\w.+%-])([^\W_][\w.+%-]*)({_AT})([^\W_][\w-]*)((?:{_DOT}[^\W_][\w-]*)+)", re.I)
-_HINT_EMAIL = re.compile(r"@|\bat\b|\bät\b|\barrob|[\[(]at", re.I)
+_HINT_EMAIL = re.compile(_AT, re.I)
 
 # --- numbers ----------------------------------------------------------------------------------------------------------
 

@@ -57,3 +57,9 @@ def test_names(spark):
     clean = {r.record_id: r.text for r in pii.redacted(frame, names).collect()}
     assert clean["van"] == "My name is [NAME]." and clean["mail"] == "write [EMAIL]" and clean["blank"] == " " and "null" not in clean
     assert pii.mentions(frame.limit(0), names.limit(0)).count() == 0
+
+
+def test_every_spelt_at_is_looked_at():
+    for at in ("@", " (at) ", " [ät] ", " {at} ", " < at > ", " (arroba) ", " (arobase) "):
+        text = f"nom{at}exemple (point) fr"
+        assert [text[a:b] for a, b in pii.email_spans(text)] == [text], at
