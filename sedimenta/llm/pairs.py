@@ -1,8 +1,11 @@
 """Problem 4: defects of question-answer pairs.
 
-Method: the openings of the answers are clustered by MinHash with verified Jaccard similarity; templates that recur
-across unrelated prompts show refusals, judged on what the speaker says of itself. Copies, foreign languages and broken
-ends are found by direct checks, the last two with counts of words over all pairs.
+Method: the openings of all answers are clustered by MinHash with verified Jaccard similarity. An answer has several: its
+first words, and the words after a lead such as "Sorry, but". A template, that is a cluster, counts when it recurs across
+unrelated prompts: questions whose own openings fall into different clusters. Its evidence is the log-odds between the
+prompts that got an apology or wording of declining with it and those that did not; the strongest template of an answer
+decides, so that wordings no list holds are found by their company, and an apology in a template of plain facts is none.
+Copies, foreign languages and broken ends are found by direct checks, the last two with counts of words over all pairs.
 """
 
 from __future__ import annotations
@@ -19,13 +22,15 @@ from pyspark.sql import functions as F
 
 from ..frames import SPACES, UNICODE_SPACE, fold_streams, stage
 
-#: An opening is this many characters of the first sentence, codes, numbers and names masked; its shingles have GRAM characters.
-OPENING = 90
+#: Words of the openings, codes, numbers and names masked; where a lead may end; shingles have GRAM characters.
+DEPTHS, LEAD, TOPIC = (3, 5, 8), 6, 3
 GRAM = 4
 BANDS, ROWS = 16, 4
 SIMILAR = 0.8
-#: Unrelated questions (with different masked openings) that a template must answer to count as recurring.
-RECURRING = 3
+#: Questions, and clusters of questions, that a template must answer to count as recurring across unrelated prompts.
+RECURRING, UNRELATED = 3, 2
+#: Log-odds that an apology of the answer itself counts for, and its lack against.
+OWN = 0.5
 #: Words of a short phrase, and how many times as often as it the answers in which its last word goes on may stand before it counts as cut.
 PHRASE, GOES_ON = 6, 4
 
@@ -136,26 +141,42 @@ def is_copy(question: str | None, answer: str | None) -> bool:
     return True
 
 
-def opening(answer: str) -> str:
-    """The masked begin of the first sentence."""
-    first = _SENTENCE.split(answer.strip(), maxsplit=1)[0]
-    masked = _CODE.sub("#", first)
-    words = masked.split()
-    masked = " ".join([words[0], *("#" if w[:1].isupper() and w.lower() not in ("i", "i'm") else w for w in words[1:])]) if words else ""
-    return masked.lower()[:OPENING]
+def masked_words(text: str) -> list[str]:
+    """The words of a text in lower case, codes, numbers and names as one sign."""
+    words = _CODE.sub("#", text).split()
+    return [w.lower() if not i or not w[:1].isupper() or w in ("I", "I'm") else "#" for i, w in enumerate(words)]
 
 
-def refusal_cue(answer: str) -> int:
-    """0 to 3: an apology or a role as lead, the speaker itself, and declining; quotations do not speak."""
-    sentences = _SENTENCE.split(_QUOTED.sub(" ", answer).strip(), maxsplit=2)
-    first = " ".join(sentences[: 1 if len(sentences[0].split()) > 4 else 2])
-    lead = _SORRY.search(first)
-    own, no = _SELF.search(first), _DECLINE.search(first)
-    return (2 if own and no else 0) + (1 if lead and (own or no) else 0)
+def topic(question: str) -> str:
+    """The masked opening of a question."""
+    return " ".join(masked_words(question)[:TOPIC])
+
+
+#: Small words between a lead and what follows it.
+_BUT = {"but", "aber", "mais", "pero", "and", "und", "et", "y"}
+
+
+def openings(answer: str) -> list[str]:
+    """The masked openings of an answer: its first words, and the words after a lead, to several depths."""
+    sentences = _SENTENCE.split(answer.strip(), maxsplit=2)
+    words = masked_words(sentences[0] if len(sentences[0].split()) > 2 or len(sentences) < 2 else f"{sentences[0]} {sentences[1]}")
+    out = [" ".join(words[:k]) for k in DEPTHS if len(words) >= k] or [" ".join(words)]
+    for i, w in enumerate(words[:LEAD]):
+        if w[-1] in ",:.!":
+            rest = words[i + 1 :]
+            rest = rest[1:] if rest and rest[0] in _BUT else rest
+            out += [" ".join(rest[:k]) for k in DEPTHS if len(rest) >= k]
+            break
+    return list(dict.fromkeys(out))
+
+
+def apologises(answer: str) -> bool:
+    """Whether the answer opens with an apology or a role, and not in a quotation."""
+    return bool(_SORRY.search(_QUOTED.sub(" ", answer).strip()))
 
 
 def declines(answer: str) -> bool:
-    """Whether any sentence declines, with or without a speaker; read for recurring templates, as one alone may tell of others."""
+    """Whether any sentence declines, with or without a speaker; it counts within recurring templates, as one alone may tell of others."""
     return any(_IMPERSONAL.search(s) or _SELF.search(s) and _DECLINE.search(s) for s in _SENTENCE.split(_QUOTED.sub(" ", answer).strip()))
 
 
@@ -175,38 +196,80 @@ def jaccard(a: set, b: set) -> float:
     return len(a & b) / len(a | b) if a or b else 1.0
 
 
-def _band_rows(openings: DataFrame) -> DataFrame:
+def _band_rows(texts: DataFrame) -> DataFrame:
+    """A row for each band of each opening; the other columns are carried."""
+    carried = [c for c in texts.columns if c != "opening"]
+    schema = "bucket string, " + ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in texts.schema)
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            out = []
-            for text, prompts in zip(pdf["opening"], pdf["prompts"]):
-                s = signature(text)
-                out += [(f"{b}:{xxhash.xxh64_hexdigest(repr(s[b * ROWS : b * ROWS + ROWS]))}", text, int(prompts)) for b in range(BANDS)]
-            yield pd.DataFrame(out, columns=["bucket", "opening", "prompts"])
+            marks = [signature(t) for t in pdf["opening"]]
+            for b in range(BANDS):
+                rows = pdf[["opening", *carried]].copy()
+                rows.insert(0, "bucket", [f"{b}:{xxhash.xxh64_hexdigest(repr(s[b * ROWS : b * ROWS + ROWS]))}" for s in marks])
+                yield rows
 
-    return openings.mapInPandas(run, "bucket string, opening string, prompts long")
+    return texts.select("opening", *carried).mapInPandas(run, schema)
 
 
 def _placed(leaders: list[tuple[str, set]], row: tuple) -> Iterator[tuple]:
     """Each opening of a bucket goes to the first leader it is truly similar to, or becomes one."""
-    text, prompts = row
+    text, *values = row
     mine = shingles(text)
     home = next((lead for lead, theirs in leaders if jaccard(mine, theirs) >= SIMILAR), None)
     if home is None:
         leaders.append((text, mine))
         home = text
-    yield home, text, prompts
+    yield home, text, *values
+
+
+def clusters(texts: DataFrame) -> DataFrame:
+    """(bucket, leader, opening, other columns): the clusters of each band; texts: (opening, ...), each opening once.
+
+    Openings that fall into one bucket of a MinHash band are compared with the leaders found in it and go to the first
+    that they are truly similar to. A bucket streams through with its leaders only.
+    """
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in texts.schema if f.name != "opening")
+    names = [c for c in texts.columns if c != "opening"]
+    return fold_streams(_band_rows(texts), ["bucket"], ["opening"], list, _placed, lambda leaders: [], ["opening", *names], "bucket string, leader string, opening string" + (", " + schema if schema else ""))
+
+
+def families(topics: DataFrame) -> DataFrame:
+    """(topic, family): the cluster of each masked question; topics: (topic), each once."""
+    placed = clusters(topics.select(F.col("topic").alias("opening")))
+    return placed.groupBy(F.col("opening").alias("topic")).agg(F.min("leader").alias("family"))
+
+
+def templates(said: DataFrame) -> DataFrame:
+    """(opening, prompts, cued, unrelated): for each opening the questions its template answers, in how many of these the
+    answer is cued, and over how many clusters of questions they spread; said: (opening, question_id, family, cued).
+
+    Each opening is summed up before it is clustered; the clusters of a question are counted by a sketch, which is exact
+    for few. Of the bands the one with the most questions counts.
+    """
+    each = said.groupBy("opening").agg(
+        F.countDistinct("question_id").alias("prompts"), F.countDistinct(F.when(F.col("cued"), F.col("question_id"))).alias("cued"), F.hll_sketch_agg("family", F.lit(10)).alias("sketch")
+    )
+    placed = clusters(each)
+    whole = placed.groupBy("bucket", "leader").agg(F.sum("prompts").alias("prompts"), F.sum("cued").alias("cued"), F.hll_sketch_estimate(F.hll_union_agg("sketch")).alias("unrelated"))
+    mine = placed.select("bucket", "leader", "opening").join(whole, ["bucket", "leader"])
+    best = mine.groupBy("opening").agg(F.max_by(F.struct("prompts", "cued", "unrelated"), F.struct("prompts", "cued")).alias("t"))
+    return best.select("opening", "t.*")
 
 
-def templates(openings: DataFrame) -> DataFrame:
-    """(opening, reach): for each masked opening the questions that it and the openings like it answer.
+def evidence(usual: DataFrame) -> DataFrame:
+    """(id, odds): the strongest log-odds of an answer's templates for being cued; none where no template recurs.
 
-    openings: (opening, prompts), each once. Openings that fall into one bucket of a MinHash band are compared with the
-    leaders found in it; the reach is the largest over the bands. A bucket streams through with its leaders only.
+    usual: (id, openings, question_id, topic, apology, declined). Answers with the same openings are judged once.
     """
-    placed = fold_streams(_band_rows(openings), ["bucket"], ["opening"], list, _placed, lambda leaders: [], ["opening", "prompts"], "bucket string, leader string, opening string, prompts long")
-    size = placed.groupBy("bucket", "leader").agg(F.sum("prompts").alias("size"))
-    return placed.join(size, ["bucket", "leader"]).groupBy("opening").agg(F.max("size").alias("reach"))
+    known = families(usual.select("topic").filter("topic IS NOT NULL").distinct())
+    rows = usual.join(known, "topic", "left").withColumn("cued", F.col("apology") | F.col("declined"))
+    said = rows.select(F.explode("openings").alias("opening"), "question_id", F.coalesce("family", F.lit("")).alias("family"), "cued")
+    told = templates(said).filter((F.col("prompts") >= RECURRING) & (F.col("unrelated") >= UNRELATED))
+    told = told.select("opening", F.log((F.col("cued") + 0.5) / (F.col("prompts") - F.col("cued") + 0.5)).alias("odds"))
+    sets = usual.select("openings").distinct()
+    judged = sets.select("openings", F.explode("openings").alias("opening")).join(told, "opening").groupBy("openings").agg(F.max_by("odds", F.struct(F.abs("odds"), "odds")).alias("odds"))
+    return usual.select("id", "openings").join(judged, "openings").select("id", "odds")
 
 
 def language_hits(words: list[str]) -> dict[str, int]:
@@ -296,7 +359,7 @@ def ending(answer: str) -> tuple[str, str | None]:
     return ("ask", word) if len(words) > 1 else ("whole", None)
 
 
-_FACTS = "item_table string, qid string, question string, answer string, state string, opening string, topic string, cue int, declined boolean, alien string, tail string, last string, asked string, content array<string>"
+_FACTS = "item_table string, qid string, question string, answer string, state string, openings array<string>, topic string, apology boolean, declined boolean, alien string, tail string, last string, asked string, content array<string>"
 
 
 def _facts(pairs: DataFrame) -> DataFrame:
@@ -309,14 +372,13 @@ def _facts(pairs: DataFrame) -> DataFrame:
                 if category == 5:
                     continue
                 if is_empty(answer):
-                    out.append((table, qid, question, answer, "empty", None, None, 0, False, "no", "whole", None, None, None))
+                    out.append((table, qid, question, answer, "empty", None, None, False, False, "no", "whole", None, None, None))
                     continue
-                cue = refusal_cue(answer)
                 alien = foreign(question, answer)
                 tail, last = ending(answer)
                 words = [w for w in dict.fromkeys(_LETTERS.findall(_CODE.sub(" ", _QUOTED.sub(" ", answer)).casefold())) if len(w) > 2] if alien is None else None
                 state = "copy" if is_copy(question, answer) else ""
-                out.append((table, qid, question, answer, state, opening(answer), opening(question) if question else None, cue, declines(answer), alien or "ask", tail, last, question_language(question), words))
+                out.append((table, qid, question, answer, state, openings(answer), topic(question) if question else None, apologises(answer), declines(answer), alien or "ask", tail, last, question_language(question), words))
             yield pd.DataFrame(out, columns=[x.split()[0] for x in _FACTS.split(", ")])
 
     return pairs.mapInPandas(run, _FACTS)
@@ -355,9 +417,8 @@ def defects(pairs: DataFrame) -> DataFrame:
     """
     # Staged, as five branches read it.
     facts = stage(_facts(pairs).withColumn("id", F.sha2(F.to_json(F.struct("item_table", "qid", "question", "answer")), 256)))
-    usual = facts.filter("opening IS NOT NULL")
-    # Templates: all masked openings, each once with the number of unrelated questions it answers; only their reach makes candidates.
-    reach = templates(usual.groupBy("opening").agg(F.countDistinct("topic").alias("prompts")))
+    usual = facts.filter("openings IS NOT NULL")
+    odds = evidence(usual.withColumn("question_id", F.xxhash64("question")))
     # Short answers without function words: the language by the words' company over all pairs.
     words = _word_rows(pairs)
     spoken = words.filter("lang <> ''").groupBy(F.lower("word").alias("w"), "lang").agg(F.sum("n").alias("n"))
@@ -372,9 +433,12 @@ def defects(pairs: DataFrame) -> DataFrame:
     guess = guess.select("id", F.lit(True).alias("other"))
     # Last words that are no words elsewhere but begin one, in answers that are not given again and again.
     known = words.groupBy("word").agg(F.sum("n").alias("n"))
-    begins = known.filter("n >= 2").select(F.explode(F.transform(F.sequence(F.lit(1), F.greatest(F.length("word") - 1, F.lit(1))), lambda i: F.substring("word", F.lit(1), i))).alias("last")).distinct()
     ends = usual.filter("tail = 'ask' AND last IS NOT NULL")
-    lasts = ends.select("last").distinct().join(known.select(F.col("word").alias("last")), "last", "left_anti").join(begins, "last", "left_semi")
+    asked = ends.select("last").distinct().join(known.select(F.col("word").alias("last")), "last", "left_anti")
+    # Only the lengths that are asked for: one row with a number for each different length.
+    lengths = asked.agg(F.collect_set(F.length("last")).alias("lengths"))
+    begins = known.filter("n >= 2").join(F.broadcast(lengths)).select(F.explode(F.transform(F.filter("lengths", lambda i: (i > 0) & (i < F.length("word"))), lambda i: F.substring("word", F.lit(1), i))).alias("last")).distinct()
+    lasts = asked.join(begins, "last", "left_semi")
     # A short phrase that is given again and again is whole, unless the same answer goes on inside its last word far more
     # often; both counts grow with the data. A longer answer may be cut at the same place again and again.
     bare = F.split(F.regexp_replace("answer", rf"[{UNICODE_SPACE}]*(?:\.{{3,}}|…+)?[{UNICODE_SPACE}]*$", ""), rf"[{UNICODE_SPACE}]+")
@@ -388,10 +452,10 @@ def defects(pairs: DataFrame) -> DataFrame:
     goes_on = phrase.join(heads, "head").filter(inside).groupBy("words").agg(F.sum("longer").alias("longer"))
     whole = phrase.join(goes_on, "words", "left").filter(F.coalesce("longer", F.lit(0)) < GOES_ON * F.col("times")).select("words")
     cut = maybe.join(whole, "words", "left_anti").select("id", F.lit(True).alias("cut"))
-    joined = facts.join(reach, "opening", "left").join(guess, "id", "left").join(cut, "id", "left")
+    joined = facts.join(odds, "id", "left").join(guess, "id", "left").join(cut, "id", "left")
     rank = (
         F.when(F.col("state") == "empty", 0)
-        .when((F.col("cue") >= 2) | ((F.coalesce("reach", F.lit(0)) >= RECURRING) & ((F.col("cue") == 1) | F.col("declined"))), 1)
+        .when(F.coalesce("odds", F.lit(0.0)) + F.when(F.col("apology"), OWN).when(F.col("declined"), 0.0).otherwise(-OWN) > 0, 1)
         .when(F.col("state") == "copy", 2)
         .when((F.col("alien") == "yes") | F.col("other"), 3)
         .when((F.col("tail") == "broken") | F.col("cut"), 4)
