@@ -1,13 +1,16 @@
 """Problem 2: personal information inside free text.
 
-Method: a skip-chain conditional random field. The nodes are the words of the windows in which a name may stand, and the
-candidate spans of the other types; neighbours share transition potentials, and equal or similar words of one document
-share skip potentials, however far apart they are. Max-sum loopy message passing decides the labels of a document
-together. The node potentials of words are log-odds learned from all texts in each run: how often a word is written in
-lower case, how many different given names stand before it, and how many different surnames stand after it.
-
-Numbers, addresses and e-mail addresses have candidates by shape; what stands around them (labels, cues, decoys) and the
-same number elsewhere in the document decide.
+Method: a skip-chain conditional random field over each document. Its nodes are the words of the windows in which a name
+may stand, and the candidate spans of the other types: e-mail addresses, numbers (phone, identity number or neither) and
+street addresses. Neighbouring words share transition potentials, candidates that overlap exclude each other, and equal or
+similar words, numbers and addresses of one document share skip potentials, however far apart they are. Max-sum loopy
+message passing decides all labels of a document together.
+
+Node potentials are log-odds counted over all texts in each run. For words of names: how often a word is written in lower
+case, how many different given names stand before it, and how many different surnames stand after it. For candidates: how
+often the words around them stand around numbers of unmistakable shape (a plus sign or brackets, letters inside), and how
+often around numbers that have no such shape at all; no list says what numbers are called. Transitions and skip potentials
+are fixed parameters.
 """
 
 from __future__ import annotations
@@ -21,7 +24,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..frames import in_groups
+from ..frames import in_groups, stage
 
 TYPES = ("email", "phone", "id_number", "address", "name")
 PLACEHOLDER = {"email": "[EMAIL]", "phone": "[PHONE]", "id_number": "[ID_NUMBER]", "address": "[ADDRESS]", "name": "[NAME]"}
@@ -63,19 +66,6 @@ _ID = re.compile(
     r"|\d{2}\.\d{3}\.\d{3}-?[A-Z]|\d{8}-?[A-Z]|[XYZ]-?\d{7}-?[A-Z]"
     r")(?![\w]|[.,\-/:]\d|-\w)"
 )
-#: What numbers of identity are called.
-_ID_LABEL = re.compile(
-    r"\bSSN\b|social security|passport|licen[cs]e|national id|identity|\bNIN\b|tax id|steuer-?id|steuernummer|ausweis|sozialversicherung|reisepass|pass-?nr|führerschein|versicherungsnummer"
-    r"|identité|passeport|sécurité sociale|permis de conduire|\bNIR\b|\bDNI\b|\bNIE\b|\bNIF\b|pasaporte|seguridad social|permiso de conducir|carn[eé]",
-    re.I,
-)
-#: What numbers that concern no person are called.
-_DECOY = re.compile(
-    r"\b(?:isbn|issn|ticket|tique|tíquet|version|versión|checksum|lot|lote|los|charge|bestell\w*|order|orden|commande|pedido|serial|serie\w*|série|seriennummer|build|release|part|artikel\w*|artículo|article|invoice|rechnung\w*|facture|factura|mean|page|seite|página|section|abschnitt|sección|port|hash|commit|revision|rev)\b[^.;]{0,14}$",
-    re.I,
-)
-_CALL = re.compile(r"tel|phone|call|ring\b|móvil|mobile|mobil|handy|fax|rückruf|erreichbar|joign|llam|joindre|numéro|contact|oder\b|\bau\b|\bel\b|\bunder\b|\bunter\b|cell", re.I)
-
 # --- addresses --------------------------------------------------------------------------------------------------------
 
 _W = r"[^\W\d_][\w'’\-]*"
@@ -88,9 +78,30 @@ _ADDRESS = re.compile(
     r")",
     re.I,
 )
-_HINT_ADDRESS = re.compile(r"\d", re.I)
-_NO_ADDRESS = re.compile(r"(?:section|sections|abschnitt|sección|seccion|kapitel|chapter|chapitre|capítulo|page|seite|página|layer|step|figure|table|tabelle|version|annexe|anhang)\s*$", re.I)
-_UNITS = {"ms", "s", "mb", "kpa", "gb", "kb", "h", "min", "km", "m", "v", "w", "minutes", "seconds", "hours", "days", "of", "and", "the", "in", "on", "at", "valves", "for"}
+#: Street names spelt small throughout are rarely meant; what may follow a street address.
+_AFTER_ADDRESS = re.compile(r"[,;]? ?(?:\d{4,5}\b|(?:apt|suite|unit|flat|apto|piso|bât|étage|etage|app)\b|,|\.\s|\.?$)", re.I)
+
+# --- candidates -------------------------------------------------------------------------------------------------------
+
+#: Kinds of candidates, the types that their labels 1, 2 stand for, and the classes that contexts are counted for.
+CANDIDATES = {"email": ("email",), "number": ("phone", "id_number"), "street": ("address",)}
+CLASSES = ("phone", "id_number", "address", "plain")
+#: What a word of the context weighs, the bounds of its log-odds, and how often it must be seen for full and any weight.
+WEIGHT, BOUND, OFTEN, SELDOM = 0.8, 5.0, 10, 3
+_LETTERS = re.compile(r"[^\W\d_]+")
+_PLAIN = re.compile(r"(?<!\w)[+(]?\d\w*(?:[ .,:/\-]?\w*\d\w*)*")
+_BREAK = re.compile(r"[;!?\n\x00]|(?<=[^\W\d_]{5})\.\s|(?<=\d)\.\s")
+_AHEAD = re.compile(r"[ ,]{0,2}([^\W\d_]+)(?: ([^\W\d_]+))?")
+
+
+def context(text: str, start: int, end: int) -> list[str]:
+    """The words around a span: three before it in its sentence, two after it, and the sign it leans on."""
+    before = _LETTERS.findall(_BREAK.split(text[max(0, start - 60) : start])[-1])[-3:]
+    ahead = _AHEAD.match(text[end : end + 40])
+    lean = text[start - 1 : start]
+    out = ["<" + w.casefold() for w in before] + ([f"{mark}{w.casefold()}" for mark, w in zip((">", "»"), ahead.groups()) if w] if ahead else [])
+    return list(dict.fromkeys(out + (["=" + lean] if lean and not lean.isspace() and not lean.isalnum() else [])))
+
 
 # --- names ------------------------------------------------------------------------------------------------------------
 
@@ -117,10 +128,10 @@ _SKIP = [[0.8 if a in "OGST" and b in "OGST" and (a == b or {a, b} == {"S", "T"}
 def best_labels(unary: list[list[float]], edges: list[tuple[int, int, list[list[float]]]], rounds: int = ROUNDS) -> list[int]:
     """Max-sum message passing; exact where the edges form a forest and the rounds reach over it, loopy otherwise.
 
-    edges: (i, j, potential[label of i][label of j]). A chain given in order settles in one sweep forth and one back.
+    edges: (i, j, potential[label of i][label of j]); nodes may have different numbers of labels. A chain given in order
+    settles in one sweep forth and one back.
     """
-    n, width = len(unary), len(unary[0]) if unary else 0
-    span = range(width)
+    n = len(unary)
     sent: dict[tuple[int, int], list[float]] = {}
     near: list[list[int]] = [[] for _ in range(n)]
     table: dict[tuple[int, int], list[list[float]]] = {}
@@ -129,55 +140,43 @@ def best_labels(unary: list[list[float]], edges: list[tuple[int, int, list[list[
         near[j].append(i)
         table[i, j] = p
         table[j, i] = [list(c) for c in zip(*p)]
-        sent[i, j] = sent[j, i] = [0.0] * width
-    loops = len(edges) >= n
-    for _ in range(rounds if loops else 1):
+        sent[i, j], sent[j, i] = [0.0] * len(unary[j]), [0.0] * len(unary[i])
+    # A chain settles in one sweep forth and back, a tree in two.
+    settle = rounds if len(edges) >= n else 1 if all(j - i == 1 for i, j, _ in edges) else 2
+    for _ in range(settle):
         for order in (range(n), range(n - 1, -1, -1)):
             forth = order.step > 0
             for i in order:
                 total = list(unary[i])
                 for k in near[i]:
-                    m = sent[k, i]
-                    for x in span:
-                        total[x] += m[x]
+                    total = [t + m for t, m in zip(total, sent[k, i])]
                 for j in near[i]:
-                    if (j > i) != forth:
-                        continue
-                    back, p = sent[j, i], table[i, j]
-                    out = [max(total[x] - back[x] + p[x][y] for x in span) for y in span]
-                    top = max(out)
-                    sent[i, j] = [v - top for v in out]
+                    if (j > i) == forth:
+                        bare = [t - m for t, m in zip(total, sent[j, i])]
+                        out = [max(v + row[y] for v, row in zip(bare, table[i, j])) for y in range(len(unary[j]))]
+                        top = max(out)
+                        sent[i, j] = [v - top for v in out]
     labels = []
     for i in range(n):
         total = list(unary[i])
         for k in near[i]:
-            for x in span:
-                total[x] += sent[k, i][x]
-        labels.append(max(span, key=total.__getitem__))
+            total = [t + m for t, m in zip(total, sent[k, i])]
+        labels.append(max(range(len(total)), key=total.__getitem__))
     return labels
 
 
-def email_spans(text: str) -> list[tuple[int, int]]:
+def email_candidates(text: str) -> list[tuple[int, int, float]]:
+    """(start, end, potential): a spelt "at" is a word as well, so the local part or the dots must show what is meant."""
     if not _HINT_EMAIL.search(text):
         return []
     out = []
     for m in _EMAIL.finditer(text):
         local, at, _, rest = m.groups()
-        plain_at = "@" in at or any(c in at for c in "[({<")
-        # A spelt "at" is a word as well: the name or the dot must show that an address is meant.
-        if not plain_at and not (re.search(r"[._+\d-]", local) or not rest.startswith(".")):
-            continue
-        if not plain_at and rest.startswith(".") and not re.search(r"[._+\d-]", local):
-            continue
-        last = re.split(_DOT, rest, flags=re.I)[-1]
-        if not re.fullmatch(r"[^\W\d_]{2,24}", last):
-            # Trim what is no top-level label from the end.
-            keep = re.match(rf"(?:{_DOT}[^\W_][\w-]*)*{_DOT}[^\W\d_]{{2,24}}", rest, re.I)
-            if not keep:
-                continue
-            out.append((m.start(), m.start(4) + keep.end()))
-        else:
-            out.append((m.start(), m.end()))
+        # What is no top-level label is trimmed from the end.
+        keep = re.match(rf"(?:{_DOT}[^\W_][\w-]*)*{_DOT}[^\W\d_]{{2,24}}(?![\w-])", rest, re.I) or re.match(rf"(?:{_DOT}[^\W_][\w-]*)*{_DOT}[^\W\d_]{{2,24}}", rest, re.I)
+        if keep:
+            signs = 3.0 * ("@" in at or any(c in at for c in "[({<")) + 3.0 * bool(re.search(r"[._+\d-]", local)) + 3.0 * (not rest.startswith("."))
+            out.append((m.start(), m.start(4) + keep.end(), signs - 1.5))
     return out
 
 
@@ -191,79 +190,67 @@ def _digits(s: str) -> int:
     return sum(c.isdigit() for c in s)
 
 
-def other_spans(text: str) -> list[tuple[str, int, int]]:
-    """(type, start, end) of the e-mail addresses, phone and identity numbers and addresses of a text."""
-    out = [("email", a, b) for a, b in email_spans(text)]
+def candidates(text: str) -> tuple[list[tuple], list[tuple[str, list[str]]], str]:
+    """(candidates, contexts, rest) of a text.
+
+    Candidates are (kind, start, end, potentials of their types by shape, context); contexts are (class, words) of what is
+    unmistakable by shape, for counting; the rest is the text with its likely candidates masked, in which names are looked for.
+    """
+    out = [("email", a, b, (v,), []) for a, b, v in email_candidates(text)]
+    rest = masked(text, [(a, b) for _, a, b, v, _ in out if v[0] > 0])
     if not any(c.isdigit() for c in text):
-        return out
-    rest = masked(text, [(a, b) for _, a, b in out])
-    nodes: list[tuple[int, int, list[float]]] = []  # labels: none, phone, id_number
-    ids = {}
-    for m in _ID.finditer(rest):
-        ids[m.start()] = m.end()
-    phones = {}
-    for m in _PHONE.finditer(rest):
-        s = m.group()
-        if 8 <= _digits(s) <= 15 and (_digits(s) > 8 or s[0] in "+("):
-            phones[m.start()] = m.end()
-    taken = -1
+        return out, [], rest
+    counted: list[tuple[str, list[str]]] = []
+    ids = {m.start(): m.end() for m in _ID.finditer(rest)}
+    phones = {m.start(): m.end() for m in _PHONE.finditer(rest) if 8 <= _digits(m.group()) <= 15 and (_digits(m.group()) > 8 or m.group()[0] in "+(")}
+    taken, spans = -1, []
     for at in sorted({*ids, *phones}):
         if at < taken:
             continue
         end = max(ids.get(at, 0), phones.get(at, 0))
-        s = rest[at:end]
-        before, after = rest[max(0, at - 70) : at], rest[end : end + 45]
-        score = [0.0, -5.0, -5.0]
-        near = re.split(r"[;\x00]", before)[-1]
-        label = bool(_ID_LABEL.search(near)) or bool(_ID_LABEL.search(after[:45]))
-        close = re.search(r"(?:\bno\.?|nr\.?|n\.?[º°]|number|nummer|id|ssn|dni|nie|licen[cs]e|box|lautet|es|est|=|:|\()\s*$", near, re.I)
+        n, around = rest[at:end], context(rest, at, end)
+        as_phone, as_id = _NEVER, _NEVER
+        threes = bool(re.fullmatch(r"\d{3}([- ])\d{2}\1\d{4}", n))
+        lettered = any(c.isalpha() for c in n)
         if at in ids and ids[at] >= phones.get(at, 0):
-            lettered = any(c.isalpha() for c in s)
-            typical = bool(re.fullmatch(r"\d{3}([- ])\d{2}\1\d{4}", s)) or lettered
-            score[2] = (2.2 if typical else -0.5) + (3.0 if label else 0.0) + (0.5 if close and label else 0)
+            as_id = 2.2 if threes or lettered else 0.5
+            if threes or lettered:
+                counted.append(("id_number", around))
         if at in phones:
-            typical = s[0] in "+(" or s.startswith("0") or bool(re.fullmatch(r"[\d]{3}([ .\-])\d{3}\1\d{3,4}", s)) or len(re.split(_SEP, s)) > 2
-            score[1] = (1.5 if typical else 0.3) + (1.2 if _CALL.search(before[-28:]) or re.match(r"\s*(?:ext|x\d)", after) else 0.0) + (-1.5 if label and close else 0.0)
-            if re.fullmatch(r"\d{3}([- ])\d{2}\1\d{4}|00 \d{3} \d{3} \d{3}", s):
-                score[1] -= 3.0
-        if _DECOY.search(before):
-            score[0] += 4.5
-        if re.match(r"-?[A-Za-z]\b|\s?(?:ms|MB|kPa|%)", after):
-            score[0] += 3.0
-        nodes.append((at, end, score))
+            parted = len(re.split(_SEP, n)) > 1
+            as_phone = (1.5 if n[0] in "+(" or n[0] == "0" and parted or len(re.split(_SEP, n)) > 2 else 0.5) - (3.0 if threes or re.fullmatch(r"00 \d{3} \d{3} \d{3}", n) else 0.0)
+            if n[0] in "+(" and not lettered:
+                counted.append(("phone", around))
+        if re.match(r"-?[A-Za-z]\b|\s?(?:ms|MB|kPa|%)", rest[end : end + 8]):
+            as_phone, as_id = as_phone - 3.0, as_id - 3.0  # a longer code, or a unit
+        out.append(("number", at, end, (as_phone, as_id), around))
+        spans.append((at, end))
         taken = end
-    if nodes:
-        agree = [[0.7 if a == b else 0.0 for b in range(3)] for a in range(3)]
-        chain = [[0.0] * 3 for _ in range(3)]
-        keys = [re.sub(r"\W", "", rest[a:b]) for a, b, _ in nodes]
-        edges = [(i, i + 1, chain) for i in range(len(nodes) - 1)]
-        last: dict[str, int] = {}
-        for i, k in enumerate(keys):
-            if k in last and i - last[k] > 1:
-                edges.append((last[k], i, agree))
-            elif k in last:
-                edges[i - 1] = (i - 1, i, agree)
-            last[k] = i
-        for (a, b, _), label in zip(nodes, best_labels([s for _, _, s in nodes], edges)):
-            if label:
-                out.append((("phone", "id_number")[label - 1], a, b))
-    used = [(a, b) for _, a, b in out]
+    streets = []
     for m in _ADDRESS.finditer(rest):
         a, b = m.span()
-        if any(a < y and x < b for x, y in used):
-            continue
-        if _NO_ADDRESS.search(rest[max(0, a - 14) : a]):
-            continue
-        if m.lastgroup == "en":
-            words = m.group().split()
-            if any(w.lower() in _UNITS for w in words[1:]) or len(words) > 3 and any(w[0].islower() for w in words[1:-1]):
-                continue
-        if m.lastgroup == "de" and re.match(r"(?:am|im|an|zum|zur|auf|in|unter|hinter)\b", m.group(), re.I):
-            tail = rest[b : b + 8]
-            if not (re.match(r",\s*\d{4,5}\b|[.,;]|\s*$|\s", tail)) or re.match(r"\s*(?:%|ms|MB|kPa|s\b|Uhr|\.\d)", tail) or not m.group().split()[-2][0].isupper():
-                continue
-        out.append(("address", a, b))
-    return out
+        names = [w for w in _LETTERS.findall(m.group()) if len(w) > 1]
+        small = not any(w[0].isupper() for w in (names[:-1] if m.lastgroup == "en" else names[1:] if m.lastgroup in ("fr", "es") else names))
+        follows = bool(_AFTER_ADDRESS.match(rest[b : b + 10]))
+        around = context(rest, a, b)
+        out.append(("street", a, b, (1.0 + follows - (0.75 if m.lastgroup == "en" else 1.5) * small,), around))
+        streets.append((a, b))
+        if follows and not small:
+            counted.append(("address", around))
+    spans += streets
+    for m in _PLAIN.finditer(rest):
+        if not any(m.start() < b and a < m.end() for a, b in spans):
+            counted.append(("plain", context(rest, m.start(), m.end())))
+    return out, counted, masked(rest, [(a, b) for k, a, b, v, _ in out if k != "email" and max(v) > 0])
+
+
+def odds_of(word: dict[str, float] | None, totals: dict[str, float], kind: str) -> float:
+    """The log-odds that one word of the context gives to a class against plain numbers."""
+    seen = sum(word.values()) if word else 0
+    if seen < SELDOM:
+        return 0.0
+    v = math.log((word[kind] + 0.5) / (totals[kind] + 1)) - math.log((word["plain"] + 0.5) / (totals["plain"] + 1))
+    return max(-BOUND, min(BOUND, v)) * min(1.0, seen / OFTEN)
 
 
 def windows(text: str, given: frozenset) -> list[list[tuple[int, str, bool]]]:
@@ -313,7 +300,7 @@ def word_counts(texts: list[str], given: frozenset) -> Counter:
     """(word, kind, partner) -> times: 'low' and 'cap' forms; 'after' a known given name (partner); 'then' another capital word (partner)."""
     out: Counter = Counter()
     for text in texts:
-        text = masked(text, email_spans(text))
+        text = masked(text, [(a, b) for a, b, v in email_candidates(text) if v > 0])
         words = [(m.start(), m.group()) for m in _WORDS.finditer(text)]
         for k, (_, w) in enumerate(words):
             out[w.casefold(), "low" if w[0].islower() else "cap", ""] += 1
@@ -381,10 +368,21 @@ def _is_monsieur(rows: list[tuple], i: int, given: frozenset) -> bool:
     return len(words) > 3 and words[1] == "," and words[2][:1].isupper() and words[3].lower() in ("habite", "a", "est", "au", "et", "qui", "ou")
 
 
-def name_spans(rows: list[tuple], given: frozenset) -> list[tuple[int, int]]:
-    """The names of one document; rows: (window, place, start, word, apart, low, cap, surname, givens), in order."""
+def similar(a: str, b: str) -> bool:
+    """Whether two folded words may be spellings of one: at most one letter changed, added or missing, in five or more."""
+    if a == b:
+        return True
+    if min(len(a), len(b)) < 5 or abs(len(a) - len(b)) > 1:
+        return False
+    head = next((i for i, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
+    return a[head + (len(a) >= len(b)) :] == b[head + (len(b) >= len(a)) :]
+
+
+def name_nodes(rows: list[tuple], given: frozenset) -> tuple[list[list[float]], list[tuple]]:
+    """(potentials, edges) of the words of one document; rows: (window, place, start, word, apart, low, cap, surname, givens), in order."""
     unary, edges = [], []
-    seen: dict[str, int] = {}
+    # Words met before, by the halves of which similar ones share at least one.
+    seen: dict[tuple, dict[str, int]] = {}
     for i, (win, _, _, word, apart, low, cap, surname, givens) in enumerate(rows):
         bare = word.rstrip(".")
         o, g, p, s, k = 0.0, _NEVER, _NEVER, _NEVER, _NEVER
@@ -421,15 +419,18 @@ def name_spans(rows: list[tuple], given: frozenset) -> list[tuple[int, int]]:
         elif i:
             edges.append((i - 1, i, [[0.0] * len(LABELS) for _ in LABELS]))
         if len(bare) > 2 and bare[0].isupper():
-            low_form = bare.casefold()
-            for form in (low_form, low_form[:5] + "~" + str(len(low_form))):
-                if form in seen and i - seen[form] > 1:
-                    edges.append((seen[form], i, _SKIP))
-                    break
-            seen[low_form] = seen[low_form[:5] + "~" + str(len(low_form))] = i
-    if not unary:
-        return []
-    labels = [LABELS[x] for x in best_labels(unary, edges)]
+            form = bare.casefold()
+            half = len(form) // 2
+            keys = [(0, form[: max(2, half - 1)]), (1, form[-max(2, half - 1) :])]
+            linked = {at for k in keys for other, at in seen.get(k, {}).items() if i - at > 1 and similar(form, other)}
+            edges += [(at, i, _SKIP) for at in sorted(linked)]
+            for k in keys:
+                seen.setdefault(k, {})[form] = i
+    return unary, edges
+
+
+def read_names(rows: list[tuple], labels: list[str]) -> list[tuple[int, int]]:
+    """(start, end) of the names that the labels of the words spell."""
     out, i, n = [], 0, len(rows)
     while i < n:
         win = rows[i][0]
@@ -465,6 +466,38 @@ def name_spans(rows: list[tuple], given: frozenset) -> list[tuple[int, int]]:
     return out
 
 
+def candidate_nodes(found: list[tuple], offset: int) -> tuple[list[list[float]], list[tuple]]:
+    """(potentials, edges) of the candidates (kind, start, end, text, potentials), numbered from ``offset``, by place."""
+    unary = [[0.0, *v] for *_, v in found]
+    edges = []
+    last: dict[tuple, int] = {}
+    for i, (kind, start, end, text, _) in enumerate(found):
+        width = len(unary[i])
+        for j in range(i - 1, -1, -1):
+            if found[j][2] <= start and found[j][0] != "street":
+                break
+            if found[j][2] > start:
+                # Candidates that overlap: at most one of them is something.
+                edges.append((offset + j, offset + i, [[_NEVER if x and y else 0.0 for y in range(width)] for x in range(len(unary[j]))]))
+        key = (kind, re.sub(r"\W", "", text).casefold())
+        if key in last and not any(e[:2] == (offset + last[key], offset + i) for e in edges):
+            edges.append((offset + last[key], offset + i, [[0.7 if x == y else 0.0 for y in range(width)] for x in range(width)]))
+        last[key] = i
+    return unary, edges
+
+
+def document_spans(words: list[tuple], found: list[tuple], given: frozenset) -> list[tuple[str, int, int]]:
+    """(type, start, end) of all mentions of a document, by one field over its words and candidates."""
+    unary, edges = name_nodes(words, given)
+    n = len(unary)
+    more, links = candidate_nodes(found, n)
+    if not unary and not more:
+        return []
+    labels = best_labels(unary + more, edges + links)
+    out = [("name", a, b) for a, b in read_names(words, [LABELS[x] for x in labels[:n]])] if words else []
+    return out + [(CANDIDATES[kind][x - 1], a, b) for (kind, a, b, _, _), x in zip(found, labels[n:]) if x]
+
+
 def given_names(names: DataFrame) -> frozenset:
     """The given names of the fixed table, folded; refuses more than MOST_GIVEN_NAMES rows."""
     rows = names.select("given_name").filter("given_name IS NOT NULL").distinct().limit(MOST_GIVEN_NAMES + 1).collect()
@@ -474,42 +507,68 @@ def given_names(names: DataFrame) -> frozenset:
 
 
 _SPANS = "src_table string, record_id string, text_id long, pii_type string, start_char int, end_char int"
+_NODES = "src_table string, record_id string, text_id long, win int, place int, start int, stop int, token string, apart boolean, shape array<double>, word string"
+_NODE_NAMES = [x.split()[0] for x in _NODES.split(", ")]
 
 
-def mentions(texts: DataFrame, names: DataFrame) -> DataFrame:
-    """(src_table, record_id, text_id, pii_type, start_char, end_char) of every mention in (src_table, record_id, text).
-
-    Null and blank texts have none; equal rows give one result; records with several texts are told apart by text_id, a
-    hash of the text. Texts are read whole. An empty table of given names leaves what initials and the texts themselves teach.
+def nodes(texts: DataFrame, given: frozenset) -> DataFrame:
+    """The nodes of every document, one pass over its text: words of windows (win from 0), candidates (win -1, a row for
+    each word of the context), and counts of contexts (win -2, token the class, start the count), summed within batches.
     """
-    given = given_names(names)
-    texts = texts.filter("text IS NOT NULL").select("src_table", "record_id", "text").distinct().withColumn("text_id", F.xxhash64("text"))
 
-    def shaped(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            out = [(s, r, i, kind, a, b) for s, r, i, t in zip(pdf["src_table"], pdf["record_id"], pdf["text_id"], pdf["text"]) for kind, a, b in other_spans(t)]
-            yield pd.DataFrame(out, columns=["src_table", "record_id", "text_id", "pii_type", "start_char", "end_char"])
-
-    others = texts.mapInPandas(shaped, _SPANS)
-
-    def windowed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            out = []
+            out: list[tuple] = []
+            count: Counter = Counter()
             for s, r, i, t in zip(pdf["src_table"], pdf["record_id"], pdf["text_id"], pdf["text"]):
-                spans = [(a, b) for _, a, b in other_spans(t)]
-                for w, run in enumerate(windows(masked(t, spans), given)):
-                    out += [(s, r, i, w, k, start, word, apart, word.rstrip(".").casefold()) for k, (start, word, apart) in enumerate(run)]
-            yield pd.DataFrame(out, columns=["src_table", "record_id", "text_id", "win", "place", "start", "token", "apart", "word"])
+                found, contexts, rest = candidates(t)
+                for k, (kind, a, b, shape, around) in enumerate(found):
+                    out += [(s, r, i, -1, k, a, b, f"{kind} {t[a:b]}", False, list(shape), w) for w in (around or [""])]
+                for kind, around in contexts:
+                    count.update((kind, w) for w in around)
+                    count[kind, ""] += 1
+                for w, run_of in enumerate(windows(rest, given)):
+                    out += [(s, r, i, w, k, start, start + len(word), word, apart, None, word.rstrip(".").casefold()) for k, (start, word, apart) in enumerate(run_of)]
+            out += [("", "", 0, -2, 0, n, 0, kind, False, None, w) for (kind, w), n in count.items()]
+            yield pd.DataFrame(out, columns=_NODE_NAMES)
+
+    return texts.mapInPandas(run, _NODES)
 
-    tokens = texts.mapInPandas(windowed, "src_table string, record_id string, text_id long, win int, place int, start int, token string, apart boolean, word string")
-    learned = tokens.join(lexicon(texts, given), "word", "left")
 
-    def fold(key: tuple, rows: list[tuple]) -> Iterator[tuple]:
-        for a, b in name_spans([(int(w), int(k), int(s), t, bool(x), *((v or 0) for v in rest)) for w, k, s, t, x, *rest in rows], given):
-            yield (*key, "name", a, b)
+def mentions(texts: DataFrame, names: DataFrame) -> DataFrame:
+    """(src_table, record_id, text_id, pii_type, start_char, end_char) of every mention in (src_table, record_id, text).
 
-    found_names = in_groups(learned, ["src_table", "record_id", "text_id"], ["win", "place"], fold, ["win", "place", "start", "token", "apart", "low", "cap", "surname", "givens"], _SPANS)
-    return others.unionByName(found_names)
+    Null and blank texts have none; equal rows give one result; records with several texts are told apart by text_id, a
+    hash of the text. Texts are read whole. An empty table of given names leaves what initials and the texts themselves
+    teach; in a table too small to teach anything, shapes alone decide.
+    """
+    given = given_names(names)
+    texts = texts.filter("text IS NOT NULL").select("src_table", "record_id", "text").distinct().withColumn("text_id", F.xxhash64("text"))
+    # Staged, as the counts of contexts and the documents read it.
+    node = stage(nodes(texts, given))
+    counts = node.filter("win = -2").groupBy("word").agg(*[F.sum(F.when(F.col("token") == c, F.col("start")).otherwise(0)).cast("double").alias(c) for c in CLASSES])
+    totals = counts.filter("word = ''").select(F.struct(*CLASSES).alias("totals"))
+    learned = lexicon(texts, given).select("word", "low", "cap", "surname", "givens", F.lit(None).cast("array<double>").alias("around"))
+    around = counts.filter("word <> ''").select("word", *[F.lit(0).cast("long").alias(c) for c in ("low", "cap", "surname", "givens")], F.array(*CLASSES).alias("around"))
+    # One row at most: the totals of the classes.
+    rows = node.filter("win > -2").join(learned.unionByName(around), "word", "left").join(F.broadcast(totals), F.lit(True), "left")
+
+    def fold(key: tuple, group: list[tuple]) -> Iterator[tuple]:
+        words, found = [], {}
+        for win, place, start, stop, token, apart, shape, low, cap, surname, givens, seen, totals in group:
+            if win >= 0:
+                words.append((int(win), int(place), int(start), token, bool(apart), low or 0, cap or 0, surname or 0, givens or 0))
+                continue
+            kind, _, text = token.partition(" ")
+            entry = found.setdefault(int(place), [kind, int(start), int(stop), text, list(shape)])
+            if seen is not None and totals is not None and kind != "email":
+                word, whole = dict(zip(CLASSES, seen)), totals if isinstance(totals, dict) else totals.asDict()
+                for x, c in enumerate(CANDIDATES[kind]):
+                    entry[4][x] += WEIGHT * odds_of(word, whole, c)
+        for kind, a, b in document_spans(words, sorted(map(tuple, found.values()), key=lambda c: (c[1], c[2])), given):
+            yield (*key, kind, a, b)
+
+    return in_groups(rows, ["src_table", "record_id", "text_id"], ["win", "place"], fold, ["win", "place", "start", "stop", "token", "apart", "shape", "low", "cap", "surname", "givens", "around", "totals"], _SPANS)
 
 
 def redacted(texts: DataFrame, names: DataFrame) -> DataFrame:
