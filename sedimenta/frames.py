@@ -24,11 +24,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that all executors share: ``spark.checkpoint.dir``, or one of our own where it is unset (single machine)."""
+    """The folder that all executors share: ``spark.checkpoint.dir``; one of our own only where it is unset and the master is local."""
     sc = spark.sparkContext
     known = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
     if not known:
-        known = sc.getConf().get("spark.sedimenta.folder") or tempfile.mkdtemp(prefix="sedimenta-")
+        if not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        known = tempfile.mkdtemp(prefix="sedimenta-")
         atexit.register(shutil.rmtree, known, True)
         spark.conf.set("spark.checkpoint.dir", known)
     if sc._jsc.sc().getCheckpointDir().isEmpty():
@@ -94,6 +96,24 @@ def bucketed_sum(df: DataFrame, keys: list[str], bucket: Column, order: list[Col
     return bucketed_prefix(df, keys, bucket, order, {name: value})
 
 
+def bucketed_lag(df: DataFrame, keys: list[str], bucket: Column, order: list[str], column: str, name: str) -> DataFrame:
+    """Adds ``name``: ``column`` of the row before within ``keys`` (null for the first), without gathering a key in one task.
+
+    Within (keys, bucket) by a window; the first row of a bucket takes the last row of the buckets before it. ``bucket``
+    must rise with the order.
+    """
+    df = df.withColumn("__bucket", bucket)
+    lasts = df.groupBy(*keys, "__bucket").agg(F.max_by(F.struct(F.col(column).alias("v")), F.struct(*order)).alias("__last"))
+    ahead = Window.partitionBy(*keys).orderBy(F.col("__bucket").asc_nulls_first())
+    carried = lasts.select(*[F.col(k).alias(f"__k_{k}") for k in keys], F.col("__bucket").alias("__b"), F.lag("__last").over(ahead).alias("__carried"))
+    same = F.col("__bucket").eqNullSafe(F.col("__b"))
+    for k in keys:
+        same = F.col(k).eqNullSafe(F.col(f"__k_{k}")) & same
+    inner = F.lag(F.struct(F.col(column).alias("v"))).over(Window.partitionBy(*keys, "__bucket").orderBy(*order))
+    joined = df.withColumn("__own", inner).join(carried, same, "left").withColumn(name, F.coalesce("__own", "__carried")["v"])
+    return joined.drop("__bucket", "__b", "__own", "__carried", *[f"__k_{k}" for k in keys])
+
+
 def let(value: Column, use: Callable[[Column], Column]) -> Column:
     """``use(value)`` with the value worked out once for each row, however often it is used."""
     return F.transform(F.array(value), use)[0]

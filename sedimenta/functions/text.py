@@ -16,6 +16,8 @@ SPACE = r"[\s\x{b}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\
 NOT_SPACE = SPACE.replace("[", "[^", 1)
 TERM = r"[\p{L}\p{N}]+(?:[-_.:/][\p{L}\p{N}]+)*"
 WORD = r"[\p{L}\p{N}_]+"
+#: A character of a script that is written without spaces (Thai, kana, ideographs, Hangul).
+GRAM = r"[\x{e00}-\x{e7f}\x{3040}-\x{30ff}\x{3400}-\x{4dbf}\x{4e00}-\x{9fff}\x{ac00}-\x{d7a3}]"
 CLAUSE = rf"^{SPACE}*(\d+(?:\.\d+)+)\.?{SPACE}+{NOT_SPACE}"
 PUNCTUATION = r"[!-/:-@\[-`{-~]"
 CITED = r"\[cite:(\d{1,2})\]"
@@ -24,8 +26,8 @@ USED = r"<!--\s*used:([^>]*?)-->"
 #: Letters of Vietnamese beyond ASCII, and the labels that a memory key may be given by.
 VIETNAMESE = "[ăâđêôơưàảãạáằắẳẵặầấẩẫậèéẻẽẹềếểễệìíỉĩịòóỏõọồốổỗộờớởỡợùúủũụừứửữựỳýỷỹỵ]"
 KEY_ALIASES = {
-    "name": "nickname", "profession": "occupation", "job": "occupation", "company": "organization", "language": "response_language", "preferred_language": "response_language",
-    "length": "response_length", "answer_length": "response_length", "format": "response_format", "style": "tone", "interest": "focus_area", "interests": "focus_area", "level": "expertise_level",
+    "name": "nickname", "user_name": "nickname", "full_name": "nickname", "profession": "occupation", "job": "occupation", "role": "occupation", "company": "organization", "employer": "organization",
+    "language": "response_language", "preferred_language": "response_language", "length": "response_length", "answer_length": "response_length", "format": "response_format", "style": "tone", "interest": "focus_area", "interests": "focus_area", "level": "expertise_level",
 }
 KEYS = ("nickname", "occupation", "organization", "response_language", "response_length", "response_format", "tone", "focus_area", "expertise_level")
 
@@ -49,8 +51,13 @@ def normalized(text: Column) -> Column:
 
 
 def terms(text: Column) -> Column:
-    """Search terms: folded words with inner joiners."""
-    return F.regexp_extract_all(folded(text), F.lit(TERM), F.lit(0))
+    """Search terms: folded words with inner joiners; of scripts without spaces also the characters and pairs of them."""
+
+    def with_grams(low: Column) -> Column:
+        pairs = lambda g: F.transform(F.sequence(F.lit(1), F.size(g) - 1), lambda i: F.concat(F.element_at(g, i), F.element_at(g, i + 1)))
+        return let(F.regexp_extract_all(low, F.lit(GRAM), F.lit(0)), lambda g: F.concat(F.regexp_extract_all(low, F.lit(TERM), F.lit(0)), g, F.when(F.size(g) > 1, pairs(g)).otherwise(F.array().cast("array<string>"))))
+
+    return let(folded(text), lambda low: F.when(low.rlike(GRAM), with_grams(low)).otherwise(F.regexp_extract_all(low, F.lit(TERM), F.lit(0))))
 
 
 def words(text: Column) -> Column:

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..frames import bucketed_lag
 from ..functions import text as T
 
 ROLES = {"viewer": 1, "editor": 2, "owner": 3}
@@ -136,12 +137,11 @@ def share_state(log: DataFrame) -> DataFrame:
 
 
 def status_steps(log: DataFrame, key: str, status: str, order: list[str]) -> DataFrame:
-    """The events with the status before and whether the step is legal."""
-    before = F.lag(status).over(Window.partitionBy(key).orderBy(*order))
+    """The events with the status before and whether the step is legal; the first column of the order is a time."""
     legal = F.lit(False)
     for a, b in STEPS:
         legal = legal | ((F.col("before").isNull() if a is None else F.col("before").eqNullSafe(F.lit(a))) & (F.col(status) == b))
-    return log.withColumn("before", before).withColumn("legal", legal)
+    return bucketed_lag(log, [key], F.floor(F.unix_micros(F.col(order[0]).cast("timestamp")) / 86_400_000_000), order, status, "before").withColumn("legal", legal)
 
 
 def upload_outcomes(uploads: DataFrame, files: DataFrame, now: Column, days: int = TRASH_DAYS) -> DataFrame:

@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..frames import in_groups
+from ..frames import cut, in_groups
 from ..functions import text as T
 
 #: Saturation and length normalisation of BM25, the pipeline's mean length, the fusion constant.
@@ -18,6 +18,8 @@ K1, B, MEAN_LENGTH, RRF_K = 1.2, 0.75, 256.0, 60
 KEEP = 0.5
 #: Vectors in a block of the blocked dense search.
 BLOCK_ROWS = 2_048
+#: Parts that the postings of a term are spread over when they meet the queries.
+SALTS = 16
 
 
 def postings(chunks: DataFrame, key: str, text: str) -> DataFrame:
@@ -46,7 +48,9 @@ def sparse_search(queries: DataFrame, query: str, query_text: str, chunks: DataF
     hits = posts.join(asked.select("term").distinct(), "term", "left_semi")
     df = hits.groupBy("term").agg(F.count(F.lit(1)).alias("df")).join(F.broadcast(total))
     idf = df.select("term", F.log((F.col("total") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1).alias("idf"))
-    scored = asked.join(idf, "term").join(hits, "term").groupBy(query, key).agg(F.sum(F.col("qtf") * F.col("idf") * F.col("weight")).alias("score"))
+    # A term may stand in a third of all chunks: its postings are spread over SALTS parts, which each meet the queries.
+    spread = asked.join(idf, "term").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    scored = spread.join(hits.withColumn("salt", F.pmod(F.xxhash64(key), F.lit(SALTS)).cast("int")), ["term", "salt"]).groupBy(query, key).agg(F.sum(F.col("qtf") * F.col("idf") * F.col("weight")).alias("score"))
     return top_k(scored, query, key, k)
 
 
@@ -113,29 +117,49 @@ def routed_elsewhere(project_docs: DataFrame, routed_docs: DataFrame, query: str
 
 
 def ancestors(chunks: DataFrame) -> DataFrame:
-    """(chunk_id, ancestor_id, depth): the chain of parents; the tree has three levels, so two joins reach its root."""
-    c = chunks.select("chunk_id", "parent_id").distinct()
-    first = c.filter("parent_id IS NOT NULL").select("chunk_id", F.col("parent_id").alias("ancestor_id"))
-    known = c.select(F.col("chunk_id").alias("ancestor_id"), F.col("parent_id").alias("next"))
-    one = first.join(known, "ancestor_id").select("chunk_id", "ancestor_id", F.lit(1).alias("depth"), "next")
-    two = one.filter("next IS NOT NULL").select("chunk_id", F.col("next").alias("ancestor_id")).join(known, "ancestor_id").select("chunk_id", "ancestor_id", F.lit(2).alias("depth"))
-    return one.drop("next").unionByName(two)
+    """(chunk_id, ancestor_id, depth): the chain of parents of every chunk, however deep; parents that are not among the rows end it.
+
+    The frontier is joined once for each level until it is empty. A chunk that comes up again (a cycle) ends its chain.
+    """
+    c = cut(chunks.select("chunk_id", "parent_id").filter("chunk_id IS NOT NULL").groupBy("chunk_id").agg(F.max("parent_id").alias("parent_id")))
+    step = c.select(F.col("chunk_id").alias("ancestor_id"), F.col("parent_id").alias("next"))
+    front = c.filter("parent_id IS NOT NULL").select("chunk_id", F.col("parent_id").alias("ancestor_id")).join(step, "ancestor_id").select("chunk_id", "ancestor_id", "next", F.array("ancestor_id").alias("path"))
+    levels = []
+    while True:
+        front = cut(front)
+        if front.isEmpty():
+            break
+        levels.append(front.select("chunk_id", "ancestor_id", F.lit(len(levels) + 1).alias("depth")))
+        up = front.filter("next IS NOT NULL").select("chunk_id", F.col("next").alias("ancestor_id"), "path").join(step, "ancestor_id")
+        front = up.filter(~F.array_contains("path", F.col("ancestor_id"))).select("chunk_id", "ancestor_id", "next", F.concat("path", F.array("ancestor_id")).alias("path"))
+    out = levels[0] if levels else front.select("chunk_id", "ancestor_id", F.lit(1).alias("depth"))
+    for level in levels[1:]:
+        out = out.unionByName(level)
+    return out
 
 
 def descendant_leaves(chunks: DataFrame) -> DataFrame:
-    """(root_id, leaf_id, place1, place2): the leaves below each chunk in child order; a leaf is below itself.
+    """(root_id, leaf_id, path): the leaves below each chunk, each once; sorting by path gives document order.
 
-    Children that are not among the rows are skipped.
+    A path is the place of the child on each level, five digits each. A leaf is below itself with an empty path. Children
+    that are not among the rows are skipped; the frontier goes down until it is empty.
     """
-    c = chunks.select("chunk_id", "level", "child_ids").dropDuplicates(["chunk_id"])
-    level = c.select(F.col("chunk_id").alias("child"), F.col("level").alias("child_level"))
-    edge = c.select("chunk_id", F.posexplode("child_ids").alias("place", "child")).join(level, "child")
-    own = c.filter("level = 'leaf'").select(F.col("chunk_id").alias("root_id"), F.col("chunk_id").alias("leaf_id"), F.lit(0).alias("place1"), F.lit(0).alias("place2"))
-    one = edge.filter("child_level = 'leaf'").select(F.col("chunk_id").alias("root_id"), F.col("child").alias("leaf_id"), F.col("place").alias("place1"), F.lit(0).alias("place2"))
-    inner = edge.filter("child_level <> 'leaf'").select(F.col("chunk_id").alias("root_id"), F.col("child").alias("mid"), F.col("place").alias("place1"))
-    below = edge.filter("child_level = 'leaf'").select(F.col("chunk_id").alias("mid"), F.col("child").alias("leaf_id"), F.col("place").alias("place2"))
-    two = inner.join(below, "mid").select("root_id", "leaf_id", "place1", "place2")
-    return own.unionByName(one).unionByName(two)
+    c = cut(chunks.select("chunk_id", "level", "child_ids").filter("chunk_id IS NOT NULL").dropDuplicates(["chunk_id"]))
+    edge = c.filter("level <> 'leaf'").select("chunk_id", F.posexplode("child_ids").alias("place", "child"))
+    edge = edge.join(c.select(F.col("chunk_id").alias("child"), F.col("level").alias("child_level")), "child").select(F.col("chunk_id").alias("at"), "child", "child_level", F.lpad(F.col("place").cast("string"), 5, "0").alias("place"))
+    front = c.select(F.col("chunk_id").alias("root_id"), F.col("chunk_id").alias("at"), F.col("level"), F.lit("").alias("path"), F.array("chunk_id").alias("seen"))
+    levels = []
+    while True:
+        front = cut(front)
+        if front.isEmpty():
+            break
+        levels.append(front.filter("level = 'leaf'").select("root_id", F.col("at").alias("leaf_id"), "path"))
+        down = front.filter("level <> 'leaf'").join(edge, "at").filter(~F.array_contains("seen", F.col("child")))
+        front = down.select("root_id", F.col("child").alias("at"), F.col("child_level").alias("level"), F.concat("path", "place").alias("path"), F.concat("seen", F.array("child")).alias("seen"))
+    out = levels[0] if levels else front.select("root_id", F.col("at").alias("leaf_id"), "path")
+    for level in levels[1:]:
+        out = out.unionByName(level)
+    return out.groupBy("root_id", "leaf_id").agg(F.min("path").alias("path"))
 
 
 def expand_references(selected: DataFrame, refs: DataFrame, blocks_of: DataFrame, cap: int) -> DataFrame:
@@ -150,68 +174,82 @@ def expand_references(selected: DataFrame, refs: DataFrame, blocks_of: DataFrame
     return held.withColumn("n", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("weight"), "key"))).filter(F.col("n") <= cap).select("query", "key", "weight")
 
 
-def merge_siblings(ranked: list[str], tree: dict[str, tuple[str | None, list[str], str]], budget: int) -> tuple[list[str], list[str], int]:
-    """(chosen chunks, their leaves, merges) for the ranked leaves of one query; tree: id -> (parent, children, text).
-
-    A leaf that is its parent's only child stands for the parent. Whenever at least two chosen siblings cover a third of
-    their parent (more as the budget is spent) and the rest of the parent fits, the parent takes their place.
-    """
-    if budget <= 0:
-        return [], [], 0
-    count = lambda i: len(tree[i][2].split())
-
-    def leaves(i: str, seen: set[str]) -> list[str]:
-        if i not in tree or i in seen:
-            return []
-        seen.add(i)
-        return [i] if not tree[i][1] else [x for c in tree[i][1] for x in leaves(c, seen)]
-
-    chosen: list[str] = []
-    merges = 0
-    for leaf in ranked:
-        if leaf not in tree or any(leaf == c or leaf in leaves(c, set()) for c in chosen):
-            continue
-        now = leaf
-        up = tree[now][0]
-        if up in tree and len(tree[up][1]) == 1:
-            now, up = up, tree[up][0]
-        chosen.append(now)
-        while up in tree:
-            kin = [c for c in chosen if tree[c][0] == up]
-            spent = sum(map(count, chosen))
-            need = len(tree[up][2]) / 3 * (1 + spent / budget)
-            rest = count(up) - sum(map(count, kin))
-            if len(kin) < 2 or sum(len(tree[c][2]) for c in kin) < need or rest > budget - spent:
-                break
-            chosen = [c for c in chosen if tree[c][0] != up] + [up]
-            merges += 1
-            up = tree[up][0]
-        if sum(map(count, chosen)) >= budget:
-            break
-    found = dict.fromkeys(x for c in chosen for x in leaves(c, set()))
-    return chosen, list(found), merges
+class Siblings:
+    """The chosen chunks of one query, with running sums for each parent, so that a choice costs its depth only."""
+
+    def __init__(self, tree: dict[str, tuple[str | None, int, int, int]], budget: int) -> None:
+        # tree: id -> (parent, number of children, characters, tokens)
+        self.tree, self.budget = tree, budget
+        self.chosen: dict[str, None] = {}
+        self.kin: dict[str | None, dict[str, None]] = {}
+        self.sums: dict[str | None, list[int]] = {}
+        self.spent = self.merges = 0
+
+    def _count(self, node: str, sign: int) -> None:
+        up, _, chars, tokens = self.tree[node]
+        sums = self.sums.setdefault(up, [0, 0])
+        sums[0] += sign * chars
+        sums[1] += sign * tokens
+        self.spent += sign * tokens
+
+    def put(self, node: str) -> None:
+        self.chosen[node] = None
+        self.kin.setdefault(self.tree[node][0], {})[node] = None
+        self._count(node, 1)
+
+    def line(self, node: str) -> Iterator[str]:
+        """The node and what stands above it among the rows."""
+        met = set()
+        while node in self.tree and node not in met:
+            met.add(node)
+            yield node
+            node = self.tree[node][0]
+
+    def offer(self, leaf: str) -> None:
+        if leaf not in self.tree or any(n in self.chosen for n in self.line(leaf)):
+            return
+        up = self.tree[leaf][0]
+        self.put(up if up in self.tree and self.tree[up][1] == 1 else leaf)
+        for parent in list(self.line(next(reversed(self.chosen))))[1:]:
+            _, _, chars, tokens = self.tree[parent]
+            held, paid = self.sums.get(parent, (0, 0))
+            earned = 3 * held * self.budget >= chars * (self.budget + self.spent)
+            if len(self.kin.get(parent, ())) < 2 or not earned or tokens - paid > self.budget - self.spent:
+                return
+            for child in self.kin.pop(parent):
+                del self.chosen[child]
+                self._count(child, -1)
+            self.put(parent)
+            self.merges += 1
 
 
 def auto_merge(ranked: DataFrame, chunks: DataFrame, budget: int = 4_000) -> DataFrame:
-    """(query, place, chunk_id, n_leaves, merges): merge_siblings for every query; ranked: (query, chunk_id, rank).
+    """(query, place, chunk_id, n_leaves, merges): chunks chosen for every query from its ranked leaves (query, chunk_id, rank).
 
-    A query holds its ranked leaves and their ancestors only, which the search has bounded.
+    A leaf that is its parent's only child stands for the parent. Once at least two chosen siblings hold a third of their
+    parent's characters (more as the budget is spent) and the rest of the parent fits, the parent takes their place. n_leaves
+    counts the leaves below. A query holds its ranked leaves and their ancestors only, as sizes, which the search bounds.
     """
     up = ancestors(chunks)
     mine = ranked.select("query", "chunk_id", F.col("rank").cast("int").alias("rank"))
     above = mine.join(up, "chunk_id").select("query", F.col("ancestor_id").alias("chunk_id")).distinct().join(mine.select("query", "chunk_id"), ["query", "chunk_id"], "left_anti").withColumn("rank", F.lit(None).cast("int"))
-    rows = mine.unionByName(above).join(chunks.select("chunk_id", "parent_id", "child_ids", "source_text").dropDuplicates(["chunk_id"]), "chunk_id")
+    text = F.coalesce("source_text", F.lit(""))
+    sized = chunks.dropDuplicates(["chunk_id"]).select("chunk_id", "parent_id", F.coalesce(F.size("child_ids"), F.lit(0)).alias("n_children"), F.length(text).alias("n_chars"), T.n_tokens(text).alias("n_tokens"))
+    rows = mine.unionByName(above).join(sized, "chunk_id")
 
     def fold(key: tuple, group: list[tuple]) -> Iterator[tuple]:
-        tree = {c: (p, list(k) if k is not None else [], t or "") for _, c, p, k, t in group}
-        order = [c for r, c, *_ in sorted((g for g in group if g[0] is not None and g[0] == g[0]), key=lambda g: (g[0], g[1]))]
-        chosen, _, merges = merge_siblings(order, tree, budget)
-        for i, c in enumerate(chosen):
-            below = merge_siblings([c], {c: tree[c]}, budget)[1] if not tree[c][1] else [x for x in tree[c][1] if x in tree]
-            yield (*key, i, c, len(below), merges)
+        state = Siblings({c: (p, int(k), int(n), int(t)) for _, c, p, k, n, t in group}, budget)
+        for _, leaf in sorted((int(r), c) for r, c, *_ in group if r is not None and r == r) if budget > 0 else ():
+            state.offer(leaf)
+            if state.spent >= budget:
+                break
+        for place, chunk in enumerate(state.chosen):
+            yield (*key, place, chunk, state.merges)
 
     kind = dict(ranked.dtypes)["query"]
-    return in_groups(rows, ["query"], ["rank", "chunk_id"], fold, ["rank", "chunk_id", "parent_id", "child_ids", "source_text"], f"query {kind}, place int, chunk_id string, n_leaves int, merges int")
+    chosen = in_groups(rows, ["query"], ["rank", "chunk_id"], fold, ["rank", "chunk_id", "parent_id", "n_children", "n_chars", "n_tokens"], f"query {kind}, place int, chunk_id string, merges int")
+    below = descendant_leaves(chunks).groupBy(F.col("root_id").alias("chunk_id")).agg(F.count(F.lit(1)).cast("int").alias("n_leaves"))
+    return chosen.join(below, "chunk_id", "left").select("query", "place", "chunk_id", F.coalesce("n_leaves", F.lit(0)).alias("n_leaves"), "merges")
 
 
 def hash_embedding(text: str, dimensions: int = 384) -> list[float]:

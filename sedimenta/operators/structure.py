@@ -43,8 +43,8 @@ def caption_figures(blocks: DataFrame, page: Column) -> DataFrame:
     return rows.withColumn("figure_id", figure).filter("type = 'caption' AND figure_id IS NOT NULL AND page IS NOT NULL").select("doc_id", "block_id", "figure_id")
 
 
-def continuations(blocks: DataFrame, page: Column, bbox: Column) -> DataFrame:
-    """(doc_id, block_id, next_id): neighbouring blocks that go on over a page break."""
+def continuations(blocks: DataFrame, page: Column, bbox: Column, top: float = 100.0) -> DataFrame:
+    """(doc_id, block_id, next_id): neighbouring blocks that go on over a page break; the second begins above ``top``."""
     rows = ranked(blocks.withColumn("page", page).withColumn("bbox", bbox)).select("doc_id", "block_id", "rank", "type", "text", "page", "bbox")
     nxt = rows.select("doc_id", (F.col("rank") - 1).alias("rank"), F.col("block_id").alias("next_id"), F.col("type").alias("next_type"), F.col("text").alias("next_text"), F.col("page").alias("next_page"), F.col("bbox").alias("next_bbox"))
     pair = rows.join(nxt, ["doc_id", "rank"])
@@ -52,7 +52,7 @@ def continuations(blocks: DataFrame, page: Column, bbox: Column) -> DataFrame:
     small = F.regexp_replace("next_text", r"^\s+", "").rlike(r"^[\p{Ll},;:)]")
     prose = (F.col("type") == "paragraph") & (F.col("next_type") == "paragraph") & open_end & small
     table = (F.col("type") == "table") & (F.col("next_type") == "table") & (T.horizontal_overlap(F.col("bbox"), F.col("next_bbox")) >= 0.7)
-    return pair.filter((F.col("next_page") == F.col("page") + 1) & (F.col("next_bbox")[1] <= 100) & (prose | table)).select("doc_id", "block_id", "next_id")
+    return pair.filter((F.col("next_page") == F.col("page") + 1) & (F.get("next_bbox", F.lit(1)) <= top) & (prose | table)).select("doc_id", "block_id", "next_id")
 
 
 def clause_starts(blocks: DataFrame) -> DataFrame:
@@ -161,15 +161,26 @@ def section_groups(blocks: DataFrame) -> DataFrame:
 
 
 def semantic_breaks(vectors: DataFrame, group: str, order: str, vector: str, share: float = 0.95) -> DataFrame:
-    """(group, order, distance, piece): neighbours whose cosine distance is above the percentile open a new piece."""
-    w = Window.partitionBy(group).orderBy(order)
-    pairs = vectors.select(group, order, F.col(vector).cast("array<double>").alias("v")).withColumn("u", F.lag("v").over(w))
+    """(group, order, distance, piece): neighbours whose cosine distance is above the percentile open a new piece.
+
+    A group may hold a third of all rows: neighbours meet by a join on the rank, and the percentile is read off the ranks
+    of the distances, in buckets of a ten-thousandth.
+    """
+    rows = vectors.select(group, order, F.col(vector).cast("array<double>").alias("v"))
+    r = bucketed_rank(rows, [group], F.floor(F.col(order) / STEP), [F.col(order)], "n")
+    before = r.select(group, (F.col("n") + 1).alias("n"), F.col("v").alias("u"))
     dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
-    d = pairs.withColumn("distance", F.when(F.col("u").isNotNull(), F.round(1 - dot(F.col("u"), F.col("v")) / F.sqrt(dot(F.col("u"), F.col("u")) * dot(F.col("v"), F.col("v"))), 9)))
-    limit = d.groupBy(group).agg(F.percentile("distance", F.lit(share)).alias("limit"))
-    cut = F.when(F.col("distance") > F.col("limit"), 1).otherwise(0)
-    joined = d.join(limit, group)
-    return joined.select(group, order, "distance", F.sum(cut).over(w.rowsBetween(Window.unboundedPreceding, 0)).cast("long").alias("piece"))
+    distance = F.round(1 - dot(F.col("u"), F.col("v")) / F.sqrt(dot(F.col("u"), F.col("u")) * dot(F.col("v"), F.col("v"))), 9)
+    d = stage(r.join(before, [group, "n"], "left").select(group, order, "n", F.when(F.col("u").isNotNull(), distance).alias("distance")))
+    far = d.filter("distance IS NOT NULL")
+    sizes = far.groupBy(group).agg((F.lit(share) * (F.count(F.lit(1)) - 1)).alias("at"))
+    ranks = bucketed_rank(far, [group], F.floor(F.col("distance") * 10_000), [F.col("distance"), F.col(order)], "place").join(sizes, group)
+    near = ranks.filter((F.col("place") == F.floor("at")) | (F.col("place") == F.ceil("at"))).groupBy(group).agg(F.min("distance").alias("low"), F.max("distance").alias("high"), F.first("at").alias("at"))
+    limit = near.select(group, (F.col("low") + (F.col("high") - F.col("low")) * (F.col("at") - F.floor("at"))).alias("limit"))
+    cut = F.when(F.col("distance") > F.col("limit"), 1).otherwise(0).cast("long")
+    joined = d.join(limit, group, "left").withColumn("opens", cut)
+    summed = bucketed_sum(joined, [group], F.floor(F.col("n") / STEP), [F.col("n")], F.col("opens"), "seen")
+    return summed.select(group, order, "distance", (F.col("seen") + F.col("opens")).alias("piece"))
 
 
 def majority_language(blocks: DataFrame) -> DataFrame:

@@ -30,7 +30,8 @@ def normalized(c: str) -> str:
 
 
 def terms(c: str) -> str:
-    return f"regexp_extract_all({folded(c)}, {quoted(T.TERM)})"
+    grams = f"regexp_extract_all({folded(c)}, {quoted(T.GRAM)})"
+    return f"list_concat(regexp_extract_all({folded(c)}, {quoted(T.TERM)}), {grams}, list_transform(range(1, len({grams})), lambda i: {grams}[i] || {grams}[i + 1]))"
 
 
 def words(c: str) -> str:
@@ -77,7 +78,11 @@ def overlap(a: str, b: str) -> str:
 
 def memory_key(c: str) -> str:
     plain = f"replace(replace({folded(trimmed(c))}, ' ', '_'), '-', '_')"
-    alias = "CASE " + " ".join(f"WHEN {plain} = '{a}' THEN '{b}'" for a, b in T.KEY_ALIASES.items()) + f" ELSE {plain} END"
+    alias = (
+        f"CASE WHEN {plain} IN ('name', 'user_name', 'full_name') THEN 'nickname' WHEN {plain} IN ('profession', 'job', 'role') THEN 'occupation' WHEN {plain} IN ('company', 'employer') THEN 'organization' "
+        f"WHEN {plain} IN ('language', 'preferred_language') THEN 'response_language' WHEN {plain} IN ('length', 'answer_length') THEN 'response_length' WHEN {plain} = 'format' THEN 'response_format' "
+        f"WHEN {plain} = 'style' THEN 'tone' WHEN {plain} IN ('interest', 'interests') THEN 'focus_area' WHEN {plain} = 'level' THEN 'expertise_level' ELSE {plain} END"
+    )
     slug = f"left(regexp_replace(regexp_replace(replace({alias}, '_', '-'), '[^a-z0-9-]+', '-', 'g'), '^-+|-+$', '', 'g'), 63)"
-    known = "(" + ", ".join(f"'{k}'" for k in T.KEYS) + ")"
+    known = "('nickname', 'occupation', 'organization', 'response_language', 'response_length', 'response_format', 'tone', 'focus_area', 'expertise_level')"
     return f"CASE WHEN {alias} IN {known} OR regexp_matches({alias}, '^other:[a-z0-9][a-z0-9-]{{0,62}}$') THEN {alias} WHEN {slug} <> '' THEN 'other:' || {slug} ELSE '' END"

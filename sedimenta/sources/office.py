@@ -154,24 +154,26 @@ def xlsx_blocks(content: bytes) -> Iterator[tuple]:
         if part is None:
             continue
         title = sheet.get("name", "")
-        hidden_cells: set[tuple[int, int]] = set()
+        # Merged ranges by their bounds: a range over a whole sheet is one entry, not a set of its cells.
+        merged: list[tuple[int, int, int, int]] = []
         for m in part.iter(f"{_S}mergeCell"):
             a, _, b = m.get("ref", "").partition(":")
             if not b:
                 continue
             top, bottom = int(re.sub(r"\D", "", a)), int(re.sub(r"\D", "", b))
             left, right = _column(a), _column(b)
-            hidden_cells |= {(r, c) for r in range(top, bottom + 1) for c in range(left, right + 1)} - {(top, left)}
+            merged.append((top, bottom, left, right))
         grid = []
         for row in part.iter(f"{_S}row"):
             number = int(row.get("r", len(grid) + 1))
             cells: dict[int, str] = {}
+            here = [m for m in merged if m[0] <= number <= m[1]]
             for at, c in enumerate(row.findall(f"{_S}c")):
                 seen += 1
                 if seen > CELLS:
                     raise Refused("too many cells")
                 place = _column(c.get("r", "")) if c.get("r") else at
-                if (number, place) in hidden_cells:
+                if any(left <= place <= right and (number, place) != (top, left) for top, _, left, right in here):
                     continue
                 inline = c.find(f"{_S}is")
                 value = "".join(t.text or "" for t in inline.iter(f"{_S}t")) if inline is not None else c.findtext(f"{_S}v")

@@ -1,13 +1,14 @@
 """A sliding-window rate limiter: stateful on a stream, and as a replay over a table.
 
 Refused calls are not charged, so a count over a range of time would be too high: the state is the times of the calls
-that were let through, which the limit bounds.
+that were let through, which the limit of the longest window bounds. A limiter has one or more rules (calls, seconds);
+a call passes when it fits all of them, and is then charged to all of them.
 """
 
 from __future__ import annotations
 
-from collections import deque
-from collections.abc import Iterator
+from bisect import bisect_right
+from collections.abc import Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -16,49 +17,62 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..frames import fold_streams
 
+Rules = Sequence[tuple[int, float]]
 
-def charge(hits: deque, now: float, limit: int, window: float, cost: int = 1) -> tuple[bool, float]:
-    """(let through, seconds to wait): drops what has left the window, then charges all of the cost or nothing."""
-    while hits and hits[0] <= now - window:
-        hits.popleft()
-    if len(hits) + cost <= limit:
-        hits.extend([now] * cost)
-        return True, 0.0
-    if cost > limit or not hits:
-        return False, float(window)
-    return False, hits[len(hits) + cost - limit - 1] + window - now
 
+def admit(times: list[float], now: float, rules: Rules, cost: int = 1) -> tuple[list[float], bool, float]:
+    """(times kept, whether the call passes, seconds to wait). times: sorted, a call of cost n stands n times.
 
-def replay(events: DataFrame, bucket: str, at: str, key: str, limit: int, window: float) -> DataFrame:
+    For each rule the calls of its window are what a binary search leaves; the wait is the longest over the rules, and
+    a whole window where the cost alone is above a rule.
+    """
+    kept = times[bisect_right(times, now - max(w for _, w in rules)) :]
+    waits = [0.0]
+    for most, window in rules:
+        inside = kept[bisect_right(kept, now - window) :]
+        over = len(inside) + cost - most
+        if over > 0:
+            waits.append(float(window) if over > len(inside) else inside[over - 1] + window - now)
+    passes = len(waits) == 1
+    return (kept + [now] * cost if passes else kept), passes, max(waits)
+
+
+def replay(events: DataFrame, bucket: str, at: str, key: str, rules: Rules, cost: str | None = None) -> DataFrame:
     """(bucket, key, allowed, wait) of every event in the order of time, ties by key; any number of events streams through."""
-    rows = events.filter(F.col(at).isNotNull()).select(F.col(bucket).alias("bucket"), F.col(key).alias("key"), (F.unix_micros(F.col(at).cast("timestamp")) / 1e6).alias("t"))
+    price = F.col(cost).cast("int") if cost else F.lit(1)
+    rows = events.filter(F.col(at).isNotNull()).select(F.col(bucket).alias("bucket"), F.col(key).alias("key"), (F.unix_micros(F.col(at).cast("timestamp")) / 1e6).alias("t"), F.coalesce(price, F.lit(1)).alias("cost"))
 
-    def step(hits: deque, row: tuple) -> list[tuple]:
-        t, k = row
-        ok, wait = charge(hits, t, limit, window)
-        return [(k, ok, round(wait, 6))]
+    def step(state: list, row: tuple) -> list[tuple]:
+        t, k, n = row
+        state[0], passes, wait = admit(state[0], t, rules, int(n))
+        return [(k, passes, round(wait, 6))]
 
     kinds = dict(rows.dtypes)
-    return fold_streams(rows, ["bucket"], ["t", "key"], deque, step, lambda hits: [], ["t", "key"], f"bucket {kinds['bucket']}, key {kinds['key']}, allowed boolean, wait double")
+    return fold_streams(rows, ["bucket"], ["t", "key"], lambda: [[]], step, lambda state: [], ["t", "key", "cost"], f"bucket {kinds['bucket']}, key {kinds['key']}, allowed boolean, wait double")
 
 
-def limited(events: DataFrame, bucket: str, at: str, key: str, limit: int, window: float) -> DataFrame:
-    """The same on a stream: (bucket, key, allowed, wait); a bucket without calls for a window is forgotten.
+def limited(events: DataFrame, bucket: str, at: str, key: str, rules: Rules) -> DataFrame:
+    """The same on a stream: (bucket, key, allowed, wait); a bucket without calls for the longest window is forgotten.
 
-    Within a micro-batch calls are charged in the order of time; the state of a bucket is at most ``limit`` times.
+    Calls are charged in the order of time within each Arrow batch of a micro-batch; the state of a bucket is bounded by
+    the rules.
     """
     rows = events.select(F.col(bucket).cast("string").alias("bucket"), F.col(key).cast("string").alias("key"), (F.unix_micros(F.col(at).cast("timestamp")) / 1e6).alias("t"))
+    longest = max(w for _, w in rules)
 
     def run(group: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
             state.remove()
             return
-        hits = deque(state.get[0] if state.exists else [])
-        calls = pd.concat(list(batches)).sort_values(["t", "key"])
-        out = [(group[0], k, *charge(hits, t, limit, window)) for t, k in zip(calls["t"], calls["key"])]
-        state.update((list(hits),))
-        state.setTimeoutDuration(int(window * 1_000))
-        yield pd.DataFrame(out, columns=["bucket", "key", "allowed", "wait"])
+        times = list(state.get[0]) if state.exists else []
+        for calls in batches:
+            out = []
+            for t, k in sorted(zip(calls["t"], calls["key"])):
+                times, passes, wait = admit(times, t, rules)
+                out.append((group[0], k, passes, wait))
+            yield pd.DataFrame(out, columns=["bucket", "key", "allowed", "wait"])
+        state.update((times,))
+        state.setTimeoutDuration(int(longest * 1_000))
 
     return rows.groupBy("bucket").applyInPandasWithState(run, "bucket string, key string, allowed boolean, wait double", "hits array<double>", "append", GroupStateTimeout.ProcessingTimeTimeout)
 

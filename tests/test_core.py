@@ -2,7 +2,6 @@ import io
 import json
 import random
 import zipfile
-from collections import deque
 
 import pytest
 
@@ -138,8 +137,10 @@ def test_history_windows_against_the_loop(spark):
 def test_summary_items():
     items = history.parse_items("[s1|u:2|f:1] one\n[s2|u:0|f:3] two")
     assert history.parse_items(history.render_items(items)) == items and history.parse_items("plain words")[0]["id"] == "s1" and history.parse_items(None) == []
-    now, gone = history.apply_ops(items, [{"op": "ADD", "text": " ONE "}, {"op": "ADD", "text": "three"}, {"op": "DROP", "id": "s9"}, {"op": "UPDATE", "id": "s2", "text": "2"}], 2)
-    assert [i["id"] for i in now] == ["s1", "s3"] and [i["id"] for i in gone] == ["s2"] and gone[0]["text"] == "2"
+    book = history.Ledger(items)
+    assert book.fold([{"op": "ADD", "text": " ONE "}, {"op": "ADD", "text": "three"}, {"op": "DROP", "id": "s9"}, {"op": "UPDATE", "id": "s2", "text": "2"}], 2) == 1
+    assert [(i["id"], i["used"], i["folds"]) for i in book.items()] == [("s1", 2, 2), ("s3", 0, 0)]
+    assert book.fold([{"op": "DROP", "id": "s1"}, {"op": "ADD", "text": "four"}], 9) == 0 and [i["id"] for i in book.items()] == ["s3", "s4"] and book.fold([], 0) == 2
 
 
 def test_streamed_folds(spark):
@@ -167,9 +168,20 @@ def test_dense_search_against_brute_force(spark):
 
 def test_merging_along_the_tree(spark):
     tree = {"p": (None, ["a", "b", "c"], "one two three four five six"), "a": ("p", [], "one two"), "b": ("p", [], "three four"), "c": ("p", [], "five six")}
-    assert retrieval.merge_siblings(["a", "b"], tree, 100) == (["p"], ["a", "b", "c"], 1)
-    assert retrieval.merge_siblings(["a", "b"], tree, 3) == (["a", "b"], ["a", "b"], 0) and retrieval.merge_siblings(["a"], tree, 0) == ([], [], 0)
-    assert retrieval.merge_siblings(["a"], {"p": (None, ["a"], "one two"), "a": ("p", [], "one two")}, 9)[0] == ["p"]
+    rows = lambda t: spark.createDataFrame([(i, p, "leaf" if not k else "section", k, x) for i, (p, k, x) in t.items()], "chunk_id string, parent_id string, level string, child_ids array<string>, source_text string")
+
+    def merged(ranked, t, budget):
+        out = retrieval.auto_merge(spark.createDataFrame([(1, c, n) for n, c in enumerate(ranked)], "query int, chunk_id string, rank int"), rows(t), budget)
+        return [(r.chunk_id, r.n_leaves, r.merges) for r in out.orderBy("place").collect()]
+
+    assert merged(["a", "b"], tree, 100) == [("p", 3, 1)] and merged(["a", "b"], tree, 3) == [("a", 1, 0), ("b", 1, 0)] and merged(["a"], tree, 0) == []
+    assert merged(["a"], {"p": (None, ["a"], "one two"), "a": ("p", [], "one two")}, 9) == [("p", 1, 0)]
+    # Up two levels; leaves below a chosen chunk are covered by it, and n_leaves counts leaves, not sections.
+    deep = {"d": (None, ["p", "q"], "one two three four five six seven"), "q": ("d", ["e"], "seven"), "e": ("q", [], "seven")} | {k: (("d" if k == "p" else v[0]), *v[1:]) for k, v in tree.items()}
+    assert merged(["a", "b", "e", "c"], deep, 100) == [("d", 4, 2)]
+    assert {(r.root_id, r.leaf_id, r.path) for r in retrieval.descendant_leaves(rows(deep)).filter("root_id = 'd'").collect()} == {("d", "a", "0000000000"), ("d", "b", "0000000001"), ("d", "c", "0000000002"), ("d", "e", "0000100000")}
+    chain = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "d"), ("d", "a"), ("x", "lost"), ("y", None)], "chunk_id string, parent_id string")
+    assert {r.depth for r in retrieval.ancestors(chain).filter("chunk_id = 'a'").collect()} == {1, 2, 3, 4} and retrieval.ancestors(chain.limit(0)).count() == 0
     assert abs(sum(x * x for x in retrieval.hash_embedding("some words here")) - 1) < 1e-9 and not any(retrieval.hash_embedding(""))
     lists = spark.createDataFrame([(1, 0, "a", 1), (1, 0, "b", 2), (1, 1, "b", 1), (1, 1, "c", 2)], "query int, source int, key string, rank int")
     assert [r.key for r in retrieval.fill_pool(lists, "query", "source", "key", "rank", 3).orderBy("place").collect()] == ["a", "c", "b"]
@@ -186,15 +198,18 @@ def test_metrics(spark):
 
 
 def test_rate_limits(spark, tmp_path):
-    hits = deque()
-    assert [limits.charge(hits, t, 2, 10)[0] for t in (0, 1, 2, 10, 11, 12)] == [True, True, False, True, True, False]
-    assert limits.charge(deque(), 0, 1, 5, cost=2) == (False, 5.0)
+    times, passed = [], []
+    for t in (0, 1, 2, 10, 11, 12):
+        times, ok, _ = limits.admit(times, t, [(2, 10)])
+        passed.append(ok)
+    assert passed == [True, True, False, True, True, False]
+    assert limits.admit([], 0, [(1, 5)], cost=2) == ([], False, 5.0) and limits.admit([1, 2, 3], 4, [(9, 3), (3, 10)]) == ([1, 2, 3], False, 7) and limits.admit([1, 2], 4, [(2, 3), (9, 10)], 2)[1:] == (False, 1)
     rows = [(i, f"u{i % 2}", f"2025-01-01 00:00:{i:02d}") for i in range(20)]
     df = spark.createDataFrame(rows, "id long, u string, ts string").withColumn("ts", F.col("ts").cast("timestamp"))
-    batch = {r.key: r.allowed for r in limits.replay(df, "u", "ts", "id", 3, 8.0).collect()}
+    batch = {r.key: r.allowed for r in limits.replay(df, "u", "ts", "id", [(3, 8.0)]).collect()}
     df.write.parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema(df.schema).parquet(str(tmp_path / "in"))
-    q = limits.limited(stream, "u", "ts", "id", 3, 8.0).writeStream.format("memory").queryName("limited").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+    q = limits.limited(stream, "u", "ts", "id", [(3, 8.0)]).writeStream.format("memory").queryName("limited").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
     q.awaitTermination(120)
     assert {int(r.key): r.allowed for r in spark.table("limited").collect()} == batch
     assert limits.without_markers("a<!--used:s1-->b<!-- note -->c<!--us") == "ab<!-- note -->c"
@@ -281,11 +296,11 @@ def test_corpora_and_sinks(spark, tmp_path):
     assert corpora.page_blocks('{"block_type": "Document", "children": [{"block_type": "Text", "html": "<p>x</p>", "bbox": [3, 4, 1, 2]}]}') == [(1, "text", "x", [1, 2, 3, 4])]
     path = str(tmp_path / "table")
     sinks.write_new(spark.createDataFrame([(i, f"d{i % 4}", "old") for i in range(40)], "id int, doc string, v string"), path, "id", 8)
-    sinks.upsert(spark.createDataFrame([(3, "d3", "new"), (99, "d9", "new")], "id int, doc string, v string"), path, "id", buckets=8)
-    rows = {r.id: r.v for r in spark.read.parquet(path).collect()}
+    sinks.upsert(spark.createDataFrame([(3, "d3", "new"), (99, "d9", "new")], "id int, doc string, v string"), path, "id")
+    rows = {r.id: r.v for r in sinks.read(spark, path).collect()}
     assert len(rows) == 41 and rows[3] == rows[99] == "new" and rows[4] == "old"
-    sinks.delete(spark.createDataFrame([(i,) for i in range(30)], "id int"), path, "id", 8)
-    assert {r.id for r in spark.read.parquet(path).collect()} == {*range(30, 40), 99}
+    sinks.delete(spark.createDataFrame([(i,) for i in range(30)], "id int"), path, "id")
+    assert {r.id for r in sinks.read(spark, path).collect()} == {*range(30, 40), 99}
 
 
 def test_entry_point(spark):
