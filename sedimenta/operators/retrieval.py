@@ -39,8 +39,12 @@ def top_k(scores: DataFrame, query: str, key: str, k: int) -> DataFrame:
     return scores.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).select(query, key, "rank", "score")
 
 
-def sparse_search(queries: DataFrame, query: str, query_text: str, chunks: DataFrame, key: str, text: str, k: int) -> DataFrame:
-    """(query, key, rank, score): BM25 over all chunks; idf = ln((N - n + 0.5) / (n + 0.5) + 1)."""
+def sparse_search(queries: DataFrame, query: str, query_text: str, chunks: DataFrame, key: str, text: str, k: int, tenants: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
+    """(query, key, rank, score): BM25 over all chunks; idf = ln((N - n + 0.5) / (n + 0.5) + 1).
+
+    With ``tenants``, ((query, tenant), (key, tenant)), a query only meets the chunks of its tenant and not itself; the idf
+    is that of the whole index.
+    """
     posts = postings(chunks, key, text)
     total = chunks.agg(F.count(F.lit(1)).alias("total"))
     asked = queries.select(query, F.explode(T.terms(F.col(query_text))).alias("term")).groupBy(query, "term").agg(F.count(F.lit(1)).alias("qtf"))
@@ -48,9 +52,15 @@ def sparse_search(queries: DataFrame, query: str, query_text: str, chunks: DataF
     hits = posts.join(asked.select("term").distinct(), "term", "left_semi")
     df = hits.groupBy("term").agg(F.count(F.lit(1)).alias("df")).join(F.broadcast(total))
     idf = df.select("term", F.log((F.col("total") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1).alias("idf"))
+    on, mine = ["term", "salt"], asked
+    if tenants:
+        mine, hits, on = asked.join(tenants[0].select(query, "tenant"), query), hits.join(tenants[1].select(key, "tenant"), key), ["term", "salt", "tenant"]
     # A term may stand in a third of all chunks: its postings are spread over SALTS parts, which each meet the queries.
-    spread = asked.join(idf, "term").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    scored = spread.join(hits.withColumn("salt", F.pmod(F.xxhash64(key), F.lit(SALTS)).cast("int")), ["term", "salt"]).groupBy(query, key).agg(F.sum(F.col("qtf") * F.col("idf") * F.col("weight")).alias("score"))
+    spread = mine.join(idf, "term").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    met = spread.join(hits.withColumn("salt", F.pmod(F.xxhash64(key), F.lit(SALTS)).cast("int")), on)
+    if tenants:
+        met = met.filter(F.col(query) != F.col(key))
+    scored = met.groupBy(query, key).agg(F.sum(F.col("qtf") * F.col("idf") * F.col("weight")).alias("score"))
     return top_k(scored, query, key, k)
 
 

@@ -297,18 +297,3 @@ def edit_diff(old: DataFrame, new: DataFrame, key: str, parent: str) -> DataFram
     n = new.select(F.col(key), F.col(parent).alias("__new"), F.lit(True).alias("__in_new")).distinct()
     state = F.when(F.col("__in_old").isNull(), "fresh").when(F.col("__in_new").isNull(), "stale").when(F.col("__old").eqNullSafe(F.col("__new")), "kept").otherwise("moved")
     return o.join(n, key, "full_outer").select(key, state.alias("state"))
-
-
-def pack_groups(sizes: list[list[int]], most: int) -> list[list[int]]:
-    """Group numbers packed in order into requests of at most ``most`` tokens; a group above it is a request of its own."""
-    out: list[list[int]] = []
-    room = 0
-    for i, group in enumerate(sizes):
-        n = sum(group)
-        if out and n <= room:
-            out[-1].append(i)
-            room -= n
-        else:
-            out.append([i])
-            room = most - n
-    return out

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..frames import table
 from ..operators import retrieval
+from . import chain_queries  # noqa: F401  (registers its queries)
 from .queries import QUERIES, SQL, leaves
 
 __all__ = ["QUERIES", "SQL", "flagship"]

@@ -7,7 +7,7 @@ import pytest
 
 from sedimenta.frames import bucketed_prefix, fold_streams
 from sedimenta.functions import text as T
-from sedimenta.operators import answers, history, relational, retrieval, structure
+from sedimenta.operators import answers, chain, history, relational, retrieval, structure
 from sedimenta.sources import corpora, office, sinks
 from sedimenta.streaming import limits
 from pyspark.sql import functions as F
@@ -86,7 +86,9 @@ def test_leaves_and_tree(spark):
     assert [(r.kind, r.n_tokens) for r in leaves] == [("prose", 200), ("prose", 100), ("table", 3), ("prose", 5), ("part", 512), ("part", 188)]
     tree = structure.chunk_tree(blocks(spark, rows)).collect()
     assert sorted((r.level, r.n_children) for r in tree if r.level != "leaf") == [("document", 2), ("section", 2), ("section", 4)]
-    assert structure.pack_groups([[22], [22]], 50) == [[0, 1]] and structure.pack_groups([[22], [22]], 30) == [[0], [1]] and len(structure.pack_groups([[101]] * 3, 150)) == 3
+    groups = spark.createDataFrame([("a", 0, 22), ("a", 1, 22), ("b", 0, 101), ("b", 1, 101), ("b", 2, 20)], "doc string, g long, n long")
+    packed = lambda most: [r.request for r in chain.packed_requests(groups, "doc", "g", "n", most).orderBy("doc", "g").collect()]
+    assert packed(50) == [0, 0, 0, 1, 2] and packed(30) == [0, 1, 0, 1, 2] and packed(150) == [0, 0, 0, 1, 1]
 
 
 def test_leaves_of_long_documents_know_no_border(spark):
