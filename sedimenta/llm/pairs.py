@@ -25,7 +25,7 @@ from ..frames import SPACES, UNICODE_SPACE, fold_streams, stage
 #: Words of the openings, codes, numbers and names masked; where a lead may end; shingles have GRAM characters.
 DEPTHS, LEAD, TOPIC = (3, 5, 8), 6, 3
 GRAM = 4
-BANDS, ROWS = 16, 4
+BANDS, ROWS = 8, 4
 SIMILAR = 0.8
 #: Questions, and clusters of questions, that a template must answer to count as recurring across unrelated prompts.
 RECURRING, UNRELATED = 3, 2
