@@ -3,8 +3,10 @@
 Method: byte-range processing. A long text is cut into ranges of about RANGE characters; each range is moved to a natural
 boundary near its nominal place and carries a left halo (the last OVERLAP tokens before it), so that it can be worked
 alone. Workers detect the boundaries of their range; the boundary tables of an item's ranges are stitched by merging
-(head, longest inner, tail) for each kind of boundary; lengths are summed as prefixes, and pieces come out by offset.
-No worker needs more than one range of a text. Texts within a range are a single range.
+(head, longest inner, tail) for each kind of boundary. For the pieces the tables of an item are read as one stream, whose
+state is the tokens of the open piece, and lengths are summed as prefixes; the ranges then give the text by offset. So the
+pieces are the same whatever the ranges. No worker needs more than one range of a text. Texts within a range are a single
+range.
 
 A token is a maximal run of characters without the Unicode property White_Space.
 """
@@ -18,7 +20,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..frames import SPACES, bucketed_rank, in_groups
+from ..frames import SPACES, bucketed_rank, bucketed_sum, fold_streams, in_groups, stage
 
 LIMIT = 512
 OVERLAP = 40
@@ -154,34 +156,56 @@ def stitch(tables: list[list]) -> list[int]:
     return out
 
 
-def plan(starts: list[int], ends: list[int], kinds: list[int], first: int, limit: int = LIMIT, overlap: int = OVERLAP) -> Iterator[tuple[int, int]]:
-    """(first token, end token) of the pieces of tokens first.. ; kinds[i] is the boundary before token i.
+def boundaries(text: str, own: int = 0) -> tuple[list[int], list[int], list[int]]:
+    """(starts, ends, kinds) of the tokens from the offset ``own`` on; kinds[i] is the boundary before token i.
 
-    Each piece begins ``overlap`` tokens before its own part, which ends at the last of the coarsest boundaries in reach.
+    The kind of the first token is that after the halo, 0 without one.
     """
-    n, at = len(starts), first
-    while at < n:
-        begin = max(0, at - overlap)
-        reach = min(n, begin + limit)
-        if reach == n:
-            yield begin, n
-            return
-        best = min(kinds[at + 1 : reach + 1])
-        cut = next(i for i in range(reach, at, -1) if kinds[i] == best)
-        yield begin, cut
-        at = cut
+    spans = [m.span() for m in TOKEN.finditer(text)]
+    first = next((i for i, (s, _) in enumerate(spans) if s >= own), len(spans))
+    kinds = [0 if i == 0 else gap_kind(text[spans[i - 1][0] : spans[i - 1][1]], text[spans[i - 1][1] : spans[i][0]]) for i in range(first, len(spans))]
+    return [s for s, _ in spans[first:]], [e for _, e in spans[first:]], kinds
 
 
-def pieces(text: str, own: int = 0, limit: int = LIMIT, overlap: int = OVERLAP) -> list[tuple[int, int, int]]:
-    """(start, end, tokens) of the pieces of a text whose own part begins at the offset ``own`` (before it is the halo)."""
-    spans = [m.span() for m in TOKEN.finditer(text)]
-    if not spans:
-        return []
-    starts, ends = [s for s, _ in spans], [e for _, e in spans]
-    kinds = [0] + [gap_kind(text[starts[i - 1] : ends[i - 1]], text[ends[i - 1] : starts[i]]) for i in range(1, len(spans))]
-    first = next((i for i, s in enumerate(starts) if s >= own), len(starts))
-    out = [[starts[a], ends[b - 1], b - a] for a, b in plan(starts, ends, kinds, first, limit, overlap)]
-    return [tuple(x) for x in out]
+class Planner:
+    """Plans the pieces of an item whose boundary tables come in order; holds the tokens from the open piece's begin on.
+
+    Each piece begins ``overlap`` tokens before its own part, which ends at the last of the coarsest boundaries in reach.
+    """
+
+    def __init__(self, limit: int = LIMIT, overlap: int = OVERLAP) -> None:
+        self.limit, self.overlap = limit, overlap
+        self.starts: list[int] = []
+        self.ends: list[int] = []
+        self.kinds: list[int] = []
+        self.at = 0  # where the open piece's own part begins
+
+    def feed(self, starts: list[int], ends: list[int], kinds: list[int]) -> Iterator[tuple[int, int, int]]:
+        """(start, end, tokens) of the pieces that more tokens settle."""
+        self.starts += starts
+        self.ends += ends
+        self.kinds += kinds
+        begin = max(0, self.at - self.overlap)
+        # A cut needs the boundary behind the last token in reach.
+        while len(self.starts) > begin + self.limit:
+            reach = begin + self.limit
+            best = min(self.kinds[self.at + 1 : reach + 1])
+            cut = next(i for i in range(reach, self.at, -1) if self.kinds[i] == best)
+            yield self.starts[begin], self.ends[cut - 1], cut - begin
+            self.at, begin = cut, max(0, cut - self.overlap)
+        del self.starts[:begin], self.ends[:begin], self.kinds[:begin]
+        self.at -= begin
+
+    def rest(self) -> Iterator[tuple[int, int, int]]:
+        if self.at < len(self.starts):
+            begin = max(0, self.at - self.overlap)
+            yield self.starts[begin], self.ends[-1], len(self.starts) - begin
+
+
+def pieces(text: str, limit: int = LIMIT, overlap: int = OVERLAP) -> list[tuple[int, int, int]]:
+    """(start, end, tokens) of the pieces of a text."""
+    planner = Planner(limit, overlap)
+    return [*planner.feed(*boundaries(text)), *planner.rest()]
 
 
 _TABLE = "lead int, tokens long, " + ", ".join(f"{k}_{c} long" for k in ("p", "l", "s") for c in ("head", "most", "tail", "n"))
@@ -302,7 +326,8 @@ def found(blocks: DataFrame, chunks: DataFrame, detections: DataFrame) -> DataFr
     Nulls: a null text has no tokens, a file without detections or without an id has no units, a null block_order comes first. Starts
     behind the last block open empty units, which are within the limit.
     """
-    sized = block_sizes(blocks)
+    # Staged, as blocks and units read it: a few numbers for each block.
+    sized = stage(block_sizes(blocks))
     own = sized.filter(F.col("tokens") > LIMIT).select(F.lit("blocks").alias("item_table"), "item_id", _name(_kind()).alias("boundary"))
     # Within the limit by length alone: LIMIT tokens need LIMIT characters and the white space between.
     long = chunks.filter(F.length("source_text") > 2 * LIMIT)
@@ -315,65 +340,94 @@ def found(blocks: DataFrame, chunks: DataFrame, detections: DataFrame) -> DataFr
     return own.unionByName(chunk).unionByName(unit)
 
 
-_PIECES = "k int, start_char long, end_char long, tokens int, text string"
+_PIECES = "start_char long, end_char long, tokens int"
+
+
+def ranged_pieces(ranges: DataFrame) -> DataFrame:
+    """(item_id, piece, start_char, end_char, tokens, text) of items given as ranges (item_id, k, start, own, body).
+
+    ``body`` begins with a halo of ``own`` characters; ``start`` is the offset of what follows it in the item. First every
+    range gives its boundary table, then the tables of an item stream through the planner, then the ranges that a piece
+    lies in give its text, so that one giant item is spread over the cluster but for its numbers.
+    """
+    ranges = stage(ranges.select("item_id", F.col("k").cast("int").alias("k"), F.col("start").cast("long").alias("start"), F.col("own").cast("int").alias("own"), "body"))
+
+    def table(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            out = []
+            for item, k, start, own, body in zip(pdf["item_id"], pdf["k"], pdf["start"], pdf["own"], pdf["body"]):
+                starts, ends, kinds = boundaries(body, own)
+                out.append((item, k, [start + s - own for s in starts], [start + e - own for e in ends], kinds))
+            yield pd.DataFrame(out, columns=["item_id", "k", "starts", "ends", "kinds"])
+
+    tables = ranges.mapInPandas(table, "item_id string, k int, starts array<long>, ends array<long>, kinds array<int>")
+
+    def step(state: list, row: tuple) -> Iterator[tuple]:
+        _, starts, ends, kinds = row
+        for a, b, n in state[0].feed(list(map(int, starts)), list(map(int, ends)), list(map(int, kinds))):
+            yield state[1], a, b, n
+            state[1] += 1
+
+    planned = fold_streams(tables, ["item_id"], ["k"], lambda: [Planner(), 0], step, lambda state: [(state[1], *p) for p in state[0].rest()], ["k", "starts", "ends", "kinds"], "item_id string, piece long, " + _PIECES)
+    planned = stage(planned)
+    # A piece lies in the ranges from that of its start to that of its end; an as-of join on the starts of the ranges.
+    # Both sides share buckets of RANGE characters: a range is named in every bucket it reaches into.
+    size = F.length("body") - F.col("own")
+    placed = ranges.withColumn("stop", F.col("start") + size).withColumn("bucket", F.explode(F.sequence(F.floor(F.col("start") / RANGE), F.floor(F.greatest(F.col("start"), F.col("stop") - 1) / RANGE))))
+    wanted = planned.withColumn("bucket", F.explode(F.sequence(F.floor(F.col("start_char") / RANGE), F.floor((F.col("end_char") - 1) / RANGE))))
+    inside = (F.col("start_char") < F.col("stop")) & (F.col("end_char") > F.col("start"))
+    met = wanted.join(placed.select("item_id", "bucket", "k", "start", "stop", "own", "body"), ["item_id", "bucket"]).filter(inside)
+    low, high = F.greatest("start_char", "start"), F.least("end_char", "stop")
+    cut = F.substr("body", (low - F.col("start") + F.col("own") + 1).cast("int"), (high - low).cast("int"))
+    parts = met.select("item_id", "piece", "start_char", "end_char", "tokens", "k", cut.alias("text")).distinct()
+    whole = parts.groupBy("item_id", "piece", "start_char", "end_char", "tokens").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("k", "text"))), lambda x: x["text"]), "").alias("text"))
+    return whole.select("item_id", "piece", "start_char", "end_char", "tokens", "text")
 
 
 def text_pieces(df: DataFrame, key: str, text: str, range_chars: int = RANGE) -> DataFrame:
     """(item_id, piece, start_char, end_char, tokens, text): the ordered pieces of every text of more than LIMIT tokens.
 
-    Neighbours share OVERLAP tokens; laid at their offsets the pieces give the text from its first to its last token.
-    Range borders of long texts are piece borders, too. Repeated rows of one item give its pieces once.
+    Neighbours share OVERLAP tokens; laid at their offsets the pieces give the text from its first to its last token. The
+    pieces do not depend on ``range_chars``. Repeated rows of one item give its pieces once; of different texts with one
+    key the greatest stands.
     """
-    items = _items(df, key, text).filter(F.length("body") > 2 * LIMIT)
-    names = ["item_id", "k", "start_char", "end_char", "tokens", "text"]
+    items = _items(df, key, text).filter(F.length("body") > 2 * LIMIT).groupBy("item_id").agg(F.max("body").alias("body"))
+    names = ["item_id", "piece", "start_char", "end_char", "tokens", "text"]
 
     def small(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            yield pd.DataFrame([(i, 0, a, b, n, t[a:b]) for i, t in zip(pdf["item_id"], pdf["body"]) if count_tokens(t) > LIMIT for a, b, n in pieces(t)], columns=names)
-
-    def ranged(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            yield pd.DataFrame([(r.item_id, r.k, r.start + a, r.start + b, n, r.body[a:b]) for r in pdf.itertuples(index=False) for a, b, n in pieces(r.body, r.own)], columns=names)
+            yield pd.DataFrame([(i, p, a, b, n, t[a:b]) for i, t in zip(pdf["item_id"], pdf["body"]) if count_tokens(t) > LIMIT for p, (a, b, n) in enumerate(pieces(t))], columns=names)
 
-    whole = items.filter(F.length("body") <= range_chars).mapInPandas(small, "item_id string, " + _PIECES)
+    whole = items.filter(F.length("body") <= range_chars).mapInPandas(small, "item_id string, piece long, " + _PIECES + ", text string")
     long = items.filter(F.length("body") > range_chars)
     # A long text of few long words is within the limit.
-    over = token_sizes(long.select("item_id", "body"), "item_id", "body", range_chars=range_chars).filter(F.col("tokens") > LIMIT).select("item_id")
-    cut = _ranges(long.join(over, "item_id", "left_semi"), [], range_chars).mapInPandas(ranged, "item_id string, " + _PIECES)
-    some = whole.unionByName(cut).dropDuplicates(["item_id", "start_char", "end_char"])
-    return bucketed_rank(some, ["item_id"], F.col("k"), [F.col("start_char"), F.col("end_char")], "piece").select("item_id", "piece", *names[2:])
+    over = token_sizes(long, "item_id", "body", range_chars=range_chars).filter(F.col("tokens") > LIMIT).select("item_id")
+    cut = ranged_pieces(_ranges(long.join(over, "item_id", "left_semi"), [], range_chars).withColumn("start", F.col("start") + F.col("own")))
+    return whole.unionByName(cut)
 
 
-def unit_pieces(blocks: DataFrame, detections: DataFrame, sized: DataFrame | None = None) -> DataFrame:
+def unit_pieces(blocks: DataFrame, detections: DataFrame, sized: DataFrame | None = None, run_blocks: int = RUN) -> DataFrame:
     """The pieces of the oversized units; a unit's text is that of its blocks with a blank line between.
 
-    A unit is planned in runs of RUN blocks, so that one unit may hold any number of blocks; a run carries the run before
-    as its halo. Offsets count in the run's unit by prefix sums of the run lengths. Cuts prefer the borders of blocks.
+    The blocks of a unit are its ranges in runs of ``run_blocks``, so that one unit may hold any number of blocks; offsets
+    count in the unit by prefix sums of the run lengths. The pieces do not depend on the runs.
     """
     sized = block_sizes(blocks) if sized is None else sized
     members = unit_of_blocks(ranked_blocks(sized), detections).filter("unit IS NOT NULL")
     total = members.groupBy("doc_id", "unit").agg(F.sum("tokens").alias("all")).filter(F.col("all") > LIMIT)
     inside = members.join(total, ["doc_id", "unit"], "left_semi").select("doc_id", "unit", "rank", F.col("item_id").alias("block_id"))
     texts = blocks.groupBy("doc_id", "block_id").agg(F.max("text").alias("text"))
-    rows = inside.join(texts, ["doc_id", "block_id"]).withColumn("run", F.floor((F.col("rank") - F.col("unit")) / RUN)).withColumn("halo", F.lit(False))
-    size = F.coalesce(F.length("text"), F.lit(0)) + 2
-    sums = rows.groupBy("doc_id", "unit", "run").agg(F.sum(size).alias("chars"))
-    before = Window.partitionBy("doc_id", "unit").orderBy("run").rowsBetween(Window.unboundedPreceding, -1)
-    offset = sums.select("doc_id", "unit", "run", F.coalesce(F.sum("chars").over(before), F.lit(0)).alias("offset"))
-    again = rows.withColumn("run", F.col("run") + 1).withColumn("halo", F.lit(True)).join(sums.select("doc_id", "unit", "run"), ["doc_id", "unit", "run"], "left_semi")
-    runs = rows.unionByName(again).join(offset, ["doc_id", "unit", "run"])
+    rows = inside.join(texts, ["doc_id", "block_id"]).withColumn("run", F.floor((F.col("rank") - F.col("unit")) / run_blocks))
 
     def fold(key: tuple, group: list[tuple]) -> Iterator[tuple]:
         doc, unit, run = key
-        halo = "".join((t or "") + "\n\n" for h, _, t, _ in group if h)
-        own = "\n\n".join(t or "" for h, _, t, _ in group if not h)
-        text = halo + own
-        shift = int(group[0][3]) - len(halo)
-        for a, b, n in pieces(text, len(halo)):
-            yield (f"{doc}:{int(unit)}", int(run), a + shift, b + shift, n, text[a:b])
-
-    out = in_groups(runs, ["doc_id", "unit", "run"], ["rank"], fold, ["halo", "rank", "text", "offset"], "item_id string, " + _PIECES)
-    return bucketed_rank(out, ["item_id"], F.col("k"), [F.col("start_char"), F.col("end_char")], "piece").select("item_id", "piece", "start_char", "end_char", "tokens", "text")
+        body = "".join((t or "") + "\n\n" for _, t in group)
+        yield (f"{doc}:{int(unit)}", int(run), len(body), body)
+
+    runs = in_groups(rows, ["doc_id", "unit", "run"], ["rank"], fold, ["rank", "text"], "item_id string, k int, size long, body string")
+    # Between runs stands a blank line, so that a run needs no halo: the boundary before it is that of a paragraph.
+    placed = bucketed_sum(runs, ["item_id"], F.floor(F.col("k") / RANKED), [F.col("k")], F.col("size"), "start")
+    return ranged_pieces(placed.select("item_id", "k", "start", F.lit(0).alias("own"), "body"))
 
 
 def all_pieces(blocks: DataFrame, chunks: DataFrame, detections: DataFrame) -> DataFrame:

@@ -124,6 +124,18 @@ def test_long_texts_go_through_ranges(spark):
         assert all(b.start_char < a.end_char < b.end_char and tokens(b.text) <= p1.LIMIT for a, b in zip(mine, mine[1:]))
 
 
+def test_pieces_do_not_depend_on_ranges_or_runs(spark):
+    rng = random.Random(12)
+    texts = {f"i{n}": text_of(rng, size) for n, size in enumerate([513, 1400, 6000])} | {"wide": "y" * 3000 + " " + "z w " * 700}
+    frame = spark.createDataFrame([*texts.items()], "item_id string, text string")
+    want = {(i, n, a, b, k, t[a:b]) for i, t in texts.items() if tokens(t) > p1.LIMIT for n, (a, b, k) in enumerate(p1.pieces(t))}
+    for size in (500, 2_900, 1 << 20):
+        assert {tuple(r) for r in p1.text_pieces(frame, "item_id", "text", range_chars=size).collect()} == want
+    blocks, detections, _, _ = data(spark, random.Random(8))
+    one, other = ({tuple(r) for r in p1.unit_pieces(blocks, detections, run_blocks=n).collect()} for n in (3, 1_000))
+    assert one == other and one
+
+
 def test_units_and_empty_tables(spark):
     frame, detections, orders, found = data(spark, random.Random(8))
     rows = p1.unit_pieces(frame, detections).collect()
