@@ -43,7 +43,7 @@ def file_list(files: DataFrame, trashed: bool) -> DataFrame:
     """(project_id, doc_id, place): the active files of each project, or all of them, newest first."""
     kept = files if trashed else files.filter("trashed_at IS NULL")
     # Buckets of days, newest first.
-    day = -F.floor(F.unix_micros("created_at") / 86_400_000_000)
+    day = F.coalesce(-F.floor(F.unix_micros("created_at") / 86_400_000_000), F.lit(1 << 40))
     return bucketed_rank(kept, ["project_id"], day, [F.col("created_at").desc_nulls_last(), F.col("doc_id")], "place").select("project_id", "doc_id", "place")
 
 
@@ -167,7 +167,7 @@ def recalled(memories: DataFrame, contexts: DataFrame) -> DataFrame:
 def memory_page(memories: DataFrame, offset: int, limit: int) -> DataFrame:
     """(owner_user_id, memory_id, place): one page of each owner's live memories, last updated first. The limit is the feature."""
     live = memories.filter("deleted_at IS NULL").select("owner_user_id", "memory_id", "updated_at").distinct()
-    r = bucketed_rank(live, ["owner_user_id"], -F.floor(F.unix_micros("updated_at") / 86_400_000_000), [F.col("updated_at").desc_nulls_last(), F.col("memory_id")], "place")
+    r = bucketed_rank(live, ["owner_user_id"], F.coalesce(-F.floor(F.unix_micros("updated_at") / 86_400_000_000), F.lit(1 << 40)), [F.col("updated_at").desc_nulls_last(), F.col("memory_id")], "place")
     return r.filter((F.col("place") >= offset) & (F.col("place") < offset + limit)).select("owner_user_id", "memory_id", "place")
 
 
