@@ -1,3 +1,4 @@
+import math
 import random
 
 import pytest
@@ -74,11 +75,29 @@ def test_mix(spark):
         assert none.count() == 0 and all(r.tokens == 0 for r in report.collect())
 
 
-def test_newton_meets_shares_under_caps(spark):
-    rows = spark.createDataFrame([("a", 10)] * 50 + [("b", 20)] * 30 + [("c", 5)] * 10, "source string, n_tokens long")
-    shares, caps = {"a": 0.5, "b": 0.4, "c": 0.1}, {"a": 1, "b": 2, "c": 3}
-    rates = p7.solve(rows, shares, caps, 500.0)
-    assert [round(rates[s] * m, 3) for s, m in (("a", 500), ("b", 600), ("c", 50))] == [250, 200, 50]
+def test_newton_keeps_shares_and_lengths_under_caps(spark):
+    from pyspark.sql import functions as F
+
+    rng = random.Random(3)
+    sizes = [("a", rng.randrange(200, 900)) for _ in range(90)] + [("b", rng.randrange(10, 300)) for _ in range(120)] + [("c", 50)] * 10
+    counts = spark.createDataFrame(sizes, "source string, n_tokens long").groupBy("source", "n_tokens").agg(F.count(F.lit(1)).alias("times")).withColumn("z", p7.length_of(5.0, 1.0))
+    have = {s: float(sum(n for x, n in sizes if x == s)) for s in "abc"}
+    caps = {"a": 1, "b": 3, "c": 2}
+    goal = {"a": 0.6 * have["a"], "b": 1.2 * have["b"], "c": 2.0 * have["c"]}
+
+    def reached(turn, tilt):
+        rate = p7.rate_of(turn, tilt, caps)[0]
+        t = F.col("n_tokens") * F.col("times")
+        rows = {r.source: (r.m, r.mz, r.most) for r in counts.groupBy("source").agg(F.sum(t * rate).alias("m"), F.sum(t * rate * F.col("z")).alias("mz"), F.max(rate).alias("most")).collect()}
+        return rows, sum(rows[s][1] for s in "ab") / sum(rows[s][0] for s in "ab")
+
+    pool = counts.filter("source <> 'c'").agg((F.sum(F.col("n_tokens") * F.col("times") * F.col("z")) / F.sum(F.col("n_tokens") * F.col("times"))).alias("m")).first().m
+    turn, tilt = p7.solve(counts, goal, caps, have)
+    rows, mean = reached(turn, tilt)
+    assert all(abs(rows[s][0] / goal[s] - 1) < 1e-6 and rows[s][2] <= caps[s] + 1e-9 for s in "abc")
+    # The lengths of the pool are kept; a division by source would not keep them.
+    assert abs(mean - pool) < 1e-6 and tilt["a"] != 0 and tilt["c"] == 0
+    assert abs(reached({s: math.log(goal[s] / have[s]) for s in "abc"}, dict.fromkeys("abc", 0.0))[1] - pool) > 0.05
 
 
 def test_token_counts(spark):
