@@ -96,7 +96,18 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 _SPACE = r"\s\x{b}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
 
+_BLANK = rf"'^[{_SPACE}\x{{200b}}]*$'"
+_TRIM = rf"'^[{_SPACE}]+|[{_SPACE}]+$'"
+#: Whole conversations of (conv_id, position, role, content, blank): the same checks for threads and for stored lists.
+_WHOLE = """w AS (SELECT *, lead(role) OVER (PARTITION BY conv_id ORDER BY position) AS nr, lead(blank) OVER (PARTITION BY conv_id ORDER BY position) AS nb FROM m),
+    g AS (SELECT conv_id FROM w GROUP BY 1 HAVING NOT bool_and(blank) AND count(position) = count(*) AND min(position) = 1 AND max(position) = count(*) AND count(DISTINCT position) = count(*) AND bool_and(role IN ('user', 'assistant')) AND arg_min(role, position) = 'user'
+    AND NOT bool_or(role = 'assistant' AND coalesce(nr, '') = 'assistant') AND NOT bool_or(role = 'user' AND blank) AND NOT bool_or(role = 'user' AND NOT coalesce(nr = 'assistant' AND NOT nb, false)))
+    SELECT src_table, conv_id, position - 1 AS turn, role, content FROM m SEMI JOIN g USING (conv_id)"""
+
 SQL: dict[str, str] = {
+    "p5_turns": rf"""SELECT * FROM (WITH m AS (SELECT DISTINCT 'thread_messages' AS src_table, thread_id AS conv_id, position::BIGINT AS position, coalesce(lower(regexp_replace(role, {_TRIM}, '', 'g')), '') AS role, content, content IS NULL OR regexp_matches(content, {_BLANK}) AS blank FROM thread_messages), {_WHOLE})
+    UNION ALL SELECT * FROM (WITH r AS (SELECT DISTINCT report_id, conversation FROM message_reports WHERE json_valid(conversation) AND json_type(conversation) = 'ARRAY'), x AS (SELECT report_id, unnest(json_extract(conversation, '$[*]')) AS x, generate_subscripts(json_extract(conversation, '$[*]'), 1)::BIGINT AS position FROM r),
+    m AS (SELECT 'message_reports' AS src_table, report_id AS conv_id, position, coalesce(lower(regexp_replace(CASE WHEN json_type(x, '$.role') = 'VARCHAR' THEN json_extract_string(x, '$.role') END, {_TRIM}, '', 'g')), '') AS role, json_extract_string(x, '$.content') AS content, coalesce(regexp_matches(json_extract_string(x, '$.content'), {_BLANK}), true) AS blank FROM x), {_WHOLE})""",
     "p8_stats": rf"""WITH t AS (SELECT doc_id, coalesce(text, '') AS text FROM documents), w AS (SELECT *, list_filter(regexp_split_to_array(text, '[{_SPACE}]+'), lambda x: x <> '') AS w, list_filter(regexp_split_to_array(text, '\r\n|\r|\n'), lambda x: regexp_matches(x, '[^{_SPACE}]')) AS l FROM t)
     SELECT doc_id, len(w)::BIGINT AS n_words, CASE WHEN len(w) > 0 THEN round(length(array_to_string(w, ''))::DOUBLE / len(w), 6) ELSE 0.0::DOUBLE END AS mean_word_length,
     CASE WHEN length(text) > 0 THEN round(length(regexp_replace(text, '[\p{{L}}\p{{N}}{_SPACE}]', '', 'g'))::DOUBLE / length(text), 6) ELSE 0.0::DOUBLE END AS symbol_ratio,
