@@ -296,56 +296,44 @@ def windows(text: str, given: frozenset) -> list[list[tuple[int, str, bool]]]:
     return out
 
 
-def word_counts(texts: list[str], given: frozenset) -> Counter:
-    """(word, kind, partner) -> times: 'low' and 'cap' forms; 'after' a known given name (partner); 'then' another capital word (partner)."""
-    out: Counter = Counter()
-    for text in texts:
-        text = masked(text, [(a, b) for a, b, v in email_candidates(text) if v > 0])
-        words = [(m.start(), m.group()) for m in _WORDS.finditer(text)]
-        for k, (_, w) in enumerate(words):
-            out[w.casefold(), "low" if w[0].islower() else "cap", ""] += 1
-            del k
-        for run in windows(text, given):
-            told: list[str] = []
-            ahead = [t for _, t, _ in run]
-            for k, t in enumerate(ahead):
-                low = t.casefold()
-                if low in given and t[0].isupper():
-                    told = [low]
-                    # surname, given
-                    if k > 1 and ahead[k - 1] == "," and ahead[k - 2][:1].isupper() and ahead[k - 2].casefold() not in given:
-                        out[ahead[k - 2].casefold(), "before", low] += 1
-                elif t[:1].isupper() and len(t.rstrip(".")) > 1:
-                    if told and "the" not in {a.casefold() for a in ahead[max(0, k - 3) : k - 1]}:
-                        out[low, "after", told[0]] += 1
-                    told = []
-                    nxt = k + 1
-                    while nxt < len(ahead) and ahead[nxt].lower() in _PARTICLES:
-                        nxt += 1
-                    # "Ask Doe, Jane" says nothing of Ask.
-                    turned = nxt + 2 < len(ahead) and ahead[nxt + 1] == "," and ahead[nxt + 2][:1].isupper()
-                    if nxt < len(ahead) and len(ahead[nxt].rstrip(".")) > 1 and ahead[nxt][:1].isupper() and not run[nxt][2] and not turned:
-                        out[low, "then", ahead[nxt].casefold()] += 1
-                elif not (t.lower() in _PARTICLES or len(t.rstrip(".")) == 1 and t != ","):
-                    told = []
-    return out
+def count_words(text: str, runs: list[list[tuple[int, str, bool]]], given: frozenset, out: Counter) -> None:
+    """Adds (word, kind, partner) -> times of a text: 'low' and 'cap' forms; 'after' and 'before' a known given name (partner); 'then' another capital word (partner)."""
+    for w in _WORDS.findall(text):
+        out[w.casefold(), "low" if w[0].islower() else "cap", ""] += 1
+    for run in runs:
+        told: list[str] = []
+        ahead = [t for _, t, _ in run]
+        for k, t in enumerate(ahead):
+            low = t.casefold()
+            if low in given and t[0].isupper():
+                told = [low]
+                # surname, given
+                if k > 1 and ahead[k - 1] == "," and ahead[k - 2][:1].isupper() and ahead[k - 2].casefold() not in given:
+                    out[ahead[k - 2].casefold(), "before", low] += 1
+            elif t[:1].isupper() and len(t.rstrip(".")) > 1:
+                if told and "the" not in {a.casefold() for a in ahead[max(0, k - 3) : k - 1]}:
+                    out[low, "after", told[0]] += 1
+                told = []
+                nxt = k + 1
+                while nxt < len(ahead) and ahead[nxt].lower() in _PARTICLES:
+                    nxt += 1
+                # "Ask Doe, Jane" says nothing of Ask.
+                turned = nxt + 2 < len(ahead) and ahead[nxt + 1] == "," and ahead[nxt + 2][:1].isupper()
+                if nxt < len(ahead) and len(ahead[nxt].rstrip(".")) > 1 and ahead[nxt][:1].isupper() and not run[nxt][2] and not turned:
+                    out[low, "then", ahead[nxt].casefold()] += 1
+            elif not (t.lower() in _PARTICLES or len(t.rstrip(".")) == 1 and t != ","):
+                told = []
 
 
 _WORDS = re.compile(r"[^\W\d_]+(?:['’\-][^\W\d_]+)*")
 
 
-def lexicon(texts: DataFrame, given: frozenset) -> DataFrame:
+def lexicon(counts: DataFrame) -> DataFrame:
     """(word, low, cap, surname, givens): how a word is written over all texts, and what stands around it.
 
-    surname: times a known given name stands before (or, with a comma, after) the word, at most EACH for each different
-    one; givens: times that a word with such evidence follows it. Counts are combined within batches before the shuffle.
+    counts: (word, kind, partner, n), each once. surname: times a known given name stands before (or, with a comma, after)
+    the word, at most EACH for each different one; givens: times that a word with such evidence follows it.
     """
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            yield pd.DataFrame([(*k, n) for k, n in word_counts([t for t in pdf["text"] if t], given).items()], columns=["word", "kind", "partner", "n"])
-
-    counts = texts.select("text").mapInPandas(run, "word string, kind string, partner string, n long").groupBy("word", "kind", "partner").agg(F.sum("n").alias("n"))
     forms = counts.groupBy("word").agg(
         F.sum(F.when(F.col("kind") == "low", F.col("n")).otherwise(0)).alias("low"),
         F.sum(F.when(F.col("kind") == "cap", F.col("n")).otherwise(0)).alias("cap"),
@@ -507,29 +495,34 @@ def given_names(names: DataFrame) -> frozenset:
 
 
 _SPANS = "src_table string, record_id string, text_id long, pii_type string, start_char int, end_char int"
-_NODES = "src_table string, record_id string, text_id long, win int, place int, start int, stop int, token string, apart boolean, shape array<double>, word string"
+_NODES = "src_table string, record_id string, text_id long, win int, place int, start int, stop int, token string, apart boolean, shape array<double>, word string, partner string"
 _NODE_NAMES = [x.split()[0] for x in _NODES.split(", ")]
 
 
 def nodes(texts: DataFrame, given: frozenset) -> DataFrame:
     """The nodes of every document, one pass over its text: words of windows (win from 0), candidates (win -1, a row for
-    each word of the context), and counts of contexts (win -2, token the class, start the count), summed within batches.
+    each word of the context), and counts, summed within batches: of contexts (win -2, token the class, start the count)
+    and of words (win -3, token the kind).
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             out: list[tuple] = []
             count: Counter = Counter()
+            words: Counter = Counter()
             for s, r, i, t in zip(pdf["src_table"], pdf["record_id"], pdf["text_id"], pdf["text"]):
                 found, contexts, rest = candidates(t)
                 for k, (kind, a, b, shape, around) in enumerate(found):
-                    out += [(s, r, i, -1, k, a, b, f"{kind} {t[a:b]}", False, list(shape), w) for w in (around or [""])]
+                    out += [(s, r, i, -1, k, a, b, f"{kind} {t[a:b]}", False, list(shape), w, None) for w in (around or [""])]
                 for kind, around in contexts:
                     count.update((kind, w) for w in around)
                     count[kind, ""] += 1
-                for w, run_of in enumerate(windows(rest, given)):
-                    out += [(s, r, i, w, k, start, start + len(word), word, apart, None, word.rstrip(".").casefold()) for k, (start, word, apart) in enumerate(run_of)]
-            out += [("", "", 0, -2, 0, n, 0, kind, False, None, w) for (kind, w), n in count.items()]
+                runs = windows(rest, given)
+                count_words(rest, runs, given, words)
+                for w, run_of in enumerate(runs):
+                    out += [(s, r, i, w, k, start, start + len(word), word, apart, None, word.rstrip(".").casefold(), None) for k, (start, word, apart) in enumerate(run_of)]
+            out += [("", "", 0, -2, 0, n, 0, kind, False, None, w, None) for (kind, w), n in count.items()]
+            out += [("", "", 0, -3, 0, n, 0, kind, False, None, w, partner) for (w, kind, partner), n in words.items()]
             yield pd.DataFrame(out, columns=_NODE_NAMES)
 
     return texts.mapInPandas(run, _NODES)
@@ -548,10 +541,11 @@ def mentions(texts: DataFrame, names: DataFrame) -> DataFrame:
     node = stage(nodes(texts, given))
     counts = node.filter("win = -2").groupBy("word").agg(*[F.sum(F.when(F.col("token") == c, F.col("start")).otherwise(0)).cast("double").alias(c) for c in CLASSES])
     totals = counts.filter("word = ''").select(F.struct(*CLASSES).alias("totals"))
-    learned = lexicon(texts, given).select("word", "low", "cap", "surname", "givens", F.lit(None).cast("array<double>").alias("around"))
+    said = node.filter("win = -3").groupBy("word", F.col("token").alias("kind"), "partner").agg(F.sum("start").alias("n"))
+    learned = lexicon(said).select("word", "low", "cap", "surname", "givens", F.lit(None).cast("array<double>").alias("around"))
     around = counts.filter("word <> ''").select("word", *[F.lit(0).cast("long").alias(c) for c in ("low", "cap", "surname", "givens")], F.array(*CLASSES).alias("around"))
     # One row at most: the totals of the classes.
-    rows = node.filter("win > -2").join(learned.unionByName(around), "word", "left").join(F.broadcast(totals), F.lit(True), "left")
+    rows = node.filter("win > -2").drop("partner").join(learned.unionByName(around), "word", "left").join(F.broadcast(totals), F.lit(True), "left")
 
     def fold(key: tuple, group: list[tuple]) -> Iterator[tuple]:
         words, found = [], {}
