@@ -46,7 +46,7 @@ _HINT_EMAIL = re.compile(_AT, re.I)
 
 _SEP = r"[ .\-/]"
 _PHONE = re.compile(
-    r"(?<![\w+(])(?<![\d][.,:/\-])(?<![A-Za-z]-)(?:"
+    r"(?<![\w+])(?<![\d][.,:/\-])(?<![A-Za-z]-)(?:"
     rf"(?:\+\d{{1,3}}|00[1-9]\d){_SEP}?(?:\(0\){_SEP}?)?(?:\(\d{{1,5}}\){_SEP}?)?\d{{1,5}}(?:{_SEP}?\d{{2,8}}){{1,5}}"
     rf"|\((?:0|\+|00)?\d{{2,5}}\){_SEP}?\d{{2,5}}(?:{_SEP}?\d{{2,8}}){{1,5}}"
     rf"|0\d{{1,5}}{_SEP}\d{{2,8}}(?:{_SEP}\d{{2,8}}){{0,4}}"
@@ -56,7 +56,7 @@ _PHONE = re.compile(
     r")(?![\w]|[.,\-/:]\d|-\w)"
 )
 _ID = re.compile(
-    r"(?<![\w+(])(?<![\d][.,:/\-])(?<![A-Za-z]-)(?<!\d )(?:"
+    r"(?<![\w+])(?<![\d][.,:/\-])(?<![A-Za-z]-)(?<!\d )(?:"
     r"\d{3}([- ])\d{2}\1\d{4}"
     r"|[A-Z]{2} ?\d{2} ?\d{2} ?\d{2} ?[A-D]"
     r"|[A-Z]\d[A-Z0-9]\d{6}|[A-Z]{2}\d{7}|\d{2}[A-Z]{2}\d{5}"
@@ -169,14 +169,18 @@ def email_candidates(text: str) -> list[tuple[int, int, float]]:
     """(start, end, potential): a spelt "at" is a word as well, so the local part or the dots must show what is meant."""
     if not _HINT_EMAIL.search(text):
         return []
-    out = []
-    for m in _EMAIL.finditer(text):
+    out, place = [], 0
+    while m := _EMAIL.search(text, place):
         local, at, _, rest = m.groups()
+        # What begins inside a candidate that is none may be one: "reach Doe at jane.doe [at] mail . example".
+        place = m.end(1)
         # What is no top-level label is trimmed from the end.
         keep = re.match(rf"(?:{_DOT}[^\W_][\w-]*)*{_DOT}[^\W\d_]{{2,24}}(?![\w-])", rest, re.I) or re.match(rf"(?:{_DOT}[^\W_][\w-]*)*{_DOT}[^\W\d_]{{2,24}}", rest, re.I)
         if keep:
             signs = 3.0 * ("@" in at or any(c in at for c in "[({<")) + 3.0 * bool(re.search(r"[._+\d-]", local)) + 3.0 * (not rest.startswith("."))
-            out.append((m.start(), m.start(4) + keep.end(), signs - 1.5))
+            if signs:
+                out.append((m.start(), m.start(4) + keep.end(), signs - 1.5))
+                place = m.start(4) + keep.end()
     return out
 
 

@@ -17,6 +17,8 @@ def test_shapes():
     assert [k for k, _ in say("SSN 000-95-7103; national ID QQ 12 34 56 C; passport X07650189; Steuer-ID 00 542 476 964; DNI 00.007.242-M; NIE X-0000825-T")] == ["id_number"] * 6
     assert say("ISBN 000-0-00-555012-3. Ticket 900123456 is a copy of 900123457. Version 10.4.2.118 of 2025-03-14. Lot 33-199-00. Order 030-7.") == []
     assert [t for k, t in say("to 47 larkmoor st, Krebsgrundweg 52a, 99086 Neuhalden, 12 bis, rue des Orvanches, Calle San Ilvario 62, C/ Mirambela, 77")] == ["47 larkmoor st", "Krebsgrundweg 52a", "12 bis, rue des Orvanches", "Calle San Ilvario 62", "C/ Mirambela, 77"]
+    assert say("Contact: Ann (279.555.0174) or ((373) 555-0103), Bob (+1-718-555-0113)") == [("phone", "279.555.0174"), ("phone", "(373) 555-0103"), ("phone", "+1-718-555-0113")]
+    assert say("reach Jo Lostorade at will.dris [ät] mail . olmenta . test or by phone") == [("email", "will.dris [ät] mail . olmenta . test")]
     assert say("Street lighting comes from layer 7. Voir la section 12, allée centrale du plan. Abschnitt 14a Straße und Verkehr.") == []
     assert pii.candidates("") == ([], [], "") and say("x" * 100_000) == []
 
