@@ -438,6 +438,13 @@ def f1_unstemmed(spark, d):
     return r.select("qid", answers.f1(F.col("answer"), F.col("gold_passage")).alias("f1")).distinct()
 
 
+@query("f1_stemmed")
+def f1_stemmed(spark, d):
+    """Stemming is not to be had in SQL."""
+    r = table(spark, d, "requesta_items").filter("answer IS NOT NULL AND gold_passage IS NOT NULL").select("qid", "answer", "gold_passage").distinct()
+    return answers.stemmed_f1(r, "qid", "answer", "gold_passage").distinct()
+
+
 _N, _M = f"len({S.answer_words('answer')})", f"len({S.answer_words('gold_passage')})"
 _SAME = S.overlap(S.answer_words("answer"), S.answer_words("gold_passage"))
 

@@ -90,3 +90,39 @@ def without_markers(text: str) -> str:
     text = re.sub(r"<!--\s*used:[^>]*?-->", "", text)
     open_mark = text.rfind("<!--")
     return text[:open_mark] if open_mark >= 0 and "-->" not in text[open_mark:] else text
+
+
+class MarkerFilter:
+    """Lets an answer through as it comes, but for its used-marks; what may be the begin of one is held back.
+
+    ``feed`` gives what is safe to show, ``close`` the rest: an open mark is dropped, anything else comes out.
+    """
+
+    OPEN, CLOSE, KIND = "<!--", "-->", "used:"
+
+    def __init__(self) -> None:
+        self.held = ""
+
+    def feed(self, piece: str) -> str:
+        self.held += piece
+        shown = []
+        while self.held:
+            at = self.held.find(self.OPEN)
+            if at < 0:
+                keep = next((n for n in range(len(self.OPEN) - 1, 0, -1) if self.held.endswith(self.OPEN[:n])), 0)
+                shown.append(self.held[: len(self.held) - keep])
+                self.held = self.held[len(self.held) - keep :]
+                break
+            shown.append(self.held[:at])
+            self.held = self.held[at:]
+            end = self.held.find(self.CLOSE)
+            if end < 0:
+                break
+            mark, self.held = self.held[: end + len(self.CLOSE)], self.held[end + len(self.CLOSE) :]
+            if not mark[len(self.OPEN) :].lstrip().startswith(self.KIND):
+                shown.append(mark)
+        return "".join(shown)
+
+    def close(self) -> str:
+        rest, self.held = self.held, ""
+        return "" if rest.startswith(self.OPEN) else rest

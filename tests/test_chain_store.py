@@ -6,7 +6,7 @@ import json
 from pyspark.sql import functions as F
 
 from sedimenta.functions import text as T
-from sedimenta.operators import chain, convert, prompts, store, structure
+from sedimenta.operators import answers, chain, convert, prompts, store, structure
 from sedimenta.streaming import limits
 
 
@@ -119,3 +119,14 @@ def test_breaks_and_limits_with_several_rules(spark):
         times, ok, wait = limits.admit(times, t, [(2, 10), (3, 100)])
         out.append((ok, wait))
     assert out == [(True, 0.0), (True, 0.0), (False, 8), (True, 0.0), (False, 88)]
+
+
+def test_stems_and_marks(spark):
+    known = {"caresses": "caress", "ponies": "poni", "cats": "cat", "agreed": "agre", "plastered": "plaster", "motoring": "motor", "sing": "sing", "hopping": "hop", "falling": "fall", "filing": "file", "happy": "happi", "relational": "relat", "conditional": "condit", "formalize": "formal", "goodness": "good", "revival": "reviv", "adjustment": "adjust", "adoption": "adopt", "controlling": "control", "rate": "rate", "sky": "sky", "42": "42", "größe": "größe"}
+    assert {w: answers.stem(w) for w in known} == known
+    rows = frame(spark, [(1, "The pumps failed", "a pump fails"), (2, None, "x"), (3, "", "")], "id int, p string, r string")
+    assert {r.id: r.f1 for r in answers.stemmed_f1(rows, "id", "p", "r").collect()} == {1: 1.0, 2: 0.0, 3: 0.0}
+    text = "a<!--used:s1-->b<!-- note -->c<d <!-- used:s2"
+    for n in (1, 2, 3, 50):
+        f = limits.MarkerFilter()
+        assert "".join(f.feed(text[i : i + n]) for i in range(0, len(text), n)) + f.close() == "ab<!-- note -->c<d "
