@@ -250,7 +250,8 @@ def templates(said: DataFrame) -> DataFrame:
     each = said.groupBy("opening").agg(
         F.countDistinct("question_id").alias("prompts"), F.countDistinct(F.when(F.col("cued"), F.col("question_id"))).alias("cued"), F.hll_sketch_agg("family", F.lit(10)).alias("sketch")
     )
-    placed = clusters(each)
+    # Staged, as the sums of the clusters and their members both read it.
+    placed = stage(clusters(each))
     whole = placed.groupBy("bucket", "leader").agg(F.sum("prompts").alias("prompts"), F.sum("cued").alias("cued"), F.hll_sketch_estimate(F.hll_union_agg("sketch")).alias("unrelated"))
     mine = placed.select("bucket", "leader", "opening").join(whole, ["bucket", "leader"])
     best = mine.groupBy("opening").agg(F.max_by(F.struct("prompts", "cued", "unrelated"), F.struct("prompts", "cued")).alias("t"))
@@ -420,7 +421,7 @@ def defects(pairs: DataFrame) -> DataFrame:
     usual = facts.filter("openings IS NOT NULL")
     odds = evidence(usual.withColumn("question_id", F.xxhash64("question")))
     # Short answers without function words: the language by the words' company over all pairs.
-    words = _word_rows(pairs)
+    words = stage(_word_rows(pairs))
     spoken = words.filter("lang <> ''").groupBy(F.lower("word").alias("w"), "lang").agg(F.sum("n").alias("n"))
     all_of = spoken.groupBy("w").agg(F.sum("n").alias("total"))
     share = spoken.join(all_of, "w").filter("total >= 3").select("w", "lang", (F.col("n") / F.col("total")).alias("share"))

@@ -223,9 +223,8 @@ def _ranges(items: DataFrame, carry: list[str], size: int) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for row in pdf.itertuples(index=False):
-                text = row.body
-                for k, halo, start, end in slice_ranges(text, size):
-                    yield pd.DataFrame([(row.item_id, *(getattr(row, c) for c in carry), k, halo, start - halo, text[halo:end])], columns=["item_id", *carry, "k", "start", "own", "body"])
+                text, own = row.body, [getattr(row, c) for c in carry]
+                yield pd.DataFrame([(row.item_id, *own, k, halo, start - halo, text[halo:end]) for k, halo, start, end in slice_ranges(text, size)], columns=["item_id", *carry, "k", "start", "own", "body"])
 
     return items.mapInPandas(run, schema).repartition("item_id", "k")
 
