@@ -577,7 +577,21 @@ def memory_eviction(spark, d):
     return history.over_cap(history.live_memories(table(spark, d, "memories")), {"thread": 1, "project": 2, "user": 3})
 
 
-@query("summary_replay")
+# Items in the order of their last touch as (id, folds, form, text); every fourth message and the last one close a fold.
+_FORM = S.collapsed(S.folded("t"))
+
+
+@query(
+    "summary_replay",
+    f"""WITH RECURSIVE {_TURNS}, r AS (SELECT thread_id, left({S.trimmed("string_split(coalesce(content, ''), '. ')[1]")}, 160) AS t, row_number() OVER (PARTITION BY thread_id ORDER BY position) AS rn, count(*) OVER (PARTITION BY thread_id) AS n FROM tt WHERE role IN ('user', 'assistant')),
+    f AS (SELECT *, {_FORM} AS form FROM r), w AS (SELECT thread_id, 0::BIGINT AS rn, 0 AS number, []::STRUCT(id INTEGER, folds INTEGER, fresh BOOLEAN, form VARCHAR, "text" VARCHAR)[] AS items, 0 AS lost FROM (SELECT DISTINCT thread_id FROM f)
+    UNION ALL SELECT thread_id, rn, number, CASE WHEN closes THEN list_filter(aged, lambda x: NOT list_contains(gone, x.id)) ELSE items END, lost + CASE WHEN closes THEN len(gone) ELSE 0 END FROM (
+    SELECT *, list_transform(list_sort(list_transform(aged, lambda x, i: struct_pack(a := x.folds < 1, b := -x.folds, c := i, id := x.id)))[1:greatest(0, len(aged) - 8)], lambda x: x.id) AS gone FROM (
+    SELECT *, list_transform(items, lambda x: struct_pack(id := x.id, folds := CASE WHEN x.fresh THEN 0 ELSE x.folds + 1 END, fresh := false, form := x.form, "text" := x."text")) AS aged FROM (
+    SELECT f.thread_id, f.rn, f.rn % 4 = 0 OR f.rn = f.n AS closes, w.lost, CASE WHEN len(list_filter(w.items, lambda x: x.form = f.form)) > 0 THEN w.number ELSE w.number + 1 END AS number,
+    CASE WHEN len(list_filter(w.items, lambda x: x.form = f.form)) > 0 THEN list_concat(list_filter(w.items, lambda x: x.form <> f.form), list_filter(w.items, lambda x: x.form = f.form)) ELSE list_append(w.items, struct_pack(id := w.number + 1, folds := 0, fresh := true, form := f.form, "text" := f.t)) END AS items
+    FROM w JOIN f ON f.thread_id = w.thread_id AND f.rn = w.rn + 1)))) SELECT thread_id, len(items)::INTEGER AS items, lost::INTEGER AS evicted, array_to_string(list_transform(items, lambda x: '[s' || x.id || '|u:0|f:' || x.folds || '] ' || x."text"), chr(10)) AS summary FROM (SELECT *, row_number() OVER (PARTITION BY thread_id ORDER BY rn DESC) AS k FROM w) WHERE k = 1""",
+)
 def summary_replay(spark, d):
     return history.summary_replay(table(spark, d, "thread_messages"))
 

@@ -400,3 +400,24 @@ def recursive_summaries(spark, d):
     r = bucketed_prefix(t, ["thread_id"], -F.floor(F.col("position") / 1_024), [F.desc("position")], {"behind": size}).filter("behind < 401")
     joined = r.groupBy("thread_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("position", "c"))), lambda x: x["c"]), " ").alias("s"))
     return joined.select("thread_id", F.md5(F.when(F.length("s") > 400, F.substring("s", -400, 400)).otherwise(F.col("s"))).alias("summary"))
+
+
+@query("project_reassign", "WITH p AS (SELECT min(project_id) AS p FROM memories WHERE project_id IS NOT NULL) SELECT DISTINCT memory_id, CASE WHEN project_id = p THEN 'moved:' || owner_user_id ELSE owner_user_id END AS owner FROM memories, p")
+def project_reassign(spark, d):
+    """The rows of one project change hands; the owner's other rows stay."""
+    m = table(spark, d, "memories").select("memory_id", "owner_user_id", "project_id").distinct()
+    one = m.agg(F.min("project_id").alias("p")).first().p
+    part = m.filter(F.col("project_id") == one)
+    mapping = part.select(F.col("owner_user_id").alias("old"), F.concat(F.lit("moved:"), "owner_user_id").alias("new"))
+    moved = relational.reassign(part, "owner_user_id", mapping)
+    rest = m.filter(~F.coalesce(F.col("project_id") == one, F.lit(False)))
+    return moved.unionByName(rest).select("memory_id", F.col("owner_user_id").alias("owner")).distinct()
+
+
+@query("payload_codec", "SELECT DISTINCT chunk_id, doc_id, coalesce(domain, '') AS domain, coalesce(language, 'und') AS language, len(source_block_ids)::INTEGER AS n_blocks, citable FROM chunks")
+def payload_codec(spark, d):
+    """Chunks written as the JSON payload of an index and read again, with the defaults for what is missing."""
+    c = table(spark, d, "chunks").select("chunk_id", F.to_json(F.struct("doc_id", "domain", "language", "source_block_ids", "citable")).alias("payload")).distinct()
+    back = F.from_json("payload", "doc_id string, domain string, language string, source_block_ids array<string>, citable boolean")
+    r = c.select("chunk_id", back.alias("r"))
+    return r.select("chunk_id", "r.doc_id", F.coalesce("r.domain", F.lit("")).alias("domain"), F.coalesce("r.language", F.lit("und")).alias("language"), F.size("r.source_block_ids").alias("n_blocks"), "r.citable").distinct()

@@ -2,11 +2,14 @@
 
 import base64
 import json
+import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from sedimenta.functions import text as T
-from sedimenta.operators import answers, chain, convert, prompts, store, structure
+from sedimenta.operators import answers, chain, convert, prompts, retrieval, store, structure
+from sedimenta.sources import stores
 from sedimenta.streaming import limits
 
 
@@ -130,3 +133,58 @@ def test_stems_and_marks(spark):
     for n in (1, 2, 3, 50):
         f = limits.MarkerFilter()
         assert "".join(f.feed(text[i : i + n]) for i in range(0, len(text), n)) + f.close() == "ab<!-- note -->c<d "
+
+
+def test_objects_and_sidecars(spark, tmp_path):
+    shelf = stores.ObjectStore(spark, f"file://{tmp_path}/objects")
+    shelf.put("a/b.bin", b"\x00\xff")
+    assert shelf.get("a/b.bin") == b"\x00\xff" and shelf.get("a/none") is None and shelf.delete("a") and shelf.get("a/b.bin") is None
+    with pytest.raises(ValueError):
+        shelf.put("../x", b"")
+    assert stores.sidecar(shelf, "d") is None
+    for version in ("1", "2"):
+        stores.put_sidecar(shelf, "d", version, f"# v{version}", {"b": (0, 3)}, [{"id": "b"}])
+    assert stores.sidecar(shelf, "d") == ("# v2", {"b": [0, 3]}, [{"id": "b"}])
+    assert stores.check_profile(shelf, "index", {"model": "hash", "dimensions": 8}) == stores.check_profile(shelf, "index", {"dimensions": 8, "model": "hash"})
+    with pytest.raises(ValueError):
+        stores.check_profile(shelf, "index", {"model": "hash", "dimensions": 9})
+
+
+def test_merging_against_a_plain_walk(spark):
+    """Random trees of three levels: running sums give what looking everything up again gives."""
+    rng = random.Random(11)
+    for _ in range(60):
+        tree = {"d": (None, [])}
+        for s in range(rng.randrange(1, 4)):
+            tree[f"s{s}"] = ("d", [])
+            tree["d"][1].append(f"s{s}")
+            for k in range(rng.randrange(1, 5)):
+                tree[f"l{s}{k}"] = (f"s{s}", [])
+                tree[f"s{s}"][1].append(f"l{s}{k}")
+        text = {n: "w " * rng.randrange(1, 12) for n in tree if n[0] == "l"}
+        for n in sorted(tree, reverse=True):
+            text.setdefault(n, "".join(text.get(c, "") for c in tree[n][1]) + "x " * rng.randrange(0, 4))
+        for n in ("d",):
+            text[n] = "".join(text[c] for c in tree[n][1])
+        chars, tokens = {n: len(t) for n, t in text.items()}, {n: len(t.split()) for n, t in text.items()}
+        ranked = rng.sample([n for n in tree if n[0] == "l"], k=len([n for n in tree if n[0] == "l"]))
+        budget = rng.choice([5, 20, 60])
+        chosen, merges = [], 0
+        under = lambda n, top: n == top or n is not None and tree[n][0] is not None and under(tree[n][0], top)
+        for leaf in ranked:
+            if not any(under(leaf, c) for c in chosen):
+                node = leaf if len(tree[tree[leaf][0]][1]) > 1 else tree[leaf][0]
+                chosen.append(node)
+                while (up := tree[node][0]) is not None:
+                    kin, spent = [c for c in chosen if tree[c][0] == up], sum(tokens[c] for c in chosen)
+                    if len(kin) < 2 or sum(chars[c] for c in kin) < chars[up] / 3 * (1 + spent / budget) - 1e-9 or tokens[up] - sum(tokens[c] for c in kin) > budget - spent:
+                        break
+                    chosen, merges, node = [c for c in chosen if c not in kin] + [up], merges + 1, up
+            if sum(tokens[c] for c in chosen) >= budget:
+                break
+        state = retrieval.Siblings({n: (p, len(k), chars[n], tokens[n]) for n, (p, k) in tree.items()}, budget)
+        for leaf in ranked:
+            state.offer(leaf)
+            if state.spent >= budget:
+                break
+        assert (list(state.chosen), state.merges, state.spent) == (chosen, merges, sum(tokens[c] for c in chosen))

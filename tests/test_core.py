@@ -280,6 +280,9 @@ def test_office_files(spark):
     assert got["a.docx"] == [("heading", "Top"), ("paragraph", "Text"), ("heading", "Sub"), ("paragraph", "More"), ("table", "a | b"), ("table_row", "a | b"), ("table_cell", "a"), ("table_cell", "b")]
     assert got["b.xlsx"] == [("table", "| Item | Qty |"), ("table_row", "| 3 | TRUE |")]
     assert got["c.pptx"] == [("slide", "Hello"), ("paragraph", "inside")]
+    assert office.workbook_facts(xlsx) == {"sheets": 1, "cells": 4, "formulas": 0, "stored": 0, "pictures": 0}
+    wide = zipped({"xl/workbook.xml": f'<workbook {S}><sheets><sheet name="One" r:id="rId1"/></sheets></workbook>', "xl/_rels/workbook.xml.rels": REL.format("worksheets/sheet1.xml"), "xl/media/a.png": "x", "xl/worksheets/sheet1.xml": f'<worksheet {S}><sheetData><row r="1"><c r="A1"><f>1+1</f><v>2</v></c><c r="B1"><f>A1</f></c><c r="C1"><v>7</v></c></row></sheetData><mergeCells><mergeCell ref="A1:XFD1048576"/></mergeCells></worksheet>'})
+    assert office.workbook_facts(wide) == {"sheets": 1, "cells": 3, "formulas": 2, "stored": 1, "pictures": 1} and [r[1] for r in office.xlsx_blocks(wide)] == ["| 2 |"]
     assert all(got[p][0][0] == "error" for p in ("d.docx", "e.txt", "f.docx", "g.docx"))
 
 
