@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from typing import BinaryIO
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -342,12 +343,13 @@ def found(blocks: DataFrame, chunks: DataFrame, detections: DataFrame) -> DataFr
 _PIECES = "start_char long, end_char long, tokens int"
 
 
-def ranged_pieces(ranges: DataFrame) -> DataFrame:
+def ranged_pieces(ranges: DataFrame, span: int = RANGE) -> DataFrame:
     """(item_id, piece, start_char, end_char, tokens, text) of items given as ranges (item_id, k, start, own, body).
 
     ``body`` begins with a halo of ``own`` characters; ``start`` is the offset of what follows it in the item. First every
     range gives its boundary table, then the tables of an item stream through the planner, then the ranges that a piece
-    lies in give its text, so that one giant item is spread over the cluster but for its numbers.
+    lies in give its text, so that one giant item is spread over the cluster but for its numbers. ``span`` is about the
+    characters of a range.
     """
     ranges = stage(ranges.select("item_id", F.col("k").cast("int").alias("k"), F.col("start").cast("long").alias("start"), F.col("own").cast("int").alias("own"), "body"))
 
@@ -370,10 +372,10 @@ def ranged_pieces(ranges: DataFrame) -> DataFrame:
     planned = fold_streams(tables, ["item_id"], ["k"], lambda: [Planner(), 0], step, lambda state: [(state[1], *p) for p in state[0].rest()], ["k", "starts", "ends", "kinds"], "item_id string, piece long, " + _PIECES)
     planned = stage(planned)
     # A piece lies in the ranges from that of its start to that of its end; an as-of join on the starts of the ranges.
-    # Both sides share buckets of RANGE characters: a range is named in every bucket it reaches into.
+    # Both sides share buckets of ``span`` characters: a range is named in every bucket it reaches into.
     size = F.length("body") - F.col("own")
-    placed = ranges.withColumn("stop", F.col("start") + size).withColumn("bucket", F.explode(F.sequence(F.floor(F.col("start") / RANGE), F.floor(F.greatest(F.col("start"), F.col("stop") - 1) / RANGE))))
-    wanted = planned.withColumn("bucket", F.explode(F.sequence(F.floor(F.col("start_char") / RANGE), F.floor((F.col("end_char") - 1) / RANGE))))
+    placed = ranges.withColumn("stop", F.col("start") + size).withColumn("bucket", F.explode(F.sequence(F.floor(F.col("start") / span), F.floor(F.greatest(F.col("start"), F.col("stop") - 1) / span))))
+    wanted = planned.withColumn("bucket", F.explode(F.sequence(F.floor(F.col("start_char") / span), F.floor((F.col("end_char") - 1) / span))))
     inside = (F.col("start_char") < F.col("stop")) & (F.col("end_char") > F.col("start"))
     met = wanted.join(placed.select("item_id", "bucket", "k", "start", "stop", "own", "body"), ["item_id", "bucket"]).filter(inside)
     low, high = F.greatest("start_char", "start"), F.least("end_char", "stop")
@@ -401,10 +403,82 @@ def text_pieces(df: DataFrame, key: str, text: str, range_chars: int = RANGE) ->
     long = items.filter(F.length("body") > range_chars)
     # A long text of few long words is within the limit.
     over = token_sizes(long, "item_id", "body", range_chars=range_chars).filter(F.col("tokens") > LIMIT).select("item_id")
-    cut = ranged_pieces(_ranges(long.join(over, "item_id", "left_semi"), [], range_chars).withColumn("start", F.col("start") + F.col("own")))
+    cut = ranged_pieces(_ranges(long.join(over, "item_id", "left_semi"), [], range_chars).withColumn("start", F.col("start") + F.col("own")), range_chars)
     return whole.unionByName(cut)
 
 
+def token_start(file: BinaryIO, at: int, size: int) -> int:
+    """The byte where the first token behind the first white space from byte ``at`` on begins; the size where none does.
+
+    Only windows of SEARCH bytes are read, from the next whole character on.
+    """
+    if at <= 0:
+        return 0
+    file.seek(at)
+    lead = file.read(4)
+    at += next((i for i, b in enumerate(lead) if b & 0xC0 != 0x80), len(lead))
+    blank = False
+    while at < size:
+        file.seek(at)
+        window = file.read(SEARCH)
+        text = window.decode("utf-8", "ignore")  # a character that is cut off comes with the next window
+        if not text:
+            return size
+        for m in (SPACE_RUN if not blank else TOKEN).finditer(text):
+            if blank:
+                return at + len(text[: m.start()].encode())
+            token = TOKEN.search(text, m.end())
+            if token:
+                return at + len(text[: token.start()].encode())
+            blank = True
+            break
+        at += len(text.encode())
+    return size
+
+
+def bytes_before(file: BinaryIO, at: int) -> str:
+    """The text of the last OVERLAP tokens before byte ``at``, and what stands between them and it."""
+    size = 16 * OVERLAP
+    while True:
+        low = max(0, at - size)
+        file.seek(low)
+        raw = file.read(at - low)
+        raw = raw[next((i for i, b in enumerate(raw[:4]) if b & 0xC0 != 0x80), 0) :]
+        text = raw.decode("utf-8")
+        starts = [m.start() for m in TOKEN.finditer(text)]
+        if low == 0 or len(starts) > OVERLAP:
+            return text[starts[-OVERLAP] if len(starts) >= OVERLAP else 0 :]
+        size *= 2
+
+
+def file_pieces(files: DataFrame, range_bytes: int = 1 << 20) -> DataFrame:
+    """text_pieces of UTF-8 files (path, size) that all executors can open: byte ranges, never a whole file in one task.
+
+    Each range begins with the first token behind its nominal byte, which the range before finds, too; it is read with its
+    halo, and its offset in characters is the sum of the lengths of the ranges before it. Files of at most LIMIT tokens
+    give none.
+    """
+    spans = files.filter("size > 0").select("path", "size", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("size") - 1) / range_bytes))).alias("k"))
+
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for path, size, k in zip(pdf["path"], pdf["size"], pdf["k"]):
+                with open(path, "rb") as file:
+                    low, high = token_start(file, k * range_bytes, size), token_start(file, (k + 1) * range_bytes, size)
+                    if low >= high:
+                        continue
+                    halo = bytes_before(file, low) if low else ""
+                    file.seek(low)
+                    body = file.read(high - low).decode("utf-8")
+                yield pd.DataFrame([(path, int(k), len(halo), len(body), halo + body)], columns=["item_id", "k", "own", "chars", "body"])
+
+    ranges = spans.repartition("path", "k").mapInPandas(read, "item_id string, k int, own int, chars long, body string")
+    placed = bucketed_sum(stage(ranges), ["item_id"], F.floor(F.col("k") / RANKED), [F.col("k")], F.col("chars"), "start")
+    out = ranged_pieces(placed.select("item_id", "k", "start", "own", "body"), range_bytes)
+    several = out.groupBy("item_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("item_id")
+    return out.join(several, "item_id", "left_semi")
+
+
 def unit_pieces(blocks: DataFrame, detections: DataFrame, sized: DataFrame | None = None, run_blocks: int = RUN) -> DataFrame:
     """The pieces of the oversized units; a unit's text is that of its blocks with a blank line between.
 
@@ -426,7 +500,7 @@ def unit_pieces(blocks: DataFrame, detections: DataFrame, sized: DataFrame | Non
     runs = in_groups(rows, ["doc_id", "unit", "run"], ["rank"], fold, ["rank", "text"], "item_id string, k int, size long, body string")
     # Between runs stands a blank line, so that a run needs no halo: the boundary before it is that of a paragraph.
     placed = bucketed_sum(runs, ["item_id"], F.floor(F.col("k") / RANKED), [F.col("k")], F.col("size"), "start")
-    return ranged_pieces(placed.select("item_id", "k", "start", F.lit(0).alias("own"), "body"))
+    return ranged_pieces(placed.select("item_id", "k", "start", F.lit(0).alias("own"), "body"), 4 * RANGE)
 
 
 def all_pieces(blocks: DataFrame, chunks: DataFrame, detections: DataFrame) -> DataFrame:

@@ -136,6 +136,20 @@ def test_pieces_do_not_depend_on_ranges_or_runs(spark):
     assert one == other and one
 
 
+def test_files_are_read_in_byte_ranges(spark, tmp_path):
+    rng = random.Random(21)
+    texts = {f"f{n}": text_of(rng, size) for n, size in enumerate([600, 4000, 20])} | {"wide": "ÿ" * 3000 + " " + "ž w " * 700, "none": "", "dense": "x" * 20_000}
+    rows = []
+    for name, text in texts.items():
+        (tmp_path / name).write_bytes(text.encode())
+        rows.append((str(tmp_path / name), len(text.encode())))
+    want = {(str(tmp_path / i), n, a, b, k, t[a:b]) for i, t in texts.items() if tokens(t) > p1.LIMIT for n, (a, b, k) in enumerate(p1.pieces(t))}
+    files = spark.createDataFrame(rows, "path string, size long")
+    for size in (333, 5_000, 1 << 20):
+        assert {tuple(r) for r in p1.file_pieces(files, size).collect()} == want
+    assert p1.file_pieces(files.limit(0)).count() == 0
+
+
 def test_units_and_empty_tables(spark):
     frame, detections, orders, found = data(spark, random.Random(8))
     rows = p1.unit_pieces(frame, detections).collect()
