@@ -104,7 +104,43 @@ _WHOLE = """w AS (SELECT *, lead(role) OVER (PARTITION BY conv_id ORDER BY posit
     AND NOT bool_or(role = 'assistant' AND coalesce(nr, '') = 'assistant') AND NOT bool_or(role = 'user' AND blank) AND NOT bool_or(role = 'user' AND NOT coalesce(nr = 'assistant' AND NOT nb, false)))
     SELECT src_table, conv_id, position - 1 AS turn, role, content FROM m SEMI JOIN g USING (conv_id)"""
 
+#: The defect of each conversation by the same checks; an undefined one is whole.
+_DEFECTS = """w AS (SELECT *, lead(role) OVER (PARTITION BY conv_id ORDER BY position) AS nr, lead(blank) OVER (PARTITION BY conv_id ORDER BY position) AS nb FROM m),
+    g AS (SELECT src_table, conv_id, CASE WHEN bool_and(blank) THEN 'empty' WHEN count(position) < count(*) OR min(position) <> 1 OR max(position) <> count(*) OR count(DISTINCT position) <> count(*) OR NOT bool_and(role IN ('user', 'assistant')) OR arg_min(role, position) <> 'user'
+    OR bool_or(role = 'assistant' AND coalesce(nr, '') = 'assistant') OR bool_or(role = 'user' AND blank) THEN 'broken' WHEN bool_or(role = 'user' AND NOT coalesce(nr = 'assistant' AND NOT nb, false)) THEN 'missing_reply' END AS defect FROM w GROUP BY 1, 2) SELECT * FROM g WHERE defect IS NOT NULL"""
+_THREADS = rf"m AS (SELECT DISTINCT 'thread_messages' AS src_table, thread_id AS conv_id, position::BIGINT AS position, coalesce(lower(regexp_replace(role, {_TRIM}, '', 'g')), '') AS role, content, content IS NULL OR regexp_matches(content, {_BLANK}) AS blank FROM thread_messages)"
+_STORED = rf"""r AS (SELECT DISTINCT report_id, conversation FROM message_reports WHERE json_valid(conversation) AND json_type(conversation) = 'ARRAY'), x AS (SELECT report_id, unnest(json_extract(conversation, '$[*]')) AS x, generate_subscripts(json_extract(conversation, '$[*]'), 1)::BIGINT AS position FROM r),
+    m AS (SELECT 'message_reports' AS src_table, report_id AS conv_id, position, coalesce(lower(regexp_replace(CASE WHEN json_type(x, '$.role') = 'VARCHAR' THEN json_extract_string(x, '$.role') END, {_TRIM}, '', 'g')), '') AS role, json_extract_string(x, '$.content') AS content, coalesce(regexp_matches(json_extract_string(x, '$.content'), {_BLANK}), true) AS blank FROM x)"""
+
+SQL: dict[str, str] = {
+    "p5_found": rf"""SELECT * FROM (WITH {_THREADS}, {_DEFECTS}) UNION ALL SELECT * FROM (WITH {_STORED}, {_DEFECTS})
+    UNION ALL SELECT DISTINCT 'message_reports', report_id, CASE WHEN coalesce(regexp_matches(conversation, {_BLANK}), true) OR CASE WHEN json_valid(conversation) THEN json_type(conversation) = 'NULL' OR (json_type(conversation) = 'ARRAY' AND json_array_length(conversation) = 0) ELSE false END THEN 'empty' ELSE 'broken' END FROM message_reports
+    WHERE NOT coalesce(CASE WHEN json_valid(conversation) THEN json_type(conversation) = 'ARRAY' AND json_array_length(conversation) > 0 END, false)""",
+    "p5_turns": rf"""SELECT * FROM (WITH {_THREADS}, {_WHOLE}) UNION ALL SELECT * FROM (WITH {_STORED}, {_WHOLE})""",
+    "p8_stats": p8_stats,
+}
+_SPACE = r"\s\x{b}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
+
+_BLANK = rf"'^[{_SPACE}\x{{200b}}]*$'"
+_TRIM = rf"'^[{_SPACE}]+|[{_SPACE}]+$'"
+#: Whole conversations of (conv_id, position, role, content, blank): the same checks for threads and for stored lists.
+_WHOLE = """w AS (SELECT *, lead(role) OVER (PARTITION BY conv_id ORDER BY position) AS nr, lead(blank) OVER (PARTITION BY conv_id ORDER BY position) AS nb FROM m),
+    g AS (SELECT conv_id FROM w GROUP BY 1 HAVING NOT bool_and(blank) AND count(position) = count(*) AND min(position) = 1 AND max(position) = count(*) AND count(DISTINCT position) = count(*) AND bool_and(role IN ('user', 'assistant')) AND arg_min(role, position) = 'user'
+    AND NOT bool_or(role = 'assistant' AND coalesce(nr, '') = 'assistant') AND NOT bool_or(role = 'user' AND blank) AND NOT bool_or(role = 'user' AND NOT coalesce(nr = 'assistant' AND NOT nb, false)))
+    SELECT src_table, conv_id, position - 1 AS turn, role, content FROM m SEMI JOIN g USING (conv_id)"""
+
+#: The defect of each conversation by the same checks; an undefined one is whole.
+_DEFECTS = """w AS (SELECT *, lead(role) OVER (PARTITION BY conv_id ORDER BY position) AS nr, lead(blank) OVER (PARTITION BY conv_id ORDER BY position) AS nb FROM m),
+    g AS (SELECT src_table, conv_id, CASE WHEN bool_and(blank) THEN 'empty' WHEN count(position) < count(*) OR min(position) <> 1 OR max(position) <> count(*) OR count(DISTINCT position) <> count(*) OR NOT bool_and(role IN ('user', 'assistant')) OR arg_min(role, position) <> 'user'
+    OR bool_or(role = 'assistant' AND coalesce(nr, '') = 'assistant') OR bool_or(role = 'user' AND blank) THEN 'broken' WHEN bool_or(role = 'user' AND NOT coalesce(nr = 'assistant' AND NOT nb, false)) THEN 'missing_reply' END AS defect FROM w GROUP BY 1, 2) SELECT * FROM g WHERE defect IS NOT NULL"""
+_THREADS = rf"m AS (SELECT DISTINCT 'thread_messages' AS src_table, thread_id AS conv_id, position::BIGINT AS position, coalesce(lower(regexp_replace(role, {_TRIM}, '', 'g')), '') AS role, content, content IS NULL OR regexp_matches(content, {_BLANK}) AS blank FROM thread_messages)"
+_STORED = rf"""r AS (SELECT DISTINCT report_id, conversation FROM message_reports WHERE json_valid(conversation) AND json_type(conversation) = 'ARRAY'), x AS (SELECT report_id, unnest(json_extract(conversation, '$[*]')) AS x, generate_subscripts(json_extract(conversation, '$[*]'), 1)::BIGINT AS position FROM r),
+    m AS (SELECT 'message_reports' AS src_table, report_id AS conv_id, position, coalesce(lower(regexp_replace(CASE WHEN json_type(x, '$.role') = 'VARCHAR' THEN json_extract_string(x, '$.role') END, {_TRIM}, '', 'g')), '') AS role, json_extract_string(x, '$.content') AS content, coalesce(regexp_matches(json_extract_string(x, '$.content'), {_BLANK}), true) AS blank FROM x)"""
+
 SQL: dict[str, str] = {
+    "p5_found": rf"""SELECT * FROM (WITH {_THREADS}, {_DEFECTS}) UNION ALL SELECT * FROM (WITH {_STORED}, {_DEFECTS})
+    UNION ALL SELECT DISTINCT 'message_reports', report_id, CASE WHEN coalesce(regexp_matches(conversation, {_BLANK}), true) OR CASE WHEN json_valid(conversation) THEN json_type(conversation) = 'NULL' OR (json_type(conversation) = 'ARRAY' AND json_array_length(conversation) = 0) ELSE false END THEN 'empty' ELSE 'broken' END FROM message_reports
+    WHERE NOT coalesce(CASE WHEN json_valid(conversation) THEN json_type(conversation) = 'ARRAY' AND json_array_length(conversation) > 0 END, false)""",
     "p5_turns": rf"""SELECT * FROM (WITH m AS (SELECT DISTINCT 'thread_messages' AS src_table, thread_id AS conv_id, position::BIGINT AS position, coalesce(lower(regexp_replace(role, {_TRIM}, '', 'g')), '') AS role, content, content IS NULL OR regexp_matches(content, {_BLANK}) AS blank FROM thread_messages), {_WHOLE})
     UNION ALL SELECT * FROM (WITH r AS (SELECT DISTINCT report_id, conversation FROM message_reports WHERE json_valid(conversation) AND json_type(conversation) = 'ARRAY'), x AS (SELECT report_id, unnest(json_extract(conversation, '$[*]')) AS x, generate_subscripts(json_extract(conversation, '$[*]'), 1)::BIGINT AS position FROM r),
     m AS (SELECT 'message_reports' AS src_table, report_id AS conv_id, position, coalesce(lower(regexp_replace(CASE WHEN json_type(x, '$.role') = 'VARCHAR' THEN json_extract_string(x, '$.role') END, {_TRIM}, '', 'g')), '') AS role, json_extract_string(x, '$.content') AS content, coalesce(regexp_matches(json_extract_string(x, '$.content'), {_BLANK}), true) AS blank FROM x), {_WHOLE})""",
