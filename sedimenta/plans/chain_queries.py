@@ -104,7 +104,7 @@ def _hits(spark, d, k: int):
     return retrieval.sparse_search(asked, "qid", "question", leaves(spark, d), "chunk_id", "source_text", k).withColumnRenamed("qid", "query")
 
 
-_OF = "of_doc AS (SELECT DISTINCT chunk_id, doc_id, project_id FROM chunks)"
+_OF = "of_doc AS (SELECT DISTINCT chunk_id, doc_id, owner_user_id FROM chunks)"
 _ROUTE = "route AS (SELECT * FROM (SELECT query, doc_id, score, row_number() OVER (PARTITION BY query ORDER BY round(score, 9) DESC, doc_id) AS rank FROM (SELECT query, doc_id, max(score) AS score FROM hit JOIN of_doc USING (chunk_id) GROUP BY 1, 2)) WHERE rank <= 3)"
 
 
@@ -118,13 +118,13 @@ def document_routing(spark, d):
     return _routed(spark, d).select("query", "doc_id", F.col("rank").cast("long").alias("rank"), F.round("score", 6).alias("score"))
 
 
-@query("scoped_pass", f"WITH {_bm25(20)}, {_OF}, {_ROUTE}, t AS (SELECT DISTINCT query, project_id FROM route JOIN of_doc USING (doc_id) WHERE rank = 1), a AS (SELECT DISTINCT t.query, o.doc_id FROM t JOIN of_doc o USING (project_id)) SELECT DISTINCT query FROM a ANTI JOIN (SELECT * FROM route WHERE rank = 1) USING (query, doc_id)")
+@query("scoped_pass", f"WITH {_bm25(20)}, {_OF}, {_ROUTE}, t AS (SELECT DISTINCT query, owner_user_id FROM route JOIN of_doc USING (doc_id) WHERE rank = 1), a AS (SELECT DISTINCT t.query, o.doc_id FROM t JOIN of_doc o USING (owner_user_id)) SELECT DISTINCT query FROM a ANTI JOIN (SELECT * FROM route WHERE rank = 1) USING (query, doc_id)")
 def scoped_pass(spark, d):
-    """The questions whose best document does not cover its project."""
-    of = _chunks(spark, d).select("doc_id", "project_id").distinct()
+    """The questions whose best document is not all that its owner has."""
+    of = _chunks(spark, d).select("doc_id", "owner_user_id").distinct()
     routed = _routed(spark, d)
-    best = routed.filter("rank = 1").join(of, "doc_id").select("query", "project_id").distinct()
-    return retrieval.routed_elsewhere(best.join(of, "project_id").select("query", "doc_id").distinct(), routed.filter("rank = 1").select("query", "doc_id"), "query")
+    best = routed.filter("rank = 1").join(of, "doc_id").select("query", "owner_user_id").distinct()
+    return retrieval.routed_elsewhere(best.join(of, "owner_user_id").select("query", "doc_id").distinct(), routed.filter("rank = 1").select("query", "doc_id"), "query")
 
 
 _RERANKED = f"""rr AS (SELECT query, chunk_id, score, row_number() OVER (PARTITION BY query ORDER BY round(score, 9) DESC, place) AS rank FROM (SELECT h.query, h.chunk_id, h.rank AS place, coalesce(CASE WHEN len({S.words('question')}) > 0 THEN round({S.overlap(S.words('source_text'), S.words('question'))}::DOUBLE / len({S.words('question')}), 6) END, 0.0) AS score
