@@ -257,7 +257,8 @@ def edit_diff(spark, d):
 
 @query("leaf_chunks")
 def leaf_chunks(spark, d):
-    return structure.leaf_chunks(_blocks(spark, d))
+    """Leaves that are whole blocks have spans of -1."""
+    return structure.leaf_chunks(_blocks(spark, d)).withColumns({c: F.coalesce(c, F.lit(-1)) for c in ("span_start", "span_end")})
 
 
 @query("chunk_tree")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..frames import table
 from ..operators import retrieval
-from . import chain_queries, convert_queries, store_queries  # noqa: F401  (they register their queries)
+from . import chain_queries, convert_queries, leaf_sql, store_queries  # noqa: F401  (they register their queries)
 from .queries import QUERIES, SQL, leaves
 
 __all__ = ["QUERIES", "SQL", "flagship"]
