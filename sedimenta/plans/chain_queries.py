@@ -8,7 +8,7 @@ from ..frames import table
 from ..functions import text as T
 from ..operators import chain, history, retrieval, structure
 from . import sqltext as S
-from .queries import _LEAVES, _POSTS, _TURNS, AS_OF, _as_of, leaves, query
+from .queries import _LEAVES, _POSTS, _TURNS, AS_OF, SQL, _as_of, leaves, query
 
 _C = "c AS (SELECT DISTINCT chunk_id, doc_id, owner_user_id, project_id, level, source_text, parent_id, child_ids, section_path, source_block_ids, citable, language FROM chunks)"
 
@@ -180,6 +180,24 @@ def merged_scores(spark, d):
     return _merged(spark, d)[0].select("query", "chunk_id", F.round("score", 6).alias("score"), "rank")
 
 
+def _climb(n: int, of: str) -> str:
+    """One step of a merge: the parent of the node last chosen takes the place of its chosen children where it has earned it."""
+    get = lambda x, field: f"map_extract(m, {x})[1].{field}"
+    up, kin, total = f"up{n}", f"kin{n}", f"spent{n}"
+    return f"""c{n} AS (SELECT * EXCLUDE (chosen, node, active), CASE WHEN ok{n} THEN list_append(list_filter(chosen, lambda x: {get("x", "p")} IS DISTINCT FROM {up}), {up}) ELSE chosen END AS chosen, CASE WHEN ok{n} THEN {up} ELSE node END AS node, ok{n} AS active FROM (
+    SELECT *, coalesce(active AND map_contains(m, {up}) AND len({kin}) >= 2 AND 3 * list_sum(list_transform({kin}, lambda x: {get("x", "ch")})) * 4000 >= {get(up, "ch")} * (4000 + {total}) AND {get(up, "t")} - list_sum(list_transform({kin}, lambda x: {get("x", "t")})) <= 4000 - {total}, false) AS ok{n} FROM (
+    SELECT *, list_filter(chosen, lambda x: {get("x", "p")} = {up}) AS {kin}, coalesce(list_sum(list_transform(chosen, lambda x: {get("x", "t")})), 0) AS {total} FROM (SELECT *, {get("node", "p")} AS {up} FROM {of}))))"""
+
+
+_CLIMBED = f"WITH {_climb(1, 'c0')}, {_climb(2, 'c1')} SELECT query, k, chosen, merges + ok1::INTEGER + ok2::INTEGER AS merges, stopped OR coalesce(list_sum(list_transform(chosen, lambda x: map_extract(m, x)[1].t)), 0) >= 4000 AS stopped, m FROM c2"
+_MERGED = f"""sz AS (SELECT DISTINCT chunk_id, parent_id AS p, len(child_ids) AS c, length(source_text) AS ch, {S.n_tokens("coalesce(source_text, '')")} AS t FROM chunks), own AS (SELECT query, chunk_id FROM hit UNION SELECT query, sz.p FROM hit JOIN sz USING (chunk_id) WHERE sz.p IS NOT NULL UNION SELECT query, s2.p FROM hit JOIN sz USING (chunk_id) JOIN sz s2 ON s2.chunk_id = sz.p WHERE s2.p IS NOT NULL),
+    maps AS (SELECT query, map_from_entries(list(struct_pack(k := sz.chunk_id, v := struct_pack(p := sz.p, c := sz.c, ch := sz.ch, t := sz.t)))) AS m FROM own JOIN sz USING (chunk_id) GROUP BY 1),
+    am AS (SELECT query, 0::BIGINT AS k, []::VARCHAR[] AS chosen, 0 AS merges, false AS stopped, m FROM maps UNION ALL SELECT * FROM (WITH c0 AS (SELECT query, k, m, merges, stopped, CASE WHEN skip THEN chosen ELSE list_append(chosen, node) END AS chosen, node, NOT skip AS active FROM (
+    SELECT *, stopped OR list_contains(chosen, chunk_id) OR coalesce(list_contains(chosen, u1), false) OR coalesce(list_contains(chosen, u2), false) AS skip, CASE WHEN map_contains(m, u1) AND map_extract(m, u1)[1].c = 1 THEN u1 ELSE chunk_id END AS node FROM (SELECT *, map_extract(m, u1)[1].p AS u2 FROM (SELECT am.query, hit.rank AS k, am.chosen, am.merges, am.stopped, am.m, hit.chunk_id, map_extract(am.m, hit.chunk_id)[1].p AS u1 FROM am JOIN hit ON hit.query = am.query AND hit.rank = am.k + 1)))), {_CLIMBED[5:]})),
+    fin AS (SELECT query, chosen, merges FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY k DESC) AS z FROM am) WHERE z = 1)"""
+SQL["auto_merge"] = f"WITH {_BELOW}, {_bm25(30)}, {_MERGED} SELECT query, place, chunk_id, coalesce(n, 0)::INTEGER AS n_leaves, merges FROM (SELECT query, merges, unnest(chosen) AS chunk_id, (generate_subscripts(chosen, 1) - 1)::INTEGER AS place FROM fin) LEFT JOIN (SELECT root_id AS chunk_id, count(*) AS n FROM below GROUP BY 1) USING (chunk_id)"
+
+
 @query("evidence_leaves", f"WITH {_BELOW}, {_bm25(20)}, {_CHOSEN}, ev AS (SELECT query, leaf_id, min(struct_pack(r := ms.rank::BIGINT, c := ms.chunk_id, p := path)) AS w FROM ms JOIN below ON root_id = ms.chunk_id GROUP BY 1, 2) SELECT query, leaf_id, row_number() OVER (PARTITION BY query ORDER BY w, leaf_id) AS place FROM ev")
 def evidence_leaves(spark, d):
     scored, below = _merged(spark, d)
