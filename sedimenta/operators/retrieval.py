@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..frames import cut, in_groups
+from ..frames import in_groups, stage
 from ..functions import text as T
 
 #: Saturation and length normalisation of BM25, the pipeline's mean length, the fusion constant.
@@ -126,17 +126,18 @@ def routed_elsewhere(project_docs: DataFrame, routed_docs: DataFrame, query: str
     return all_of.join(some, query, "left").filter(F.size(F.array_except("a", F.coalesce("b", F.array().cast("array<string>")))) > 0).select(query)
 
 
-def ancestors(chunks: DataFrame) -> DataFrame:
-    """(chunk_id, ancestor_id, depth): the chain of parents of every chunk, however deep; parents that are not among the rows end it.
+def ancestors(chunks: DataFrame, of: DataFrame | None = None) -> DataFrame:
+    """(chunk_id, ancestor_id, depth): the chain of parents of every chunk (or of those ``of`` names), however deep.
 
-    The frontier is joined once for each level until it is empty. A chunk that comes up again (a cycle) ends its chain.
+    Parents that are not among the rows end a chain. The frontier is joined once for each level until it is empty. A chunk that comes up again (a cycle) ends its chain.
     """
-    c = cut(chunks.select("chunk_id", "parent_id").filter("chunk_id IS NOT NULL").groupBy("chunk_id").agg(F.max("parent_id").alias("parent_id")))
+    c = stage(chunks.select("chunk_id", "parent_id").filter("chunk_id IS NOT NULL").groupBy("chunk_id").agg(F.max("parent_id").alias("parent_id")))
     step = c.select(F.col("chunk_id").alias("ancestor_id"), F.col("parent_id").alias("next"))
-    front = c.filter("parent_id IS NOT NULL").select("chunk_id", F.col("parent_id").alias("ancestor_id")).join(step, "ancestor_id").select("chunk_id", "ancestor_id", "next", F.array("ancestor_id").alias("path"))
+    begin = c if of is None else c.join(of.select("chunk_id").distinct(), "chunk_id", "left_semi")
+    front = begin.filter("parent_id IS NOT NULL").select("chunk_id", F.col("parent_id").alias("ancestor_id")).join(step, "ancestor_id").select("chunk_id", "ancestor_id", "next", F.array("ancestor_id").alias("path"))
     levels = []
     while True:
-        front = cut(front)
+        front = stage(front)
         if front.isEmpty():
             break
         levels.append(front.select("chunk_id", "ancestor_id", F.lit(len(levels) + 1).alias("depth")))
@@ -148,19 +149,20 @@ def ancestors(chunks: DataFrame) -> DataFrame:
     return out
 
 
-def descendant_leaves(chunks: DataFrame) -> DataFrame:
-    """(root_id, leaf_id, path): the leaves below each chunk, each once; sorting by path gives document order.
+def descendant_leaves(chunks: DataFrame, of: DataFrame | None = None) -> DataFrame:
+    """(root_id, leaf_id, path): the leaves below each chunk (or below those ``of`` names), each once, by path in document order.
 
     A path is the place of the child on each level, five digits each. A leaf is below itself with an empty path. Children
     that are not among the rows are skipped; the frontier goes down until it is empty.
     """
-    c = cut(chunks.select("chunk_id", "level", "child_ids").filter("chunk_id IS NOT NULL").dropDuplicates(["chunk_id"]))
+    c = stage(chunks.select("chunk_id", "level", "child_ids").filter("chunk_id IS NOT NULL").dropDuplicates(["chunk_id"]))
     edge = c.filter("level <> 'leaf'").select("chunk_id", F.posexplode("child_ids").alias("place", "child"))
     edge = edge.join(c.select(F.col("chunk_id").alias("child"), F.col("level").alias("child_level")), "child").select(F.col("chunk_id").alias("at"), "child", "child_level", F.lpad(F.col("place").cast("string"), 5, "0").alias("place"))
-    front = c.select(F.col("chunk_id").alias("root_id"), F.col("chunk_id").alias("at"), F.col("level"), F.lit("").alias("path"), F.array("chunk_id").alias("seen"))
+    begin = c if of is None else c.join(of.select("chunk_id").distinct(), "chunk_id", "left_semi")
+    front = begin.select(F.col("chunk_id").alias("root_id"), F.col("chunk_id").alias("at"), F.col("level"), F.lit("").alias("path"), F.array("chunk_id").alias("seen"))
     levels = []
     while True:
-        front = cut(front)
+        front = stage(front)
         if front.isEmpty():
             break
         levels.append(front.filter("level = 'leaf'").select("root_id", F.col("at").alias("leaf_id"), "path"))
@@ -240,7 +242,8 @@ def auto_merge(ranked: DataFrame, chunks: DataFrame, budget: int = 4_000) -> Dat
     parent's characters (more as the budget is spent) and the rest of the parent fits, the parent takes their place. n_leaves
     counts the leaves below. A query holds its ranked leaves and their ancestors only, as sizes, which the search bounds.
     """
-    up = ancestors(chunks)
+    ranked = stage(ranked.select("query", "chunk_id", "rank"))
+    up = ancestors(chunks, ranked)
     mine = ranked.select("query", "chunk_id", F.col("rank").cast("int").alias("rank"))
     above = mine.join(up, "chunk_id").select("query", F.col("ancestor_id").alias("chunk_id")).distinct().join(mine.select("query", "chunk_id"), ["query", "chunk_id"], "left_anti").withColumn("rank", F.lit(None).cast("int"))
     text = F.coalesce("source_text", F.lit(""))
@@ -257,8 +260,8 @@ def auto_merge(ranked: DataFrame, chunks: DataFrame, budget: int = 4_000) -> Dat
             yield (*key, place, chunk, state.merges)
 
     kind = dict(ranked.dtypes)["query"]
-    chosen = in_groups(rows, ["query"], ["rank", "chunk_id"], fold, ["rank", "chunk_id", "parent_id", "n_children", "n_chars", "n_tokens"], f"query {kind}, place int, chunk_id string, merges int")
-    below = descendant_leaves(chunks).groupBy(F.col("root_id").alias("chunk_id")).agg(F.count(F.lit(1)).cast("int").alias("n_leaves"))
+    chosen = stage(in_groups(rows, ["query"], ["rank", "chunk_id"], fold, ["rank", "chunk_id", "parent_id", "n_children", "n_chars", "n_tokens"], f"query {kind}, place int, chunk_id string, merges int"))
+    below = descendant_leaves(chunks, chosen).groupBy(F.col("root_id").alias("chunk_id")).agg(F.count(F.lit(1)).cast("int").alias("n_leaves"))
     return chosen.join(below, "chunk_id", "left").select("query", "place", "chunk_id", F.coalesce("n_leaves", F.lit(0)).alias("n_leaves"), "merges")
 
 

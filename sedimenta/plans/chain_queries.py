@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..frames import table
+from ..frames import stage, table
 from ..functions import text as T
 from ..operators import chain, history, retrieval, structure
 from . import sqltext as S
@@ -166,11 +166,11 @@ _CHOSEN = "par AS (SELECT DISTINCT chunk_id, parent_id FROM chunks), chosen AS (
 
 
 def _merged(spark, d):
-    hits = _hits(spark, d, 20)
+    hits = stage(_hits(spark, d, 20))
     c = table(spark, d, "chunks")
     up = c.select("chunk_id", "parent_id").distinct()
     chosen = hits.join(up, "chunk_id").select("query", F.coalesce("parent_id", "chunk_id").alias("chunk_id"))
-    below = retrieval.descendant_leaves(c)
+    below = retrieval.descendant_leaves(c, chosen)
     return chain.merged_scores(chosen, hits, below), below
 
 
