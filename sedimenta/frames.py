@@ -114,6 +114,12 @@ def bucketed_lag(df: DataFrame, keys: list[str], bucket: Column, order: list[str
     return joined.drop("__bucket", "__b", "__own", "__carried", *[f"__k_{k}" for k in keys])
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """A scan of few partitions spread over all cores before a costly Python pass; a scan of many stays as it is."""
+    want = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(want) if 2 * df.rdd.getNumPartitions() <= want else df
+
+
 def let(value: Column, use: Callable[[Column], Column]) -> Column:
     """``use(value)`` with the value worked out once for each row, however often it is used."""
     return F.transform(F.array(value), use)[0]
