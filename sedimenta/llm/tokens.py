@@ -10,6 +10,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..frames import spread
+
 #: Ranks file of the tokenizer, on every executor; and the pattern that splits text before the merges (fixed value).
 RANKS = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -27,7 +29,7 @@ def tokenizer(ranks: str = RANKS):
 
 def token_counts(df: DataFrame, text: str, carry: list[Column], ranks: str = RANKS) -> DataFrame:
     """The carried columns and n_tokens, the size of the whole text; null and empty texts have 0."""
-    picked = df.select(*carry, F.col(text).alias("__text"))
+    picked = spread(df.select(*carry, F.col(text).alias("__text")))
     schema = picked.drop("__text").schema.simpleString()[7:-1].replace(":", " ") + ", n_tokens long"
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
