@@ -6,9 +6,10 @@ ends, whole sentences, different words, markup). Each distribution is compared b
 profiles of prose, lists, tables and junk, which exist by language; the weighted sum of the divergences is the distance, and
 the nearest profile alone decides. The kind of the document is the one that most characters of its runs belong to.
 
-The profiles are fitted in each run of the query: the runs of a bounded sample of documents (FITTED) get a first label by
-simple counts, their mean distributions are the first profiles, and ROUNDS of reassignment to the nearest profile follow.
-Fixed examples count as PRIOR runs each, so that small tables are judged, too.
+The profiles are fitted in each run of the query, over all different texts: their runs get a first label by simple counts,
+their mean distributions are the first profiles, and ROUNDS of reassignment to the nearest profile follow. Fixed examples
+count as PRIOR runs each, so that small tables are judged, too. Texts are described once; the rounds and the result read
+the staged descriptions.
 """
 
 from __future__ import annotations
@@ -28,8 +29,9 @@ from ..frames import SPACES, UNICODE_SPACE, spread, stage
 KINDS = ("prose", "list", "table", "junk")
 #: Most words that are taken as common words; the table of them is a fixed list.
 MOST_COMMON_WORDS = 20_000
-#: Documents that the profiles are fitted on, rounds of reassignment, the weight of a fixed example in runs, and the runs a profile needs.
-FITTED, ROUNDS, PRIOR, LEAST = 4_000, 1, 6, 2
+#: Rounds of reassignment, the weight of a fixed example in runs, and the runs a profile needs: so many, and one in so many of all.
+#: The share holds for tables of any size; with a number alone, every slip of the first labels would get a profile in a large one.
+ROUNDS, PRIOR, LEAST, SHARE = 1, 6, 2, 4_000
 #: Characters besides white space below which a text is next to nothing.
 NOTHING = 12
 #: Shapes of runs.
@@ -57,6 +59,8 @@ EXAMPLES = {
 #: The distributions of a run: where each begins in its description, and what its divergence weighs.
 PARTS = ((0, 6, 1.0), (6, 13, 1.0), (13, 21, 0.9), (21, 26, 0.5), (26, 28, 0.5), (28, 30, 0.8), (30, 32, 0.8), (32, 34, 2.5))
 WIDTH = 34
+#: The parts that are compared with every profile; the others only where these leave it in reach.
+_QUICK, _SLOW = [PARTS[i] for i in (2, 5, 6, 7)], [PARTS[i] for i in (0, 1, 3, 4)]
 
 _LINE = re.compile(r"\r\n|\r|\n")
 _CONTENTS = re.compile(r"(?:\.{3,}|…{1,}|(?: \.){3,}|_{4,}|·{3,})\s*(?:\d+|[ivxlcdm]+)\s*$")
@@ -290,14 +294,18 @@ def _entropy(x: np.ndarray) -> np.ndarray:
     return -(x * np.log2(np.where(x > 0, x, 1.0))).sum(axis=-1)
 
 
+def _divergence(p: np.ndarray, q: np.ndarray, parts: list[tuple[int, int, float]]) -> np.ndarray:
+    """Weighted sums of the Jensen-Shannon divergences over the last axis."""
+    out = 0.0
+    for low, high, weight in parts:
+        a, b = p[..., low:high], q[..., low:high]
+        out = out + weight * (_entropy((a + b) / 2) - (_entropy(a) + _entropy(b)) / 2)
+    return out
+
+
 def distances(runs: np.ndarray, profiles: np.ndarray) -> np.ndarray:
     """Weighted sums of the Jensen-Shannon divergences of every run from every profile."""
-    out = np.zeros((len(runs), len(profiles)))
-    for low, high, weight in PARTS:
-        p, q = runs[:, low:high], profiles[:, low:high]
-        mixed = _entropy((p[:, None, :] + q[None, :, :]) / 2)
-        out += weight * (mixed - (_entropy(p)[:, None] + _entropy(q)[None, :]) / 2)
-    return out
+    return _divergence(runs[:, None, :], profiles[None, :, :], PARTS)
 
 
 class Profiles:
@@ -309,37 +317,67 @@ class Profiles:
         self.lang = np.array([lang for _, _, lang in keys])
 
     def nearest(self, runs: np.ndarray, langs: np.ndarray) -> np.ndarray:
-        """The number of the nearest profile of each run, among those of its language and those of none."""
+        """The number of the nearest profile of each run, among those of its language and those of none.
+
+        Divergences are no less than 0, so a profile that is farther by the quick parts than another one by all is left out.
+        """
         out = np.empty(len(runs), int)
-        for low in range(0, len(runs), 2_048):
-            d = distances(runs[low : low + 2_048], self.matrix)
-            away = (self.lang[None, :] >= 0) & (self.lang[None, :] != langs[low : low + 2_048, None])
-            out[low : low + 2_048] = np.where(away, np.inf, d).argmin(axis=1)
+        for low in range(0, len(runs), 1_024):
+            own = runs[low : low + 1_024]
+            d = _divergence(own[:, None, :], self.matrix[None, :, :], _QUICK)
+            d[(self.lang[None, :] >= 0) & (self.lang[None, :] != langs[low : low + 1_024, None])] = np.inf
+            guess = d.argmin(axis=1)
+            bound = d[np.arange(len(own)), guess] + _divergence(own, self.matrix[guess], _SLOW)
+            i, k = np.nonzero(d <= bound[:, None] + 1e-9)
+            whole = np.full_like(d, np.inf)
+            whole[i, k] = d[i, k] + _divergence(own[i], self.matrix[k], _SLOW)
+            out[low : low + 1_024] = whole.argmin(axis=1)
         return out
 
 
+class Texts:
+    """The runs of texts: a row of distributions and a language each, and their number and characters by text."""
+
+    def __init__(self, runs: np.ndarray, langs: np.ndarray, sizes: list[np.ndarray]) -> None:
+        self.runs, self.langs, self.sizes = runs.reshape(-1, WIDTH), langs.astype(int), sizes
+
+    @classmethod
+    def of(cls, texts: list[str | None], common: WordClasses) -> Texts:
+        rows = [described(t, common) for t in texts]
+        return cls(np.array([d for r in rows for d in r[0]], float), np.array([lang for r in rows for lang in r[1]], int), [np.array(r[2], float) for r in rows])
+
+
+def described(text: str | None, common: WordClasses) -> tuple[list[list[float]], list[int], list[int]]:
+    """(distributions, languages, characters) of the runs of a text; those of next to nothing have no characters to weigh."""
+    bare = (text or "").replace("\ufeff", "")
+    something = bool(_SOMETHING.match(bare))
+    runs, langs, sizes = [], [], []
+    for shape, lines in runs_of(bare):
+        d, lang = describe(shape, lines, common)
+        runs.append(d)
+        langs.append(lang)
+        sizes.append(sum(map(len, lines)) if something else 0)
+    return runs, langs, sizes
+
+
 Sums = dict[tuple[str, str, int], tuple[np.ndarray, int]]
 
 
-def sums_of(texts: list[str | None], common: WordClasses, profiles: Profiles | None) -> Sums:
-    """(kind, variant, language) -> sum and number of the runs of texts, by their first label or by the nearest profile.
+def add(sums: Sums, texts: Texts, profiles: Profiles | None) -> None:
+    """Adds to (kind, variant, language) -> sum and number of runs, by their first label or by the nearest profile.
 
     A run counts for its profile in all languages, and in prose and lists for that of its own language, too.
     """
-    described = [(shape, *describe(shape, lines, common)) for t in texts if t for shape, lines in runs_of(t)]
-    out: Sums = {}
-    if not described:
-        return out
-    runs = np.array([d for _, d, _ in described])
+    if not len(texts.runs):
+        return
     if profiles is None:
-        labels = [first_label(d, shape) for shape, d, _ in described]
+        labels = [first_label(d, SHAPES[d.index(1.0, 13) - 13]) for d in texts.runs.tolist()]
     else:
-        labels = [profiles.keys[i][:2] for i in profiles.nearest(runs, np.array([lang for _, _, lang in described]))]
-    for label, d, (_, _, lang) in zip(labels, runs, described):
+        labels = [profiles.keys[i][:2] for i in profiles.nearest(texts.runs, texts.langs)]
+    for label, d, lang in zip(labels, texts.runs, texts.langs.tolist()):
         for key in {(*label, -1), (*label, lang)} if label[0] in ("prose", "list") else {(*label, -1)}:
-            total, n = out.get(key, (0.0, 0))
-            out[key] = (total + d, n + 1)
-    return out
+            total, n = sums.get(key, (0.0, 0))
+            sums[key] = (total + d, n + 1)
 
 
 def examples(common: WordClasses) -> Sums:
@@ -354,46 +392,43 @@ def examples(common: WordClasses) -> Sums:
     return out
 
 
-def profiles_of(parts: list[Sums], common: WordClasses) -> Profiles:
-    """The mean of every label that enough runs have."""
-    whole = examples(common)
-    for part in parts:
-        for key, (total, n) in part.items():
-            had, m = whole.get(key, (0.0, 0))
-            whole[key] = (had + total, m + n)
-    kept = {k: total / n for k, (total, n) in sorted(whole.items()) if n >= LEAST}
+def profiles_of(sums: Sums, common: WordClasses) -> Profiles:
+    """The mean of every label that enough runs have or an example shows; runs of other labels count by the next round."""
+    shown = examples(common)
+    whole = dict(shown)
+    least = max(LEAST, sum(n for (_, _, lang), (_, n) in sums.items() if lang < 0) / SHARE)
+    for key, (total, n) in sums.items():
+        had, m = shown.get(key, (0.0, 0))
+        whole[key] = (had + total, m + n)
+    kept = {k: total / n for k, (total, n) in sorted(whole.items()) if k in shown or n >= least}
     return Profiles(list(kept), np.array(list(kept.values())))
 
 
 def fit(texts: list[str | None], common: WordClasses) -> Profiles:
     """Profiles from texts; repeated and null texts are fine, without texts those of the fixed examples are left."""
-    profiles = None
+    rows, profiles = Texts.of(texts, common), None
     for _ in range(ROUNDS + 1):
-        profiles = profiles_of([sums_of(texts, common, profiles)], common)
+        sums: Sums = {}
+        add(sums, rows, profiles)
+        profiles = profiles_of(sums, common)
     return profiles
 
 
-def kinds_of(texts: list[str | None], common: WordClasses, profiles: Profiles) -> list[str]:
+def kinds_by(texts: Texts, profiles: Profiles) -> list[str]:
     """The kind of each text: prose, list, table or junk. Null, empty and blank texts and next to nothing are junk."""
-    runs, langs, owner, sizes = [], [], [], []
-    for i, text in enumerate(texts):
-        bare = (text or "").replace("\ufeff", "")
-        if not _SOMETHING.match(bare):
-            continue
-        for shape, lines in runs_of(bare):
-            d, lang = describe(shape, lines, common)
-            runs.append(d)
-            langs.append(lang)
-            owner.append(i)
-            sizes.append(sum(map(len, lines)))
-    weight = np.zeros((len(texts), len(KINDS)))
+    weight = np.zeros((len(texts.sizes), len(KINDS)))
     weight[:, 3] = 0.5  # nothing to weigh is junk
-    if runs:
-        kind = profiles.kind[profiles.nearest(np.array(runs), np.array(langs))]
-        np.add.at(weight, (np.array(owner), kind), np.array(sizes, float))
+    if len(texts.runs):
+        kind = profiles.kind[profiles.nearest(texts.runs, texts.langs)]
+        owner = np.repeat(np.arange(len(texts.sizes)), list(map(len, texts.sizes)))
+        np.add.at(weight, (owner, kind), np.concatenate(texts.sizes).astype(float))
     return [KINDS[k] for k in weight.argmax(axis=1)]
 
 
+def kinds_of(texts: list[str | None], common: WordClasses, profiles: Profiles) -> list[str]:
+    return kinds_by(Texts.of(texts, common), profiles)
+
+
 def common_words(words: DataFrame) -> dict[str, int]:
     """word -> bits of the languages that have it, from the fixed table (lang, word); refuses more than MOST_COMMON_WORDS rows."""
     rows = words.select("lang", "word").filter("lang IS NOT NULL AND word IS NOT NULL").distinct().limit(MOST_COMMON_WORDS + 1).collect()
@@ -406,40 +441,53 @@ def common_words(words: DataFrame) -> dict[str, int]:
     return out
 
 
-def sample(documents: DataFrame, most: int = FITTED) -> DataFrame:
-    """About ``most`` different texts for the fitting, chosen by their hash; never more than twice as many."""
-    every = max(1, documents.count() // most)
-    return documents.select("text").filter(F.pmod(F.xxhash64("text"), F.lit(every)) == 0).distinct().limit(2 * most)
+def _texts(pdf: pd.DataFrame) -> Texts:
+    runs, langs = (np.concatenate(pdf[c].tolist() or [np.empty(0)]) for c in ("runs", "langs"))
+    return Texts(runs, langs, pdf["sizes"].tolist())
+
+
+def descriptions(documents: DataFrame, common: dict[str, int]) -> DataFrame:
+    """(doc_id, digest, runs, langs, sizes) of every document; the distributions of its runs stand one after the other."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        classes = WordClasses(common)
+        for pdf in batches:
+            rows = [described(t, classes) for t in pdf["text"].tolist()]
+            yield pd.DataFrame({"doc_id": pdf["doc_id"], "digest": pdf["digest"], "runs": [[x for d in r[0] for x in d] for r in rows], "langs": [r[1] for r in rows], "sizes": [r[2] for r in rows]})
+
+    texts = spread(documents.select("doc_id", "text")).withColumn("digest", F.md5("text"))
+    return texts.mapInPandas(run, "doc_id long, digest string, runs array<double>, langs array<int>, sizes array<int>")
 
 
 def fitted_on(texts: DataFrame, common: dict[str, int]) -> Profiles:
-    """fit() over a table of texts: every round, each batch gives its sums by label, a few hundred rows in all."""
-    texts = spread(stage(texts))
+    """fit() over all rows of a table of descriptions, each text once; only the sums by label come to the driver."""
+    texts = stage(texts.dropDuplicates(["digest"]).select("runs", "langs", "sizes"))
     profiles = None
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        classes = WordClasses(common)
+        sums: Sums = {}
         for pdf in batches:
-            sums = sums_of(pdf["text"].tolist(), classes, profiles)
-            yield pd.DataFrame([(*key, total.tolist(), n) for key, (total, n) in sums.items()], columns=["kind", "variant", "lang", "total", "n"])
+            add(sums, _texts(pdf), profiles)
+        yield pd.DataFrame([(*key, total.tolist(), n) for key, (total, n) in sums.items()], columns=["kind", "variant", "lang", "total", "n"])
 
     for _ in range(ROUNDS + 1):
-        rows = texts.mapInPandas(run, "kind string, variant string, lang int, total array<double>, n long").collect()
-        profiles = profiles_of([{(r.kind, r.variant, r.lang): (np.array(r.total), r.n)} for r in rows], WordClasses(common))
+        parts = texts.mapInPandas(run, "kind string, variant string, lang int, total array<double>, n long")
+        rows = parts.groupBy("kind", "variant", "lang").agg(F.array(*[F.sum(F.col("total")[i]) for i in range(WIDTH)]).alias("total"), F.sum("n").alias("n")).collect()
+        profiles = profiles_of({(r.kind, r.variant, r.lang): (np.array(r.total), r.n) for r in rows}, WordClasses(common))
     return profiles
 
 
-def kinds(documents: DataFrame, words: DataFrame, fitted: int = FITTED) -> DataFrame:
+def kinds(documents: DataFrame, words: DataFrame) -> DataFrame:
     """(doc_id, kind) of every document. Repeated texts are judged each; other columns are not read."""
     common = common_words(words)
-    profiles = fitted_on(sample(documents, fitted), common)
+    rows = stage(descriptions(documents, common))
+    profiles = fitted_on(rows, common)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        classes = WordClasses(common)
         for pdf in batches:
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "kind": kinds_of(pdf["text"].tolist(), classes, profiles)})
+            yield pd.DataFrame({"doc_id": pdf["doc_id"], "kind": kinds_by(_texts(pdf), profiles)})
 
-    return spread(documents.select("doc_id", "text")).mapInPandas(run, "doc_id long, kind string")
+    return rows.select("doc_id", "runs", "langs", "sizes").mapInPandas(run, "doc_id long, kind string")
 
 
 def found(documents: DataFrame, words: DataFrame) -> DataFrame:

@@ -67,3 +67,18 @@ def test_tables_with_odd_rows(spark):
 def test_dashes_in_lists_are_no_damage(classes):
     text = "\n".join(f"Product{c} – SRS-{i}40" for i, c in enumerate("abcdefgh"))
     assert p8.kinds_of([text], classes, p8.fit([text] * 9, classes)) == ["list"]
+
+
+def test_profiles_come_from_all_texts(spark, monkeypatch):
+    """Large tables are fitted on every different text, as fit() does, whatever repeats or is null."""
+    rng = np.random.default_rng(3)
+    words = [w for _, w in WORDS] + ["pump", "lamp", "SRS-440", "3.5", "Valve"]
+    texts = [" ".join(rng.choice(words, rng.integers(2, 30))) + "." * int(i % 3 == 0) for i in range(9_000)]
+    seen, made = [], p8.profiles_of
+    monkeypatch.setattr(p8, "profiles_of", lambda *a: seen.append(made(*a)) or seen[-1])
+    rows = [*enumerate(texts), *enumerate(texts[:500], 20_000), (30_000, None)]
+    table = spark.createDataFrame(WORDS, "lang string, word string")
+    p8.kinds(spark.createDataFrame(rows, "doc_id long, text string"), table).count()
+    got = seen[-1]
+    want = p8.fit(sorted(set(texts)), p8.WordClasses(p8.common_words(table)))
+    assert got.keys == want.keys and np.allclose(got.matrix, want.matrix, rtol=0, atol=1e-9)
