@@ -2,7 +2,8 @@
 
 Method: a vocabulary trie of the words of all pages is intersected with a Levenshtein automaton for each doubtful word,
 which gives every candidate within the allowed edits (usual confusions of characters count as one edit); candidates are
-ranked with the words around them. Then running heads and page numbers are removed, whatever the furniture flag says,
+ranked with the words around them. Where the edits alone are no proof, the words around must know the candidate, and the
+word as it stands is ranked with it. Then running heads and page numbers are removed, whatever the furniture flag says,
 broken words are joined and the lines are reflowed.
 
 Files may be of any length: pages are worked in buckets of PAGES pages that know the body lines next to their borders,
@@ -26,8 +27,8 @@ TOPS, AGAIN = 2, 2
 #: Share of the height of the text on a page below which notes may stand.
 NOTES = 0.8
 _NOTE = re.compile(r"^\s*(?:\[?\d{1,3}\]?[.)]?|[*†‡§])\s+\S")
-#: Vocabulary words are seen this often, and as many times oftener than what they repair.
-SEEN, OFTENER = 5, 8
+#: A word is seen so many times oftener than its misreading.
+OFTENER = 8
 EDITS = 2
 #: Word types that are asked for, and vocabulary words of a trie, in one task.
 ASKED, TRIE = 50_000, 50_000
@@ -225,17 +226,20 @@ _OUT = "doc_id string, seq int, noise string, tokens array<string>, rights array
 
 
 def _worked(blocks: DataFrame) -> DataFrame:
-    """(doc_id, seq, noise, tokens, rights): noise rows of the furniture, and the words of each body block.
+    """(doc_id, seq, noise, tokens, rights): noise rows of the furniture, and the words of each body block and note.
 
-    rights holds the second half where a token is the first half of a broken word, else an empty string.
+    Notes have 'note' as noise. rights holds the second half where a token is the first half of a broken word, else an empty string.
     """
     rows = blocks.join(_heads(blocks), ["doc_id", "seq"], "left")
 
     def run(key: tuple, group: list[tuple]) -> Iterator[tuple]:
         doc = key[0]
-        noise, flow, before, after, _ = _flow(group)
+        noise, flow, before, after, notes = _flow(group)
         for seq, kind in noise:
             yield doc, seq, kind, None, None
+        for seq, _, filled in notes:
+            words, _ = block_tokens(filled, None)
+            yield doc, seq, "note", [w for w, _, _ in words], [r for _, r, _ in words]
         skip = bool(flow and before and break_at(before, flow[0][2][0]))
         for i, (seq, _, filled) in enumerate(flow):
             if skip:
@@ -260,6 +264,7 @@ class Trie:
             for c in w:
                 node = node.setdefault(c, {})
             node[self.END] = n
+        self.most = max((n for _, n in words), default=0)
 
     def near(self, word: str, edits: int, free: bool) -> dict[str, tuple[int, int]]:
         """word -> (edits, count) of all vocabulary words within ``edits``; without ``free`` only confusions count."""
@@ -308,23 +313,45 @@ for _right, _read in CONFUSED:
 
 def doubtful(word: str) -> bool:
     """Whether a word type is looked up: no code, no number, no sign alone."""
-    if len(word) < 2 or len(word) > 40 or _CODE.match(word) or not any(c.isalpha() for c in word):
-        return False
-    return len(word) > 2 or bool(_ODD.fullmatch(word))
+    return len(word) > 1 and not _CODE.match(word) and any(c.isalpha() for c in word)
+
+
+def offers(word: str, n: int, trie: Trie, whole: bool) -> Iterator[tuple[str, int, int, bool]]:
+    """(candidate, edits, count, sure) of a word type seen n times.
+
+    Sure are confusions, and any edits where signs inside show that the word is none, of a candidate that is OFTENER times
+    as frequent. Other edits, words of two letters and rarer candidates of such signs are offered for ``whole`` words only,
+    as the words around them have to decide.
+    """
+    odd = bool(_ODD.search(word)) and not word.replace("-", "").replace("'", "").replace("’", "").isalpha()
+    clear = len(word) > 2 or bool(_ODD.fullmatch(word))
+    if trie.most < (n if odd and whole else OFTENER * n) or not (clear or whole):
+        return
+    known = trie.near(word, EDITS, odd and len(word) > 3)
+    for candidate, (edits, m) in known.items():
+        sure = clear and m >= OFTENER * n
+        if candidate != word and (sure or whole and m >= (n if odd else OFTENER * n)):
+            yield candidate, edits, m, sure
+    if whole and len(word) > 2 and not (odd and len(word) > 3):
+        for candidate, (edits, m) in trie.near(word, 1 if len(word) < 5 else EDITS, True).items():
+            if candidate != word and candidate not in known and m >= OFTENER * n:
+                yield candidate, edits, m, False
 
 
 def _candidates(types: DataFrame) -> DataFrame:
-    """(word, candidate, edits, n): the vocabulary words that each doubtful type may be. types: (word, n, vocabulary).
+    """(word, candidate, edits, n, sure): the vocabulary words that each doubtful type may be. types: (word, n, vocabulary, whole).
+
+    A type without signs inside that only unsure candidates are offered to is its own candidate, too.
 
     The vocabulary is cut into tries of about TRIE words, the types into parts of about ASKED; every part meets every trie.
     """
     types = stage(types)
-    usable = F.col("vocabulary") & (F.col("n") >= SEEN) & F.col("word").rlike(r"^[\p{L}]+(?:[-'’][\p{L}]+)*$")
+    usable = F.col("vocabulary") & F.col("word").rlike(r"^[\p{L}]+(?:[-'’][\p{L}]+)*$")
     sizes = types.agg(F.count(F.lit(1)).alias("types"), F.coalesce(F.sum(usable.cast("long")), F.lit(0)).alias("words")).first()
     parts, shards = sizes.types // ASKED + 1, sizes.words // TRIE + 1
     vocabulary = types.filter(usable).select(F.lit(0).alias("part"), F.pmod(F.xxhash64("word"), F.lit(shards)).alias("shard"), F.lit(0).alias("ask"), "word", "n")
     vocabulary = vocabulary.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
-    asked = types.select(F.pmod(F.hash("word"), F.lit(parts)).cast("int").alias("part"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shards - 1).cast("long"))).alias("shard"), F.lit(1).alias("ask"), "word", "n")
+    asked = types.select(F.pmod(F.hash("word"), F.lit(parts)).cast("int").alias("part"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shards - 1).cast("long"))).alias("shard"), F.when(F.col("whole"), 1).otherwise(2).alias("ask"), "word", "n")
 
     def start() -> list:
         return [[], None]
@@ -338,17 +365,19 @@ def _candidates(types: DataFrame) -> DataFrame:
         if state[1] is None:
             state[1], state[0] = Trie(state[0]), []
         if doubtful(w):
-            odd = bool(_ODD.search(w)) and not w.replace("-", "").replace("'", "").replace("’", "").isalpha()
-            for candidate, (edits, m) in state[1].near(w, EDITS, odd and len(w) > 3).items():
-                if candidate != w and m >= OFTENER * int(n):
-                    yield w, candidate, edits, m
+            for candidate, edits, m, sure in offers(w, int(n), state[1], ask == 1):
+                yield w, candidate, edits, m, int(n), sure
 
-    found = fold_streams(vocabulary.unionByName(asked), ["part", "shard"], ["ask", "word"], start, step, lambda state: [], ["ask", "word", "n"], "part int, shard long, word string, candidate string, edits int, n long")
-    return found.select("word", "candidate", "edits", "n")
+    found = fold_streams(vocabulary.unionByName(asked), ["part", "shard"], ["ask", "word"], start, step, lambda state: [], ["ask", "word", "n"], "part int, shard long, word string, candidate string, edits int, n long, own long, sure boolean")
+    found = stage(found)
+    sure = found.filter("sure")
+    unsure = found.filter("NOT sure").join(sure.select("word").distinct(), "word", "left_anti")
+    itself = unsure.filter(~F.col("word").rlike(r"[\d+!|$@ﬁﬂﬀﬃ]")).select("word", F.col("word").alias("candidate"), F.lit(0).alias("edits"), F.col("own").alias("n"), "sure").distinct()
+    return sure.unionByName(unsure).select("word", "candidate", "edits", "n", "sure").unionByName(itself)
 
 
 def repairs(blocks: DataFrame) -> DataFrame:
-    """(doc_id, seq, place, noise, word, repaired) of every furniture block, broken word and misread word.
+    """(doc_id, seq, place, noise, word, repaired, note) of every furniture block, broken word and misread word.
 
     place is the word's index in the block; furniture has -1 and an empty repair. Repeated rows count once by (doc_id,
     seq); a null text, page or box is an empty block, page 0 or a block in the text area.
@@ -358,35 +387,45 @@ def repairs(blocks: DataFrame) -> DataFrame:
     flat = flat.groupBy("doc_id", "seq").agg(*[F.max(c).alias(c) for c in ("page", "text", "y0", "block_type")])
     # Staged, as counts, contexts and results read it.
     worked = stage(_worked(flat))
-    furniture = worked.filter("noise IS NOT NULL").select("doc_id", "seq", F.lit(-1).alias("place"), "noise", F.lit("").alias("word"), F.lit("").alias("repaired"))
-    words = worked.filter("noise IS NULL").select("doc_id", "seq", F.posexplode(F.arrays_zip("tokens", "rights")).alias("place", "t"), "tokens", "rights")
+    furniture = worked.filter("noise <> 'note'").select("doc_id", "seq", F.lit(-1).alias("place"), "noise", F.lit("").alias("word"), F.lit("").alias("repaired"), F.lit(False).alias("note"))
+    words = worked.filter("noise IS NULL OR noise = 'note'").select("doc_id", "seq", F.col("noise").isNotNull().alias("note"), F.posexplode(F.arrays_zip("tokens", "rights")).alias("place", "t"), "tokens", "rights")
     context = lambda shift: F.when(F.try_element_at("rights", F.col("place") + 1 + shift) == "", F.try_element_at("tokens", F.col("place") + 1 + shift))
     before = F.when(F.col("place") > 0, F.when(F.get("rights", F.col("place") - 1) == "", F.get("tokens", F.col("place") - 1)))
-    words = words.select("doc_id", "seq", "place", F.col("t.tokens").alias("left"), F.col("t.rights").alias("right"), before.alias("before"), context(1).alias("after"))
+    words = words.select("doc_id", "seq", "note", "place", F.col("t.tokens").alias("left"), F.col("t.rights").alias("right"), before.alias("before"), context(1).alias("after"))
     whole = words.filter("right = ''")
     broken = words.filter("right <> ''").withColumn("joined", F.concat("left", "right")).withColumn("kept", F.concat_ws("-", "left", "right"))
-    counts = whole.groupBy(F.col("left").alias("word")).agg(F.count(F.lit(1)).alias("n"))
-    types = counts.withColumn("vocabulary", F.lit(True))
-    # Broken words are asked for in both forms, also where no whole word is like them.
-    halves = broken.select(F.explode(F.array("joined", "kept")).alias("word")).distinct().join(counts, "word", "left_anti").select("word", F.lit(1).cast("long").alias("n"), F.lit(False).alias("vocabulary"))
-    candidates = stage(_candidates(types.unionByName(halves)))
+    counted = whole.filter("NOT note")
+    counts = counted.groupBy(F.col("left").alias("word")).agg(F.count(F.lit(1)).alias("n"))
+    types = counts.withColumns({"vocabulary": F.lit(True), "whole": F.lit(True)})
+    # Broken words are asked for in both forms, also where no whole word is like them; words of notes are asked for, but not counted.
+    others = broken.select(F.explode(F.array("joined", "kept")).alias("word"), F.lit(False).alias("whole")).unionByName(whole.filter("note").select(F.col("left").alias("word"), F.lit(True).alias("whole")))
+    others = others.groupBy("word").agg(F.max("whole").alias("whole")).join(counts, "word", "left_anti").select("word", F.lit(1).cast("long").alias("n"), F.lit(False).alias("vocabulary"), "whole")
+    candidates = stage(_candidates(types.unionByName(others)))
     # The words around decide between candidates: pairs are counted for words that may be candidates only.
     maybe = candidates.select("candidate").distinct()
-    pairs = whole.filter("before IS NOT NULL").groupBy("before", "left").agg(F.count(F.lit(1)).alias("times"))
+    pairs = counted.filter("before IS NOT NULL").groupBy("before", "left").agg(F.count(F.lit(1)).alias("times"))
     ahead = pairs.join(maybe, pairs["left"] == maybe["candidate"], "left_semi").select(F.col("before"), F.col("left").alias("candidate"), F.col("times").alias("t1"))
     behind = pairs.join(maybe, pairs["before"] == maybe["candidate"], "left_semi").select(F.col("left").alias("after"), F.col("before").alias("candidate"), F.col("times").alias("t2"))
-    score = F.log("n") - 2.5 * F.col("edits") + 2.0 * F.log1p(F.coalesce("t1", F.lit(0))) + 2.0 * F.log1p(F.coalesce("t2", F.lit(0)))
-
-    def ranked(occurrences: DataFrame) -> DataFrame:
-        offered = occurrences.join(candidates, "word").join(ahead, ["before", "candidate"], "left").join(behind, ["after", "candidate"], "left").withColumn("score", score)
-        return offered.groupBy("doc_id", "seq", "place", "word").agg(F.max_by("candidate", F.struct("score", "candidate")).alias("repaired"))
-
-    misread = ranked(whole.withColumnRenamed("left", "word")).select("doc_id", "seq", "place", F.lit("misread").alias("noise"), "word", "repaired")
+    # What a word's own place adds to the counts of its pairs is no evidence for it.
+    itself = F.col("candidate") == F.col("word")
+    t1, t2 = (F.greatest(F.coalesce(t, F.lit(0)) - itself.cast("int"), F.lit(0)) for t in ("t1", "t2"))
+    score = F.log("n") - 2.5 * F.col("edits") + 2.0 * F.log1p(t1) + 2.0 * F.log1p(t2)
+    # Unsure candidates must be known between the words around, where there are any.
+    fits = (F.col("before").isNull() | (t1 > 0)) & (F.col("after").isNull() | (t2 > 0)) & (t1 + t2 > 0)
+
+    def ranked(occurrences: DataFrame, offered: DataFrame) -> DataFrame:
+        offered = occurrences.join(offered, "word").join(ahead, ["before", "candidate"], "left").join(behind, ["after", "candidate"], "left").filter(F.col("sure") | itself | fits).withColumn("score", score)
+        return offered.groupBy("doc_id", "seq", "note", "place", "word").agg(F.max_by("candidate", F.struct("score", "candidate")).alias("repaired"))
+
+    # A misreading has no company of its own: a word that most of its places know as it is stays everywhere.
+    chosen = stage(ranked(whole.withColumnRenamed("left", "word"), candidates))
+    wrong = chosen.groupBy("word").agg(F.avg((F.col("repaired") != F.col("word")).cast("int")).alias("share")).filter("share > 0.5").select("word")
+    misread = chosen.filter("repaired <> word").join(wrong, "word", "left_semi").select("doc_id", "seq", "place", F.lit("misread").alias("noise"), "word", "repaired", "note")
     known_j = counts.select(F.col("word").alias("joined"), F.col("n").alias("n_joined"))
     known_k = counts.select(F.col("word").alias("kept"), F.col("n").alias("n_kept"))
     b = broken.join(known_j, "joined", "left").join(known_k, "kept", "left")
-    better_j = ranked(broken.withColumnRenamed("joined", "word")).select("doc_id", "seq", "place", F.col("repaired").alias("fixed"))
-    better_k = ranked(broken.withColumnRenamed("kept", "word")).select("doc_id", "seq", "place", F.col("repaired").alias("fixed_kept"))
+    better_j = ranked(broken.withColumnRenamed("joined", "word"), candidates.filter("sure")).select("doc_id", "seq", "place", F.col("repaired").alias("fixed"))
+    better_k = ranked(broken.withColumnRenamed("kept", "word"), candidates.filter("sure")).select("doc_id", "seq", "place", F.col("repaired").alias("fixed_kept"))
     b = b.join(better_j, ["doc_id", "seq", "place"], "left").join(better_k, ["doc_id", "seq", "place"], "left")
     nj, nk = F.coalesce("n_joined", F.lit(0)), F.coalesce("n_kept", F.lit(0))
     form = (
@@ -395,13 +434,13 @@ def repairs(blocks: DataFrame) -> DataFrame:
         .when(F.col("fixed_kept").isNotNull() & (nj == 0), F.col("fixed_kept"))
         .otherwise(F.col("joined"))
     )
-    joined = b.select("doc_id", "seq", "place", F.lit("hyphen_break").alias("noise"), F.col("joined").alias("word"), form.alias("repaired"))
+    joined = b.select("doc_id", "seq", "place", F.lit("hyphen_break").alias("noise"), F.col("joined").alias("word"), form.alias("repaired"), "note")
     return furniture.unionByName(misread).unionByName(joined)
 
 
 def found(blocks: DataFrame) -> DataFrame:
-    """(doc_id, seq, noise, repaired): each noise found."""
-    return repairs(blocks).select("doc_id", "seq", "noise", "repaired").distinct()
+    """(doc_id, seq, noise, repaired): each noise found; what is repaired in notes is none."""
+    return repairs(blocks).filter("NOT note").select("doc_id", "seq", "noise", "repaired").distinct()
 
 
 def _case_like(word: str, repaired: str) -> str:
@@ -413,6 +452,23 @@ def _case_like(word: str, repaired: str) -> str:
     return head + repaired + tail
 
 
+def reflowed(filled: list[str], following: str | None, fixes: dict[str, str]) -> tuple[str, bool]:
+    """(the lines of a block as one, repaired by place; whether its last word goes on in the next block)."""
+    raw: list[str] = []
+    cut = False
+    for n, line in enumerate(filled):
+        words = line.split()
+        if cut:
+            words, cut = words[1:], False
+        nxt = filled[n + 1] if n + 1 < len(filled) else following
+        pair = break_at(line, nxt) if nxt is not None and words else None
+        if pair:
+            cut = True
+            words[-1] = words[-1][:-1] + nxt.split()[0]
+        raw += words
+    return " ".join(_case_like(w, fixes[str(n)]) if str(n) in fixes else w for n, w in enumerate(raw)), cut
+
+
 def paragraphs(blocks: DataFrame) -> DataFrame:
     """(doc_id, bucket, par, first_seq, text): the repaired body text, reflowed; par counts up in a bucket of PAGES pages.
 
@@ -436,20 +492,7 @@ def paragraphs(blocks: DataFrame) -> DataFrame:
             if skip:
                 first = filled[0].split(maxsplit=1)
                 filled = [*([first[1]] if len(first) > 1 else []), *filled[1:]]
-            following = flow[i + 1][2][0] if i + 1 < len(flow) else after
-            raw: list[str] = []
-            cut = False
-            for n, line in enumerate(filled):
-                words = line.split()
-                if cut:
-                    words, cut = words[1:], False
-                nxt = filled[n + 1] if n + 1 < len(filled) else following
-                pair = break_at(line, nxt) if nxt is not None and words else None
-                if pair:
-                    cut = True
-                    words[-1] = words[-1][:-1] + nxt.split()[0]
-                raw += words
-            mended = " ".join(_case_like(w, fix[seq][str(n)]) if str(n) in fix[seq] else w for n, w in enumerate(raw))
+            mended, cut = reflowed(filled, flow[i + 1][2][0] if i + 1 < len(flow) else after, fix[seq])
             if done and mended[:1].islower() and (skip or not done[-1][1].rstrip().endswith((".", "!", "?", ":"))):
                 done[-1] = (done[-1][0], done[-1][1] + " " + mended)
             elif mended:
@@ -460,7 +503,7 @@ def paragraphs(blocks: DataFrame) -> DataFrame:
             yield (*key, n, seq, text, n == 0 and text[:1].islower(), last, last and (skip or not text.rstrip().endswith((".", "!", "?", ":"))))
         # Notes are paragraphs of their own behind the flow.
         for n, (seq, _, filled) in enumerate(notes):
-            yield (*key, len(done) + n, seq, " ".join(" ".join(filled).split()), False, False, False)
+            yield (*key, len(done) + n, seq, reflowed(filled, None, fix[seq])[0], False, False, False)
 
     # Staged, as the stitching of the borders reads the ends of the buckets first.
     parts = stage(in_groups(_bordered(rows), ["doc_id", "bucket"], _LOOK[:3], run, [*_LOOK, "fixes"], "doc_id string, bucket long, par int, first_seq int, text string, small boolean, last boolean, open boolean"))

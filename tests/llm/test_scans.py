@@ -112,3 +112,24 @@ def test_text_at_the_foot_is_kept(spark):
 
 def test_roman_numbers_are_strict():
     assert p3.fold("Dic Kalibrierung") == p3.fold("Die Kalibrierung") and p3.fold("xiv Die Kalibrierung") == p3.fold("Die Kalibrierung") and p3.fold("Pclantlon Report") == p3.fold("Pelantlon Report")
+
+
+def test_every_word_is_looked_up(spark):
+    """Unlisted edits in words of letters, words of two letters, rare right words and notes are repaired; real words stay."""
+    rows, seq = [], itertools.count(1)
+    say = lambda p, text, y=130: rows.append(("d", next(seq), p, text, BOX(y), "paragraph", None, None, False, None))
+    body = " ".join(WORDS)
+    for p in range(1, 13):
+        say(p, f"{body}. The sample is cold.")
+        if p < 3:
+            say(p, "So the simple plan works.")
+    say(13, body.replace("machine", "mochine").replace("winter", "wimter") + ". The sample ls cold.")
+    say(14, "Nobody saw the gasket.")
+    say(14, "They took the ga5ket.")
+    say(14, "7 The mach1ne was mo-\nved before wintcr.", 900)
+    frame = spark.createDataFrame(rows, SCHEMA)
+    assert sorted((r.seq, r.noise, r.repaired) for r in p3.found(frame).collect()) == [(15, "misread", "is"), (15, "misread", "machine"), (15, "misread", "winter"), (17, "misread", "gasket")]
+    text = "\n".join(r.text for r in p3.paragraphs(frame).collect())
+    assert "7 The machine was moved before winter." in text and "The sample is cold" in text and "simple plan" in text
+    long = "x" * 45 + "c"
+    assert [c for c, *_ in p3.offers(long, 1, p3.Trie([("x" * 45 + "e", 9)]), True)] == ["x" * 45 + "e"]
